@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_GROUPS = ("series",)
+_GROUPS = ("series", "market")
 
 CHECKS = {}
 for _group in _GROUPS:
