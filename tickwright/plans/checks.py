@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .fixtures import Fixtures
 from .oracle import with_clause
 
+_RESERVED = re.compile(r'(?<!")\b(asof)\b(?!")')   # a column name, but a keyword in the oracle
 _MARK = re.compile(r"^(\w+)(#|@|~(\d+))?$")
 
 
@@ -49,7 +50,8 @@ def shape_sql(body, spec):
     cols = ", ".join(shaped(*c) for c in _columns(spec))
     ctes = with_clause(body)
     lead = ctes + ",\n" if ctes else "WITH "
-    return f"{lead}answer AS (\n{body.strip()}\n)\nSELECT {cols} FROM answer"
+    text = f"{lead}answer AS (\n{body.strip()}\n)\nSELECT {cols} FROM answer"
+    return _RESERVED.sub(r'"\1"', text)
 
 
 @dataclass(frozen=True)
