@@ -205,3 +205,17 @@ class Fixtures:
                                   "month(q) = 1"))
                 .unionByName(rows(year, "Revenues", True, 12, v, 14))
                 .unionByName(rows(quarter, "Assets", False, 3, F.round(2 * v, 2), 4)))
+
+    @cached_property
+    def price_metrics(self):
+        from ..operators.metrics import price_metrics
+        return price_metrics(self.stocks, self.index_bars)
+
+    @cached_property
+    def panel(self):
+        """The metric panel, written once like every rollup that scores re-read."""
+        from ..operators.metrics import fundamental_ratios, metric_panel
+        from ..session import persist_table
+        ratios = fundamental_ratios(self.fundamentals, self.price_metrics)
+        return persist_table(
+            metric_panel(self.universe, self.price_metrics, ratios, self.analyst), "panel")
