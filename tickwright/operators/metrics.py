@@ -84,18 +84,19 @@ def agg_beta(bars, index_bars):
     return price_metrics(bars, index_bars).select("symbol", "beta_1y")
 
 
-def fundamental_ratios(fundamentals: DataFrame, prices: DataFrame) -> DataFrame:
-    """Ratios per company; one whose sign would flip its meaning is NULL.
+def _with_ratios(df: DataFrame) -> DataFrame:
+    """Ratios from fundamentals and last_close; one whose sign would flip its meaning is NULL.
 
     A loss does not make a low price-earnings ratio, and growth from a negative
     base says nothing, so each is computed over a positive denominator only.
     """
-    base = (fundamentals.join(prices.select("symbol", "last_close"), "symbol")
-            .withColumn("market_cap", F.col("shares_outstanding") * F.col("last_close"))
-            .withColumn("fcf", F.col("ocf") - F.coalesce("capex", F.lit(0.0)))
-            .withColumn("fcf_prior", F.col("ocf_prior") - F.coalesce("capex_prior", F.lit(0.0)))
-            .withColumn("debt", F.coalesce("long_term_debt", F.lit(0.0))
-                        + F.coalesce("short_term_debt", F.lit(0.0))))
+    def zero(c):
+        return F.coalesce(c, F.lit(0.0))
+
+    base = (df.withColumn("market_cap", F.col("shares_outstanding") * F.col("last_close"))
+            .withColumn("fcf", F.col("ocf") - zero("capex"))
+            .withColumn("fcf_prior", F.col("ocf_prior") - zero("capex_prior"))
+            .withColumn("debt", zero("long_term_debt") + zero("short_term_debt")))
 
     def over(top, bottom):
         return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom))
@@ -114,17 +115,35 @@ def fundamental_ratios(fundamentals: DataFrame, prices: DataFrame) -> DataFrame:
         "earnings_growth": over("net_income", "net_income_prior") - 1,
         "fcf_growth": over("fcf", "fcf_prior") - 1,
     }
-    return base.select("symbol", "asof", "market_cap", "shares_outstanding",
-                       "earnings_stability", "revenue", "net_income", "assets", "equity",
-                       *[c.alias(k) for k, c in ratios.items()])
+    return base.withColumns(ratios)
+
 
+RATIOS = ("pe", "ps", "pb", "fcf_yield", "debt_to_equity", "current_ratio", "interest_coverage",
+          "roe", "roa", "gross_margin", "net_margin", "gross_profitability", "revenue_growth",
+          "earnings_growth", "fcf_growth")
+_REPORTED = ("shares_outstanding", "earnings_stability", "revenue", "net_income", "assets", "equity")
 
-def metric_panel(universe, prices, ratios, analyst) -> DataFrame:
-    """One row per priced company: what the scores read and the filters use."""
-    return (universe.select("symbol", "name", "sector", "exchange", F.lit(0).alias("is_index"))
-            .join(prices.drop("first_date"), "symbol")
-            .join(ratios.withColumnRenamed("asof", "fundamentals_asof"), "symbol", "left")
-            .join(analyst.drop("fetched"), "symbol", "left"))
+
+def fundamental_ratios(fundamentals: DataFrame, prices: DataFrame) -> DataFrame:
+    joined = fundamentals.join(prices.select("symbol", "last_close"), "symbol")
+    return _with_ratios(joined).select("symbol", "asof", "market_cap", *_REPORTED, *RATIOS)
+
+
+def metric_panel(universe, prices, fundamentals, analyst) -> DataFrame:
+    """One row per priced company: what the scores read and the filters use.
+
+    Ratios are columns over the joined row, so the price metrics are read once.
+    """
+    joined = (universe.select("symbol", "name", "sector", "exchange", F.lit(0).alias("is_index"))
+              .join(prices.drop("first_date"), "symbol")
+              .join(fundamentals.drop("cik").withColumnRenamed("asof", "fundamentals_asof"),
+                    "symbol", "left")
+              .join(analyst.drop("fetched"), "symbol", "left"))
+    metrics = [c for c in prices.columns if c not in ("symbol", "first_date")]
+    return _with_ratios(joined).select(
+        "symbol", "name", "sector", "exchange", "is_index", *metrics, "market_cap",
+        "fundamentals_asof", *RATIOS, *_REPORTED,
+        "analyst_score", "target_upside", "eps_revision", "n_analysts")
 
 
 def coverage_status(universe, bars, fundamentals, analyst) -> DataFrame:

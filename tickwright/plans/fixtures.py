@@ -214,8 +214,47 @@ class Fixtures:
     @cached_property
     def panel(self):
         """The metric panel, written once like every rollup that scores re-read."""
-        from ..operators.metrics import fundamental_ratios, metric_panel
+        from ..operators.metrics import metric_panel
         from ..session import persist_table
-        ratios = fundamental_ratios(self.fundamentals, self.price_metrics)
-        return persist_table(
-            metric_panel(self.universe, self.price_metrics, ratios, self.analyst), "panel")
+        return persist_table(metric_panel(self.universe, self.price_metrics, self.fundamentals,
+                                          self.analyst), "panel")
+
+    @cached_property
+    def questions(self):
+        """A question per order, and every conversation turn as it is."""
+        from pyspark.sql.functions import col, concat, lit, when
+        o = self.table("orders")
+        key = col("o_orderkey")
+
+        def text(*parts):
+            return concat(*[p if not isinstance(p, str) else lit(p) for p in parts])
+
+        a = concat(lit("NATION_"), (col("o_custkey") % 25).cast("string"))
+        b = concat(lit("nation_"), (F.floor(key / 8) % 25).cast("string"))
+        n = (F.floor(key / 8) % 60).cast("string")
+        year = (1990 + F.floor(key / 8) % 14).cast("string")
+        forms = [
+            text("Compare ", a, " and ", b, " since ", year),
+            text("top ", n, " Asia companies over the past ", n, " years"),
+            text("Which stock had the highest trading volume in ", year, "?"),
+            text("five worst performers last ", n, " quarters"),
+            text("How did ", a, " Inc perform within the last month"),
+            text("Which sector performed best? technology or AFRICA"),
+            text("How has the market done over the last twenty wks"),
+            text("biggest drawdown of ", b, ", then ", a),
+        ]
+        asked = forms[-1]
+        for i in range(len(forms) - 1):
+            asked = when(key % 8 == i, forms[i]).otherwise(asked)
+        return (o.select(concat(lit("o"), key.cast("string")).alias("question_id"), asked.alias("text"))
+                .unionByName(self.table("conversations").select(
+                    F.concat_ws("-", lit("c"), "conv_id", "turn").alias("question_id"), "text")))
+
+    @cached_property
+    def terms(self):
+        n = self.nations
+        name = F.lower("symbol")
+        parts = F.array(name, F.substring(name, 1, 5), F.substring(name, 5, 20), F.lit(" inc "),
+                        F.lower("sector"))
+        ships = self.table("orders").select(F.lower("o_orderpriority").alias("term")).distinct()
+        return n.select(F.explode(parts).alias("term")).unionByName(ships).distinct()

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_GROUPS = ("series", "market", "history", "scores")
+_GROUPS = ("series", "market", "history", "scores", "text", "io")
 
 CHECKS = {}
 for _group in _GROUPS:
