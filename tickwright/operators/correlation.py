@@ -23,31 +23,35 @@ SPAN_DAYS = 1024
 _SUMS = "sym_a string, sym_b string, n double, sx double, sy double, sxy double, sxx double, syy double"
 
 
-def _block_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sums over shared sessions for every pair of one block pair."""
-    left_id, right_id = pdf["bi"].iloc[0], pdf["bj"].iloc[0]
-    days, day_code = np.unique(pdf["day"].to_numpy(), return_inverse=True)
-
-    def dense(part):
-        names, code = np.unique(pdf["symbol"].to_numpy()[part].astype(str), return_inverse=True)
-        values = np.zeros((len(names), len(days)))
-        present = np.zeros_like(values)
-        values[code, day_code[part]] = pdf["r"].to_numpy()[part]
-        present[code, day_code[part]] = 1.0
-        return names, values, present
-
-    block = pdf["b"].to_numpy()
-    a_names, x, mx = dense(block == left_id)
-    b_names, y, my = (a_names, x, mx) if left_id == right_id else dense(block == right_id)
-    n = mx @ my.T
-    keep = n > 0
-    if left_id == right_id:
-        keep &= np.triu(np.ones(n.shape, dtype=bool))
-    i, j = np.nonzero(keep)
-    return pd.DataFrame({
-        "sym_a": a_names[i], "sym_b": b_names[j], "n": n[i, j],
-        "sx": (x @ my.T)[i, j], "sy": (mx @ y.T)[i, j], "sxy": (x @ y.T)[i, j],
-        "sxx": ((x * x) @ my.T)[i, j], "syy": (mx @ (y * y).T)[i, j]})
+def _block_sums():
+    """The task function, as a closure: it travels with the plan, so workers need
+    numpy and pandas but not this package."""
+    def block_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums over shared sessions for every pair of one block pair."""
+        left_id, right_id = pdf["bi"].iloc[0], pdf["bj"].iloc[0]
+        days, day_code = np.unique(pdf["day"].to_numpy(), return_inverse=True)
+
+        def dense(part):
+            names, code = np.unique(pdf["symbol"].to_numpy()[part].astype(str), return_inverse=True)
+            values = np.zeros((len(names), len(days)))
+            present = np.zeros_like(values)
+            values[code, day_code[part]] = pdf["r"].to_numpy()[part]
+            present[code, day_code[part]] = 1.0
+            return names, values, present
+
+        block = pdf["b"].to_numpy()
+        a_names, x, mx = dense(block == left_id)
+        b_names, y, my = (a_names, x, mx) if left_id == right_id else dense(block == right_id)
+        n = mx @ my.T
+        keep = n > 0
+        if left_id == right_id:
+            keep &= np.triu(np.ones(n.shape, dtype=bool))
+        i, j = np.nonzero(keep)
+        return pd.DataFrame({
+            "sym_a": a_names[i], "sym_b": b_names[j], "n": n[i, j],
+            "sx": (x @ my.T)[i, j], "sy": (mx @ y.T)[i, j], "sxy": (x @ y.T)[i, j],
+            "sxx": ((x * x) @ my.T)[i, j], "syy": (mx @ (y * y).T)[i, j]})
+    return block_sums
 
 
 def correlation_pairs(returns: DataFrame, start, end, symbols=None, n_symbols=None) -> DataFrame:
@@ -70,7 +74,7 @@ def correlation_pairs(returns: DataFrame, start, end, symbols=None, n_symbols=No
               .select("symbol", "day", "r", "b", F.least("b", "o").alias("bi"),
                       F.greatest("b", "o").alias("bj"),
                       F.floor(F.col("day") / SPAN_DAYS).cast("int").alias("span")))
-    sums = (spread.groupBy("bi", "bj", "span").applyInPandas(_block_sums, _SUMS)
+    sums = (spread.groupBy("bi", "bj", "span").applyInPandas(_block_sums(), _SUMS)
             .groupBy("sym_a", "sym_b")
             .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")]))
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")

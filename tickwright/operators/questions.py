@@ -5,6 +5,8 @@ Company names meet the text by an equality join on words, and only the pairs
 that share a word are checked for the exact phrase and its position.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +58,28 @@ INTENTS = (
 ENOUGH_SYMBOLS, TOO_FEW_SYMBOLS = 1.5, -1.0
 DEFAULT_LIMIT, MAX_LIMIT = 10, 50
 
-_U = "(?iU)"   # case-blind, with Unicode word characters
+# Patterns run on lower-cased text. The leading look-ahead skips a position by
+# its first letter before the costlier Unicode word-boundary test.
 _NUMBER = r"\d{1,3}|" + "|".join(NUMBER_WORDS)
 _BEST = "|".join(SUPERLATIVES)
-_COUNT = rf"{_U}\b(?:{_BEST})\s+({_NUMBER})\b|\b({_NUMBER})\s+(?:{_BEST})\b"
-_LOOKBACK = (rf"{_U}\b(?:last|past|previous|trailing|over|in|within|during)\s+(?:the\s+)?"
-             rf"(?:last\s+|past\s+|previous\s+)?({_NUMBER})?\s*({'|'.join(UNIT_DAYS)})s?\b")
-_YEAR = r"(?U)\b(?:19|20)\d{2}\b"
+_COUNT = (rf"(?=[a-z0-9])(?U:\b)(?:(?:{_BEST})(?U:\s)+(?:{_NUMBER})"
+          rf"|(?:{_NUMBER})(?U:\s)+(?:{_BEST}))(?U:\b)")
+_LOOKBACK = (r"(?=[lptoiwd])(?U:\b)(?:last|past|previous|trailing|over|in|within|during)(?U:\s)+"
+             r"(?:the(?U:\s)+)?(?:last(?U:\s)+|past(?U:\s)+|previous(?U:\s)+)?"
+             rf"(?:{_NUMBER})?(?U:\s)*(?:{'|'.join(UNIT_DAYS)})s?(?U:\b)")
+_LOOKBACK_PARTS = rf"({_NUMBER})?(?U:\s)*({'|'.join(UNIT_DAYS)})s?$"
+_YEAR = r"(?=[12])(?U:\b)(?:19|20)\d{2}(?U:\b)"
+
+
+def scanned(questions: DataFrame) -> DataFrame:
+    """Questions plus what the patterns found, each text scanned once per pattern.
+
+    The later steps read these short matches, never the text again.
+    """
+    return (questions.withColumn("_low", F.lower("text"))
+            .withColumns({"_count": F.regexp_extract("_low", _COUNT, 0),
+                          "_back": F.regexp_extract("_low", _LOOKBACK, 0),
+                          "_year": F.regexp_extract("_low", _YEAR, 0)}))
 
 
 def _lookup(table, key: Column) -> Column:
@@ -71,27 +88,28 @@ def _lookup(table, key: Column) -> Column:
 
 
 def _number(token: Column) -> Column:
-    token = F.lower(F.trim(token))
     return F.coalesce(token.try_cast("int"), _lookup(NUMBER_WORDS, token), F.lit(0))
 
 
-def year_of(text: Column) -> Column:
+def stated_year() -> Column:
     """The first year of the 1900s or 2000s in the text, 0 when there is none."""
-    return F.coalesce(F.regexp_extract(text, _YEAR, 0).try_cast("int"), F.lit(0))
+    return F.coalesce(F.col("_year").try_cast("int"), F.lit(0))
 
 
-def count_of(text: Column) -> Column:
+def stated_count() -> Column:
     """"top 5" or "five best" as a number, 0 when no count is stated."""
-    found = F.regexp_extract(text, _COUNT, 1)
-    return _number(F.when(found != "", found).otherwise(F.regexp_extract(text, _COUNT, 2)))
+    words = F.split("_count", r"(?U)\s+")
+    first, last = F.get(words, 0), F.element_at(words, -1)
+    return F.when(F.col("_count") == "", 0).when(first.isin(list(SUPERLATIVES)), _number(last)) \
+        .otherwise(_number(first))
 
 
-def lookback_of(text: Column) -> Column:
+def stated_lookback() -> Column:
     """"past 3 years" in days; a bare "last year" is one of them; 0 when not stated."""
-    unit = F.lower(F.regexp_extract(text, _LOOKBACK, 2))
-    stated = _number(F.regexp_extract(text, _LOOKBACK, 1))
-    times = F.when(stated == 0, 1).otherwise(stated)
-    return F.when(unit == "", 0).otherwise(times * _lookup(UNIT_DAYS, unit))
+    times = _number(F.regexp_extract("_back", _LOOKBACK_PARTS, 1))
+    unit = F.regexp_extract("_back", _LOOKBACK_PARTS, 2)
+    return F.when(F.col("_back") == "", 0).otherwise(
+        F.when(times == 0, 1).otherwise(times) * _lookup(UNIT_DAYS, unit))
 
 
 def _first_of(conditions_and_values) -> Column:
@@ -124,29 +142,33 @@ def match_sector(value: Column, sectors) -> Column:
     return F.when(v == "", "").otherwise(_first_of(rules))
 
 
-def sector_of(text: Column, sectors) -> Column:
+def stated_sector(sectors) -> Column:
     """The sector a text names, by its full name or by an alias."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = F.coalesce("_low", F.lit(""))
     names = sorted(sectors, key=lambda s: (-len(s), list(sectors).index(s)))
     rules = [(F.contains(low, F.lit(n.lower())), n) for n in names]
-    rules += [(low.rlike(rf"(?U)\b{alias}"), n) for alias, n in SECTOR_ALIASES if n in sectors]
+    rules += [(low.contains(alias) & low.rlike(rf"(?U)\b{alias}"), n) for alias, n in SECTOR_ALIASES if n in sectors]
     return match_sector(_first_of(rules), sectors)
 
 
 def tag_year(questions):
-    return questions.select("question_id", year_of(F.col("text")).alias("year"))
+    return scanned(questions).select("question_id", stated_year().alias("year"))
 
 
 def tag_count(questions):
-    return questions.select("question_id", count_of(F.col("text")).alias("stated_count"))
+    return scanned(questions).select("question_id", stated_count().alias("stated_count"))
 
 
 def tag_lookback(questions):
-    return questions.select("question_id", lookback_of(F.col("text")).alias("lookback_days"))
+    return scanned(questions).select("question_id", stated_lookback().alias("lookback_days"))
 
 
 def tag_sector(questions, sectors):
-    return questions.select("question_id", sector_of(F.col("text"), sectors).alias("sector"))
+    return scanned(questions).select("question_id", stated_sector(sectors).alias("sector"))
+
+
+def words_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1)))
 
 
 def _phrases(directory):
@@ -163,8 +185,7 @@ def _phrases(directory):
 def symbol_mentions(questions, directory) -> DataFrame:
     """(question_id, symbol, pos): the first place each company is named."""
     low = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
-    words = F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"), F.lit(1))))
-    spoken = questions.select("question_id", low.alias("low"), words.alias("word"))
+    spoken = questions.select("question_id", low.alias("low"), F.explode(words_of(low)).alias("word"))
     pattern = F.concat(F.lit(r"(?U)\b\Q"), F.col("phrase"), F.lit(r"\E\b"))
     return (spoken.join(_phrases(directory), "word")
             .withColumn("pos", F.regexp_instr("low", pattern)).filter(F.col("pos") > 0)
@@ -181,25 +202,29 @@ def tag_symbols(questions, directory) -> DataFrame:
             .drop("hits"))
 
 
-def _says(low, words):
-    escaped = [w.replace("&", r"\&") for w in words]
-    return low.rlike(r"(?U)\b(?:" + "|".join(escaped) + r")\b")
+def _says(words, low, keywords):
+    """Any keyword as whole words; a phrase is looked for only where it occurs as text."""
+    single = [k for k in keywords if k.isalnum()]
+    hit = F.arrays_overlap(words, F.array(*[F.lit(k) for k in single])) if single else F.lit(False)
+    for phrase in keywords:
+        if phrase not in single:
+            hit = hit | (low.contains(phrase) & low.rlike(rf"(?U)\b\Q{phrase}\E\b"))
+    return hit
 
 
 def score_intents(tagged: DataFrame, index_symbol: str) -> DataFrame:
     """The best fitting template of each question, '' when nothing fits.
 
-    All scores of a question are one array built from its own text; the highest
-    wins and the earlier template wins a tie.
+    The text is cut into words once and only its keywords are kept; all scores of
+    a question are one array built from them. The highest wins and the earlier
+    template wins a tie.
     """
-    low = F.lower(F.trim("text"))
-    n = F.size("symbols")
-    only_index = (n == 1) & (F.get("symbols", 0) == index_symbol)
+    every = sorted({k for _, groups, *_ in INTENTS for g in groups for k in g if k.isalnum()})
+    low, words, n = F.col("_low"), F.col("_keywords"), F.size("symbols")
+    only_index = (n == 1) & (F.get("symbols", F.lit(0)) == index_symbol)
     options = []
     for i, (name, groups, needs, weight, bonus) in enumerate(INTENTS):
-        hits = F.lit(True)
-        for words in groups:
-            hits = hits & _says(low, words)
+        hits = reduce(lambda a, b: a & b, [_says(words, low, g) for g in groups])
         score = F.lit(len(groups) * weight)
         if needs:
             score = score + F.when(n >= needs, ENOUGH_SYMBOLS).otherwise(TOO_FEW_SYMBOLS)
@@ -207,11 +232,13 @@ def score_intents(tagged: DataFrame, index_symbol: str) -> DataFrame:
             score = score + F.when(only_index, bonus).otherwise(0.0)
         options.append(F.when(hits & (score > 0), F.struct(
             score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("intent"))))
-    best = F.array_max(F.array(*options))
     bare = F.when((n > 0) & (low != ""), "company_detail").otherwise("")
-    return (tagged.withColumn("best", best)
-            .withColumn("intent", F.coalesce("best.intent", bare))
-            .withColumn("score", F.coalesce("best.score", F.lit(0.0))).drop("best"))
+    return (tagged.withColumn("_low", F.lower(F.trim("text")))
+            .withColumn("_keywords", F.array_intersect(
+                words_of(low), F.array(*[F.lit(k) for k in every])))
+            .withColumn("_best", F.array_max(F.array(*options)))
+            .select(*tagged.columns, F.coalesce("_best.intent", bare).alias("intent"),
+                    F.coalesce("_best.score", F.lit(0.0)).alias("score")))
 
 
 def resolve_params(tagged: DataFrame, start, end, data_min, data_max, sectors) -> DataFrame:
@@ -220,15 +247,15 @@ def resolve_params(tagged: DataFrame, start, end, data_min, data_max, sectors) -
     A stated lookback beats a stated year. Windows run back from the newest
     session and are clamped to the data. Each value says where it came from.
     """
-    text = F.col("text")
     d = {k: F.lit(v).cast("date") for k, v in
          (("start", start), ("end", end), ("min", data_min), ("max", data_max))}
 
     def clamp(day):
         return F.greatest(d["min"], F.least(day, d["max"]))
 
-    cols = (tagged.withColumn("stated", count_of(text)).withColumn("lookback", lookback_of(text))
-            .withColumn("year", year_of(text)).withColumn("sector", sector_of(text, sectors)))
+    cols = scanned(tagged).select(
+        *tagged.columns, stated_count().alias("stated"), stated_lookback().alias("lookback"),
+        stated_year().alias("year"), stated_sector(sectors).alias("sector"))
     back, year, stated = F.col("lookback"), F.col("year"), F.col("stated")
     since = F.when(year > 0, F.make_date(year, F.lit(1), F.lit(1)))
 

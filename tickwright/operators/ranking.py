@@ -144,13 +144,12 @@ def panel_filter(sectors=(), risk: str = "Aggressive", caps=(), min_price: float
 
 def percentile_ranks(panel: DataFrame, metrics) -> DataFrame:
     """(symbol, metric, pr) for every present value; 1 is always the better end."""
-    sector = F.coalesce(F.concat(F.lit("sector "), "sector"), F.lit("no sector"))
-    cells = F.array(*[F.struct(
-        F.lit(m.key).alias("metric"),
-        (sector if m.within_sector else F.lit("all")).alias("peers"),
-        F.col(m.key).cast("double").alias("value"),
-        F.lit(m.higher_is_better).alias("up")) for m in metrics])
-    tall = panel.select("symbol", F.inline(cells)).filter(F.col("value").isNotNull())
+    peers = {True: "coalesce(concat('sector ', sector), 'no sector')", False: "'all'"}
+    cells = ", ".join(
+        f"struct('{m.key}' AS metric, {peers[m.within_sector]} AS peers, "
+        f"CAST({m.key} AS double) AS value, {str(m.higher_is_better).lower()} AS up)"
+        for m in metrics)
+    tall = panel.selectExpr("symbol", f"inline(array({cells}))").filter("value IS NOT NULL")
     ranked = grouped_percentile(tall, ["metric", "peers"], "value", "pr")
     return ranked.select("symbol", "metric",
                          F.when(F.col("up"), F.col("pr")).otherwise(1.0 - F.col("pr")).alias("pr"))
@@ -160,28 +159,28 @@ def rank_layer(panel: DataFrame, with_analyst: bool = False) -> DataFrame:
     """The panel plus one pr_<metric> column per active metric."""
     metrics = active_metrics(with_analyst)
     wide = percentile_ranks(panel, metrics).groupBy("symbol").agg(
-        *[F.max(F.when(F.col("metric") == m.key, F.col("pr"))).alias(f"pr_{m.key}")
-          for m in metrics])
+        *[F.expr(f"max(CASE WHEN metric = '{m.key}' THEN pr END) AS pr_{m.key}") for m in metrics])
     return panel.join(wide, "symbol", "left")
 
 
 def _present_mean(terms):
-    """Weighted mean of the columns that are not NULL, and the weight they carry."""
-    value = reduce(lambda a, b: a + b, [F.coalesce(c * w, F.lit(0.0)) for c, w in terms])
-    weight = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), w).otherwise(0.0) for c, w in terms])
-    return value / F.nullif(weight, F.lit(0.0)), weight
+    """Weighted mean of the columns that are not NULL, and the weight they carry, as SQL."""
+    value = " + ".join(f"coalesce({c} * {w!r}D, 0D)" for c, w in terms)
+    weight = " + ".join(f"if({c} IS NULL, 0D, {w!r}D)" for c, w in terms)
+    return f"(({value}) / nullif({weight}, 0D))", f"({weight})"
 
 
-def category_score(ranked: DataFrame, horizon: str, with_analyst: bool = False) -> DataFrame:
+def category_score(ranked: DataFrame, horizon: str, with_analyst: bool = False,
+                   categories=CATEGORIES) -> DataFrame:
     """Adds cat_<category>; NULL where the company has none of its metrics."""
-    out = ranked
-    for category in CATEGORIES:
-        terms = [(F.col(f"pr_{m.key}"), metric_weight(horizon, m))
+    added = []
+    for category in categories:
+        terms = [(f"pr_{m.key}", float(metric_weight(horizon, m)))
                  for m in active_metrics(with_analyst)
                  if m.category == category and metric_weight(horizon, m) > 0]
         if terms:
-            out = out.withColumn(category_column(category), _present_mean(terms)[0])
-    return out
+            added.append(f"{_present_mean(terms)[0]} AS {category_column(category)}")
+    return ranked.selectExpr("*", *added)
 
 
 def score_board(panel: DataFrame, horizon: str, objective: str = "Balanced",
@@ -190,14 +189,13 @@ def score_board(panel: DataFrame, horizon: str, objective: str = "Balanced",
     peers = panel.filter("is_index = 0")
     if where is not None:
         peers = peers.filter(where)
-    scored = category_score(rank_layer(peers, with_analyst), horizon, with_analyst)
-    weights = category_weights(horizon, objective, with_analyst)
-    terms = [(F.col(category_column(c)), w) for c, w in weights.items()
-             if w > 0 and category_column(c) in scored.columns]
+    weights = {c: w for c, w in category_weights(horizon, objective, with_analyst).items() if w > 0}
+    scored = category_score(rank_layer(peers, with_analyst), horizon, with_analyst, weights)
+    terms = [(category_column(c), w) for c, w in weights.items()
+             if category_column(c) in scored.columns]
     mean, coverage = _present_mean(terms)
-    scored = scored.drop(*[category_column(c) for c, w in weights.items() if w <= 0])
-    return (scored.withColumn("coverage", coverage)
-            .withColumn("overall_score", F.round(100.0 * mean, 1)))
+    return scored.selectExpr("*", f"{coverage} AS coverage",
+                             f"round(100D * {mean}, 1) AS overall_score")
 
 
 def rankings(panel, horizon="Medium-Term", objective="Balanced", with_analyst=False,

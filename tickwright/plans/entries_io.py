@@ -296,7 +296,7 @@ CHECKS = [
           "SELECT * FROM fx_symbols WHERE symbol IN (SELECT symbol FROM fx_bars WHERE symbol <> 'MARKET')"),
     Check("guarded_functions", "symbol date@ root~8 log~8 exp_log~6 power~8 floored~8 itself~4", _guarded,
           """SELECT symbol, date, CASE WHEN r >= 0 THEN SQRT(r) END AS root, CASE WHEN r > 0 THEN LN(r) END AS log,
-                    CASE WHEN ABS(r) * 1e4 < 709.5 THEN ABS(r) * 1e4 END AS exp_log, CASE WHEN r >= 0 THEN SQRT(r) END AS power,
+                    CASE WHEN ABS(r) * 1e4 < 709.782712893 THEN ABS(r) * 1e4 END AS exp_log, CASE WHEN r >= 0 THEN SQRT(r) END AS power,
                     GREATEST(r, 0) AS floored, r / NULLIF(r, 0) AS itself FROM v_ret WHERE r IS NOT NULL"""),
     Check("stream_bar_ingest", _BAR, _streamed, "SELECT * FROM v_corrected"),
     Check("stream_latest_quote", "symbol date@ close~6 prev_close~6 daily_return~8 w52_high~6",

@@ -249,10 +249,10 @@ CHECKS = [
     Check("sector_coverage", "sector n#", lambda f: M.sector_coverage(f.panel),
           "SELECT sector, COUNT(*) AS n FROM v_panel GROUP BY sector HAVING COUNT(*) >= 3"),
     Check("panel_filter", "symbol sector last_close~6 vol_1y~8 market_cap~2",
-          lambda f: f.panel.filter(K.panel_filter(("ASIA", "AFRICA", "EUROPE"), "Conservative",
-                                                  ("Small (<$2B)",), 900.0)),
-          "SELECT * FROM v_panel WHERE sector IN ('ASIA', 'AFRICA', 'EUROPE') AND vol_1y BETWEEN 0 AND 0.25 "
-          "AND last_close >= 900 AND market_cap >= 0 AND market_cap < 2e9"),
+          lambda f: f.panel.filter(K.panel_filter(("ASIA", "AFRICA", "EUROPE"), "Aggressive",
+                                                  ("Small (<$2B)", "Mega (>$200B)"), 940.0)),
+          "SELECT * FROM v_panel WHERE sector IN ('ASIA', 'AFRICA', 'EUROPE') "
+          "AND last_close >= 940 AND market_cap >= 0 AND market_cap < 2e9"),
     Check("percentile_rank_nullsafe", "symbol metric pr~8",
           lambda f: K.percentile_ranks(f.panel, [K.BY_KEY[k] for k in ("pe", "vol_1y", "rsi_14", "ret_5y")]),
           " UNION ALL ".join(

@@ -85,7 +85,7 @@ CHECKS = [
     Check("comparison_series", "symbol date@ value~8",
           lambda f: R.comparison_series(f.bars, PICKS, START, END, "Drawdown"),
           f"SELECT symbol, date, dd AS value FROM v_dd WHERE {_WIN} AND symbol IN ({_PICKS_SQL})"),
-    Check("symbol_history", "symbol date@ close~6 volume# daily_return~8 ma_50~6 ma_200~6 "
+    Check("wide_symbol_history", "symbol date@ close~6 volume# daily_return~8 ma_50~6 ma_200~6 "
           "ann_volatility_21d~8 drawdown~8 cumulative_return~8",
           lambda f: S.symbol_history(f.stocks, START, END),
           f"""SELECT b.symbol, b.date, b.close, b.volume, r.r AS daily_return, ma_50, ma_200,
@@ -94,6 +94,10 @@ CHECKS = [
               FROM fx_bars b JOIN v_ret r USING (symbol, date) JOIN v_ma m USING (symbol, date)
               JOIN v_dd d USING (symbol, date) LEFT JOIN v_vol v USING (symbol, date)
               WHERE b.symbol <> 'MARKET' AND {_WIN.replace('date BETWEEN', 'b.date BETWEEN')}"""),
+    Check("join_cross_scalar", "symbol date@ days_in# share_of_high~8",
+          lambda f: _against_bounds(f.bars),
+          """SELECT b.symbol, b.date, b.date - s.d0 AS days_in, b.close / s.hi AS share_of_high FROM fx_bars b
+             JOIN (SELECT symbol, MIN(date) AS d0, MAX(close) AS hi FROM fx_bars GROUP BY 1) s ON s.symbol = b.symbol"""),
     Check("sparkline_tail", "symbol date@ close~6", lambda f: R.tail(f.stocks, 60),
           "SELECT symbol, date, close FROM v_seqn WHERE rn <= 60 AND symbol <> 'MARKET'"),
     Check("topk_per_symbol", "symbol date@ close~6", lambda f: R.tail(f.bars, 5),
@@ -184,3 +188,12 @@ CHECKS = [
              FROM v_yearly y LEFT JOIN (SELECT symbol, ARG_MAX(year, ret) AS b, ARG_MIN(year, ret) AS w
                                         FROM v_yearly WHERE part = 0 GROUP BY symbol) e ON e.symbol = y.symbol"""),
 ]
+
+
+def _against_bounds(bars):
+    """Each session against one-row figures of its symbol, joined on the symbol."""
+    from pyspark.sql import functions as F
+    scalars = bars.groupBy("symbol").agg(F.min("date").alias("d0"), F.max("close").alias("hi"))
+    return bars.join(scalars, "symbol").select(
+        "symbol", "date", F.date_diff("date", "d0").alias("days_in"),
+        (F.col("close") / F.col("hi")).alias("share_of_high"))
