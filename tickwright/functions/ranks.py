@@ -46,10 +46,6 @@ def _band_offsets(distinct: DataFrame, keys) -> DataFrame:
                     F.sum("_rows").over(Window.partitionBy(*keys)).alias("_n")))
 
 
-def _same(left: DataFrame, right: DataFrame, names) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def _join(left, right, names, take, how="inner"):
     """Null-safe equi-join keeping every left column and the named right ones."""
     left, right = left.alias("l"), right.alias("r")
@@ -99,3 +95,21 @@ def grouped_percentile(df: DataFrame, keys, value: str, out: str) -> DataFrame:
         *keys, "_b", "_v",
         ((F.col("_before") + F.col("_in")) / F.nullif(F.col("_n") - 1, F.lit(0))).alias(out))
     return _join(source, ranked, keys + ["_b", "_v"], [out], "left").drop("_v", "_b")
+
+
+def prefix_contenders(df: DataFrame, value: str, n: int, window) -> DataFrame:
+    """Rows that were among the n largest values when they appeared.
+
+    Only such a row can be in the top n of any prefix, and there are few: about
+    n * ln(rows / n) of a record in random order. The k-th largest value so far
+    is the running maximum of what the (k-1)-th let through, min(value, previous
+    maximum), so n running maxima over one sort find the entry bar exactly. An
+    equal later value does not enter.
+    """
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_passed", F.col(value))
+    for _ in range(n):
+        out = out.withColumn("_bar", F.max("_passed").over(before)).withColumn(
+            "_passed", F.when(F.col("_bar").isNotNull(), F.least("_passed", "_bar")))
+    return out.filter(F.col("_bar").isNull() | (F.col(value) > F.col("_bar"))) \
+        .drop("_passed", "_bar")

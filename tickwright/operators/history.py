@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import guards as G
+from ..functions.ranks import prefix_contenders
 from . import series as S
 from .asof import asof_join
 
@@ -73,21 +74,21 @@ def drawdown_episodes(bars: DataFrame, cutoffs: DataFrame, min_depth: float = -0
         F.min(F.struct("close", "date")).over(S.so_far(inside)).alias("trough"),
         F.row_number().over(inside).alias("sessions"))
     value_names = ["peak_close", "peak_date", "trough", "sessions"]
-    ends = states.groupBy("symbol", "episode").agg(
-        *[F.max_by(c, "date").alias(c) for c in value_names])
+    depth = F.col("trough.close") / F.col("peak_close") - 1
+    last = F.coalesce(F.lead("episode").over(S.sessions()) != F.col("episode"), F.lit(True))
     following = F.lead("peak_date").over(Window.partitionBy("symbol").orderBy("episode"))
-    closed = (ends.withColumn("recovery_date", following)
+    closed = (states.withColumn("last", last).filter("last")
+              .withColumn("recovery_date", following).filter(depth <= min_depth)
               .join(cutoffs, "symbol").filter("recovery_date <= asof")
               .select("symbol", "asof", *value_names, "recovery_date"))
-    still_open = (_at_cursor(cutoffs, states, value_names)
+    still_open = (_at_cursor(cutoffs, states, value_names).filter(depth <= min_depth)
                   .select("symbol", "asof", *value_names,
                           F.lit(None).cast("date").alias("recovery_date")))
     low, low_date = F.col("trough.close"), F.col("trough.date")
     return (closed.unionByName(still_open)
-            .withColumn("depth", low / F.col("peak_close") - 1)
-            .filter(F.col("depth") <= min_depth)
             .select("symbol", "asof", "peak_date", low_date.alias("trough_date"),
-                    "recovery_date", "peak_close", low.alias("trough_close"), "depth", "sessions",
+                    "recovery_date", "peak_close", low.alias("trough_close"),
+                    depth.alias("depth"), "sessions",
                     F.date_diff(low_date, "peak_date").alias("days_to_trough"),
                     F.date_diff("recovery_date", low_date).alias("days_to_recover")))
 
@@ -121,7 +122,8 @@ def streaks(returns: DataFrame, cutoffs: DataFrame, direction: int | None = None
     """Longest runs of rising (+1) or falling (-1) sessions known at each cursor.
 
     A flat session ends a run and belongs to none. Runs that ended by the cursor
-    are final; a run still going on at it is cut there.
+    are final, and only those that entered the top of their direction when they
+    ended can be in it at a cursor; a run still going on is cut at the cursor.
     """
     sign = F.signum("daily_return").cast("int")
     marked = (returns.withColumn("close_before", F.lag("close").over(S.sessions()))
@@ -138,12 +140,14 @@ def streaks(returns: DataFrame, cutoffs: DataFrame, direction: int | None = None
         F.row_number().over(inside).alias("length"),
         F.first("date").over(S.so_far(inside)).alias("start_date"),
         F.first("close_before").over(S.so_far(inside)).alias("base"))
-    finished = (states.filter("ends").join(cutoffs, "symbol").filter("date <= asof")
+    wanted = F.col("direction") != 0 if direction is None else F.col("direction") == direction
+    leaders = prefix_contenders(states.filter(F.col("ends") & wanted), "length", limit,
+                                S.sessions("direction"))
+    finished = (leaders.join(cutoffs, "symbol").filter("date <= asof")
                 .select("symbol", "asof", "date", *names))
     going_on = (_at_cursor(cutoffs, states, names).filter(~F.col("ends"))
                 .select("symbol", "asof", "date", *names))
-    runs = finished.unionByName(going_on).filter(
-        F.col("direction") != 0 if direction is None else F.col("direction") == direction)
+    runs = finished.unionByName(going_on.filter(wanted))
     longest = (Window.partitionBy("symbol", "asof", "direction")
                .orderBy(F.desc("length"), "start_date"))
     return (runs.withColumn("rn", F.row_number().over(longest)).filter(F.col("rn") <= limit)
@@ -155,43 +159,52 @@ def streaks(returns: DataFrame, cutoffs: DataFrame, direction: int | None = None
 def extreme_days(returns: DataFrame, cutoffs: DataFrame, limit: int = 5) -> DataFrame:
     """The largest gains and the largest losses up to each cursor.
 
-    Both halves trim to the limit inside each partition before anything moves.
+    A day outside the top of its own past is in no cursor's answer, so only the
+    few days that entered it meet the cursors.
     """
-    rows = (returns.filter(F.col("daily_return").isNotNull()).join(cutoffs, "symbol")
-            .filter("date <= asof").select("symbol", "asof", "date", "close", "daily_return"))
-
-    def half(name, order):
-        w = Window.partitionBy("symbol", "asof").orderBy(order, "date")
-        return (rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
+    rows = (returns.filter(F.col("daily_return").isNotNull())
+            .select("symbol", "date", "close", "daily_return"))
+
+    def half(name, sign):
+        scored = rows.withColumn("score", sign * F.col("daily_return"))
+        w = Window.partitionBy("symbol", "asof").orderBy(F.desc("score"), "date")
+        return (prefix_contenders(scored, "score", limit, S.sessions())
+                .join(cutoffs, "symbol").filter("date <= asof")
+                .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
                 .select("symbol", "asof", F.lit(name).alias("direction"), "date", "close",
                         "daily_return"))
-    return half("gain", F.desc("daily_return")).unionByName(half("loss", F.asc("daily_return")))
+    return half("gain", 1).unionByName(half("loss", -1))
 
 
 def best_worst_periods(monthly: DataFrame, yearly: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Best and worst full month and full year up to each cursor.
 
-    The first and last month of the visible record are left out as partial.
+    The first and the last visible month are left out as partial: a month's state
+    covers the months before it but the first. A cursor reads the state of its
+    last visible month and year. Ties go to the earlier period.
     """
-    edge = Window.partitionBy("symbol", "asof")
-    months = (monthly.filter(F.col("month_return").isNotNull()).join(cutoffs, "symbol")
-              .filter(F.col("year_month") <= F.date_format("asof", "yyyy-MM"))
-              .withColumn("first", F.min("year_month").over(edge))
-              .withColumn("last", F.max("year_month").over(edge))
-              .filter("year_month > first and year_month < last")
-              .select("symbol", "asof", F.lit("month").alias("period_type"),
-                      F.col("year_month").alias("period"), F.col("month_return").alias("ret")))
-    years = (yearly.filter("is_partial = 0 and year_return is not null").join(cutoffs, "symbol")
-             .filter(F.col("year") <= F.date_format("asof", "yyyy"))
-             .select("symbol", "asof", F.lit("year").alias("period_type"),
-                     F.col("year").alias("period"), F.col("year_return").alias("ret")))
-    ends = months.unionByName(years).groupBy("symbol", "asof", "period_type").agg(
-        F.min(F.struct((-F.col("ret")).alias("k"), "period", "ret")).alias("best"),
-        F.min(F.struct(F.col("ret").alias("k"), "period", "ret")).alias("worst"))
-    stacked = F.array(*[F.struct(F.lit(x).alias("extreme"), F.col(f"{x}.period").alias("period"),
-                                 F.col(f"{x}.ret").alias("period_return"))
-                        for x in ("best", "worst")])
-    return ends.select("symbol", "asof", "period_type", F.inline(stacked))
+    def states(df, period, ret, start, candidate, frame):
+        k = F.regexp_replace(period, "-", "").cast("int")
+        best = F.when(candidate, F.struct(F.col(ret).alias("ret"), (-k).alias("k"), period))
+        worst = F.when(candidate, F.struct(F.col(ret).alias("ret"), k.alias("k"), period))
+        return (df.filter(F.col(ret).isNotNull()).withColumn("date", start.cast("date"))
+                .withColumn("place", F.row_number().over(S.sessions()))
+                .select("symbol", "date", F.max(best).over(frame).alias("best"),
+                        F.min(worst).over(frame).alias("worst")))
+
+    def read(state, period_type, period):
+        stacked = F.array(*[F.struct(F.lit(x).alias("extreme"), F.col(f"{x}.{period}").alias("period"),
+                                     F.col(f"{x}.ret").alias("period_return"))
+                            for x in ("best", "worst")])
+        return (_at_cursor(cutoffs, state, ["best", "worst"]).filter("best is not null")
+                .select("symbol", "asof", F.lit(period_type).alias("period_type"), F.inline(stacked)))
+
+    months = states(monthly, "year_month", "month_return", F.concat("year_month", F.lit("-01")),
+                    F.col("place") > 1,
+                    S.sessions().rowsBetween(Window.unboundedPreceding, -1))
+    years = states(yearly.filter("is_partial = 0"), "year", "year_return",
+                   F.concat("year", F.lit("-01-01")), F.lit(True), S.so_far())
+    return read(months, "month", "year_month").unionByName(read(years, "year", "year"))
 
 
 def ma_crossovers(averages: DataFrame, cutoffs: DataFrame) -> DataFrame:

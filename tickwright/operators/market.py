@@ -1,5 +1,7 @@
 """Cross-section answers over a date window: movers, sectors, breadth, statistics."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,12 @@ def sector_performance(bars, symbols, start, end):
             .orderBy(F.desc_nulls_last("median_return"), "sector"))
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """One-row frames side by side, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def market_breadth(bars, symbols, start, end):
     """One row: how many names rose, the median move, and the two ends."""
     moves = (_movers(bars, symbols, start, end)
@@ -99,8 +107,8 @@ def market_breadth(bars, symbols, start, end):
         F.sum((r < 0).cast("int")).alias("declining"), F.count("*").alias("n"),
         F.max_by("symbol", r).alias("best_symbol"), F.max(r).alias("best_return"),
         F.min_by("symbol", r).alias("worst_symbol"), F.min(r).alias("worst_return"))
-    return ends.join(grouped_median(moves, ["scope"], "period_return", "median_return"),
-                     "scope", "left").drop("scope")
+    middle = grouped_median(moves, ["scope"], "period_return", "median_return")
+    return one_row(ends.drop("scope"), middle.drop("scope"))
 
 
 def window_stats(bars: DataFrame, start, end) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import guards as G
 from . import series as S
+from .market import one_row
 
 YEAR, QUARTER_BACK, MONTH_BACK, MONTH = 252, 64, 22, 21
 
@@ -147,20 +148,13 @@ def metric_panel(universe, prices, fundamentals, analyst) -> DataFrame:
 
 
 def coverage_status(universe, bars, fundamentals, analyst) -> DataFrame:
-    """One row: what the wide tables hold. Counts of all four tables in one pass each."""
-    def tagged(df, **aggs):
-        return df.agg(*[v.alias(k) for k, v in aggs.items()]).withColumn("one", F.lit(1))
-    parts = [
-        tagged(universe, n_symbols=F.count("*")),
-        tagged(bars, n_priced=F.count_distinct("symbol"), last_date=F.max("date")),
-        tagged(fundamentals, n_fundamentals=F.count("asof"), fundamentals_asof=F.max("asof")),
-        tagged(analyst, n_analyst=F.count("*")),
-    ]
-    row = parts[0]
-    for part in parts[1:]:
-        row = row.join(part, "one")
-    return row.select("n_symbols", "n_priced", "n_fundamentals", "n_analyst", "last_date",
-                      "fundamentals_asof")
+    """One row: what the wide tables hold."""
+    return one_row(
+        universe.agg(F.count("*").alias("n_symbols")),
+        bars.agg(F.count_distinct("symbol").alias("n_priced"), F.max("date").alias("last_date")),
+        fundamentals.agg(F.count("asof").alias("n_fundamentals"),
+                         F.max("asof").alias("fundamentals_asof")),
+        analyst.agg(F.count("*").alias("n_analyst")))
 
 
 def sector_coverage(panel: DataFrame, least: int = 3) -> DataFrame:

@@ -111,15 +111,13 @@ def portfolio_vs_index(bars, portfolios, start, end, index_symbol) -> DataFrame:
     index = (_within(S.daily_returns(bars.filter(F.col("symbol") == index_symbol)), start, end)
              .filter(F.col("daily_return").isNotNull()))
     log = G.log_growth(F.col("daily_return"))
-    upto = F.sum(log).over(S.so_far())
     before = F.coalesce(F.sum(log).over(
         S.sessions().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    path = index.select("symbol", "date", upto.alias("upto"), before.alias("log_before"))
-    whole = path.groupBy("symbol").agg(F.max_by("upto", "date").alias("log_total"))
+    whole = F.sum(log).over(Window.partitionBy("symbol"))
+    path = index.select("symbol", "date", before.alias("log_before"), whole.alias("log_total"))
     starts = basket.select(F.lit(index_symbol).alias("symbol"), "date").distinct()
-    found = (bracket(starts, path, ["log_before"]).join(whole, "symbol")
-             .select("date", (G.exp_or_null(F.col("log_total") - F.col("next.log_before")) - 1)
-                     .alias("index_return")))
+    found = bracket(starts, path, ["log_before", "log_total"]).select("date", (G.exp_or_null(
+        F.col("next.log_total") - F.col("next.log_before")) - 1).alias("index_return"))
     return (basket.join(found, "date", "left")
             .select("portfolio_id", F.col("date").alias("from_date"), "basket_return",
                     "index_return", (F.col("basket_return") - F.col("index_return")).alias("lead")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import rollups as U
 from ..operators import series as S
+from ..operators.market import one_row
 from ..sources.dimensions import path_exists
 from ..sources.events import validate_events
 
@@ -27,17 +28,13 @@ _MANIFEST = "run string, schema_version int, data_version string, published doub
 
 def data_version(wide_bars, fundamentals, analyst, bars) -> DataFrame:
     """A fingerprint of the data: the same data gives the same text, new data another."""
-    def part(df, *cols):
+    def part(name, df, *cols):
         text = [F.coalesce(c.cast("string"), F.lit("None")) for c in cols]
-        return df.agg(F.concat_ws("|", *text).alias("v")).withColumn("one", F.lit(1))
-
-    def newest(c):
-        return F.max(c), F.count("*")
-    parts = [part(wide_bars, *newest("date")), part(fundamentals, *newest("asof")),
-             part(analyst, F.count("*")), part(bars, *newest("date"))]
-    row = parts[0].withColumnRenamed("v", "v0")
-    for i, p in enumerate(parts[1:], 1):
-        row = row.join(p.withColumnRenamed("v", f"v{i}"), "one")
+        return df.agg(F.concat_ws("|", *text).alias(name))
+
+    row = one_row(part("v0", wide_bars, F.max("date"), F.count("*")),
+                  part("v1", fundamentals, F.max("asof"), F.count("*")),
+                  part("v2", analyst, F.count("*")), part("v3", bars, F.max("date"), F.count("*")))
     return row.select(F.concat_ws("|", "v0", "v1", "v2", "v3").alias("data_version"))
 
 

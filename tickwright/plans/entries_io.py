@@ -194,6 +194,13 @@ FROM fx_bars WHERE volume % 11 <> 0
 """
 
 
+def _anniversaries(f):
+    """Sessions on the calendar day of a market event."""
+    day = F.date_format("date", "MM-dd")
+    events = E.market_events(f.spark).select(day.alias("day"), "title", "category")
+    return f.bars.select("symbol", "date", day.alias("day")).join(events, "day")
+
+
 def _guarded(f):
     r = F.col("daily_return")
     big = F.abs(r) * 1e4
@@ -221,11 +228,10 @@ CHECKS = [
           "SELECT symbol, CAST(NULL AS DOUBLE) AS analyst_score FROM fx_universe"),
     Check("scan_company_events", "symbol date@ title description category source", _loaded_events,
           "SELECT * FROM fx_company_events"),
-    Check("scan_market_events", "symbol sessions_before#",
-          lambda f: f.bars.join(F.broadcast(E.market_events(f.spark).agg(F.min("date").alias("d"))),
-                                F.col("date") < F.col("d")).groupBy("symbol")
-          .agg(F.count("*").alias("sessions_before")),
-          "SELECT symbol, COUNT(*) AS sessions_before FROM fx_bars WHERE date < DATE '2002-10-09' GROUP BY symbol"),
+    Check("scan_market_events", "symbol date@ title category", _anniversaries,
+          f"""SELECT b.symbol, b.date, m.title, m.category FROM fx_bars b
+              JOIN (VALUES {', '.join(f"('{d[5:]}', '{t}', '{c}')" for d, t, c, _ in E.MARKET_EVENTS)}) AS m(day, title, category)
+                ON strftime(b.date, '%m-%d') = m.day"""),
     Check("parse_price_payload", _BAR, lambda f: P.parse_price_payload(_chart_documents(f)), _CHART_SQL),
     Check("parse_quote_payload", "symbol name price~6 prev_close~6 change~6 change_pct~8 day_high~6",
           lambda f: P.parse_quote_payload(_chart_documents(f)),
