@@ -10,8 +10,6 @@ the order inside a band is found among its distinct values only, so a value that
 repeats a billion times is one row.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,30 +26,29 @@ def value_band(x: Column) -> Column:
 
 
 def _banded(df: DataFrame, keys, value) -> DataFrame:
-    return (df.select(*keys, finite(F.col(value)).alias("_v"))
-            .filter(F.col("_v").isNotNull()).withColumn("_b", value_band(F.col("_v"))))
+    """Adds _g, _v and _b. The group is one struct, so a NULL key is a group too."""
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    return (df.withColumn("_g", group).withColumn("_v", finite(F.col(value)))
+            .withColumn("_b", value_band(F.col("_v"))))
 
 
-def _distinct_values(banded: DataFrame, keys) -> DataFrame:
-    return banded.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_m"))
+def _distinct_values(banded: DataFrame) -> DataFrame:
+    return (banded.filter(F.col("_v").isNotNull()).groupBy("_g", "_b", "_v")
+            .agg(F.count("*").alias("_m")))
 
 
-def _band_offsets(distinct: DataFrame, keys) -> DataFrame:
+def _band_offsets(distinct: DataFrame) -> DataFrame:
     """Rows below each band, and rows in the group. A group has a few thousand bands."""
-    ordered = Window.partitionBy(*keys).orderBy("_b")
-    below = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    return (distinct.groupBy(*keys, "_b").agg(F.sum("_m").alias("_rows"))
-            .select(*keys, "_b", "_rows",
+    below = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return (distinct.groupBy("_g", "_b").agg(F.sum("_m").alias("_rows"))
+            .select("_g", "_b", "_rows",
                     F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_before"),
-                    F.sum("_rows").over(Window.partitionBy(*keys)).alias("_n")))
+                    F.sum("_rows").over(Window.partitionBy("_g")).alias("_n")))
 
 
-def _join(left, right, names, take, how="inner"):
-    """Null-safe equi-join keeping every left column and the named right ones."""
-    left, right = left.alias("l"), right.alias("r")
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names])
-    return left.join(right, cond, how).select("l.*", *[F.col(f"r.{t}") for t in take])
+def _below_in_band():
+    w = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_m").over(w), F.lit(0))
 
 
 def grouped_median(df: DataFrame, keys, value: str, out: str = "median") -> DataFrame:
@@ -59,21 +56,22 @@ def grouped_median(df: DataFrame, keys, value: str, out: str = "median") -> Data
 
     Only the one or two bands holding the middle positions are looked into.
     """
-    keys = list(keys)
-    distinct = _distinct_values(_banded(df, keys, value), keys)
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    inside = lambda p, before, size: (p > before) & (p <= before + size)
-    middle = (_band_offsets(distinct, keys).withColumn("_lo", low).withColumn("_hi", high)
-              .filter(inside(F.col("_lo"), F.col("_before"), F.col("_rows"))
-                      | inside(F.col("_hi"), F.col("_before"), F.col("_rows"))))
-    candidates = _join(distinct, middle, keys + ["_b"], ["_before", "_lo", "_hi"])
-    order = (Window.partitionBy(*keys, "_b").orderBy("_v")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    start = F.col("_before") + F.coalesce(F.sum("_m").over(order), F.lit(0))
-    hits = (inside(F.col("_lo"), F.col("_s"), F.col("_m")).cast("int")
-            + inside(F.col("_hi"), F.col("_s"), F.col("_m")).cast("int"))
-    placed = candidates.withColumn("_s", start).withColumn("_hits", hits).filter("_hits > 0")
-    return placed.groupBy(*keys).agg((F.sum(F.col("_v") * F.col("_hits")) / 2).alias(out))
+    distinct = _distinct_values(_banded(df, list(keys), value))
+
+    def inside(position, before, size):
+        return (F.col(position) > before) & (F.col(position) <= before + F.col(size))
+
+    before, start = F.col("_before"), F.col("_start")
+    middle = (_band_offsets(distinct)
+              .withColumn("_lo", F.floor((F.col("_n") + 1) / 2))
+              .withColumn("_hi", F.floor((F.col("_n") + 2) / 2))
+              .filter(inside("_lo", before, "_rows") | inside("_hi", before, "_rows"))
+              .select("_g", "_b", "_before", "_lo", "_hi"))
+    hits = inside("_lo", start, "_m").cast("int") + inside("_hi", start, "_m").cast("int")
+    placed = (distinct.join(middle, ["_g", "_b"]).withColumn("_start", before + _below_in_band())
+              .withColumn("_hits", hits).filter("_hits > 0"))
+    return (placed.groupBy("_g").agg((F.sum(F.col("_v") * F.col("_hits")) / 2).alias(out))
+            .select(*[F.col(f"_g.{k}").alias(k) for k in keys], out))
 
 
 def grouped_percentile(df: DataFrame, keys, value: str, out: str) -> DataFrame:
@@ -84,17 +82,14 @@ def grouped_percentile(df: DataFrame, keys, value: str, out: str) -> DataFrame:
     value leaves one row per value on one side, which a skew-splitting join or a
     size-checked broadcast handles when a single value is very frequent.
     """
-    keys = list(keys)
-    source = df.withColumn("_v", finite(F.col(value))).withColumn("_b", value_band(F.col("_v")))
-    distinct = _distinct_values(_banded(df, keys, value), keys)
-    order = (Window.partitionBy(*keys, "_b").orderBy("_v")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    local = distinct.withColumn("_in", F.coalesce(F.sum("_m").over(order), F.lit(0)))
-    ranked = _join(local, _band_offsets(distinct, keys), keys + ["_b"], ["_before", "_n"])
-    ranked = ranked.select(
-        *keys, "_b", "_v",
-        ((F.col("_before") + F.col("_in")) / F.nullif(F.col("_n") - 1, F.lit(0))).alias(out))
-    return _join(source, ranked, keys + ["_b", "_v"], [out], "left").drop("_v", "_b")
+    source = _banded(df, list(keys), value)
+    distinct = _distinct_values(source)
+    rank = (F.col("_before") + F.col("_in")) / F.nullif(F.col("_n") - 1, F.lit(0))
+    ranked = (distinct.withColumn("_in", _below_in_band())
+              .join(_band_offsets(distinct), ["_g", "_b"])
+              .select("_g", "_b", "_v", rank.alias(out)))
+    return (source.join(ranked, ["_g", "_b", "_v"], "left")
+            .select(*[F.col(f"`{c}`") for c in df.columns], out))
 
 
 def prefix_contenders(df: DataFrame, value: str, n: int, window) -> DataFrame:

@@ -87,7 +87,8 @@ def topk_frames(frames: DataFrame, top: int = 1100) -> DataFrame:
     """
     w = Window.partitionBy("frame").orderBy(F.desc("val"), "cik")
     return (frames.filter(F.col("cik").isNotNull() & F.col("val").isNotNull())
-            .withColumn("place", F.row_number().over(w) - 1).filter(F.col("place") < top))
+            .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top)
+            .withColumn("place", F.col("rn") - 1).drop("rn"))
 
 
 def universe_prescreen(frames: DataFrame, directory: DataFrame, forced: DataFrame,

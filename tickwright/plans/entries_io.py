@@ -36,7 +36,7 @@ def _through_csv(f):
 
 def _chart_documents(f):
     """Bars folded into one price document per symbol; some closes knocked out."""
-    row = F.struct(F.unix_timestamp(F.col("date").cast("timestamp")).alias("ts"), "open", "high", "low",
+    row = F.struct((F.unix_date("date").cast("long") * 86400 + 52200).alias("ts"), "open", "high", "low",
                    F.when(F.col("volume") % 11 != 0, F.col("close")).alias("close"),
                    F.when(F.col("volume") % 5 != 0, F.col("adj_close")).alias("adj"), "volume")
     packed = f.bars.groupBy("symbol").agg(F.array_sort(F.collect_list(row)).alias("r"))

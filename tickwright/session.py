@@ -23,6 +23,9 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8,
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster.
 
@@ -31,12 +34,14 @@ def work_folder(spark: SparkSession) -> str:
     cluster an unset folder is an error, not a reason to use a local disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

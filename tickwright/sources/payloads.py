@@ -38,7 +38,7 @@ def parse_price_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
     i = F.col("i")
     close = _at(F.col("q.close"), i)
     return (rows.select(
-        "symbol", F.timestamp_seconds("ts").cast("date").alias("date"),
+        "symbol", F.date_from_unix_date(F.floor(F.col("ts") / 86400).cast("int")).alias("date"),
         *[_at(F.col(f"q.{c}"), i).alias(c) for c in ("open", "high", "low")],
         close.alias("close"), F.coalesce(_at(F.col("adj"), i), close).alias("adj_close"),
         _at(F.col("q.volume"), i).alias("volume")).filter(F.col("close").isNotNull()))
