@@ -168,7 +168,7 @@ def tag_sector(questions, sectors):
 
 
 def words_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1)))
+    return F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1))
 
 
 def _phrases(directory):
@@ -183,12 +183,19 @@ def _phrases(directory):
 
 
 def symbol_mentions(questions, directory) -> DataFrame:
-    """(question_id, symbol, pos): the first place each company is named."""
-    low = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
-    spoken = questions.select("question_id", low.alias("low"), F.explode(words_of(low)).alias("word"))
-    pattern = F.concat(F.lit(r"(?U)\b\Q"), F.col("phrase"), F.lit(r"\E\b"))
-    return (spoken.join(_phrases(directory), "word")
-            .withColumn("pos", F.regexp_instr("low", pattern)).filter(F.col("pos") > 0)
+    """(question_id, symbol, pos): the word at which each company is first named.
+
+    A one-word name is its word. A longer phrase is looked for in the text, and
+    its place is the number of words before it.
+    """
+    low = F.lower("text")
+    spoken = questions.select("question_id", low.alias("low"),
+                              F.posexplode(words_of(low)).alias("i", "word"))
+    start = F.regexp_instr("low", F.concat(F.lit(r"(?U)\b\Q"), F.col("phrase"), F.lit(r"\E\b")))
+    place = F.when(F.col("phrase") == F.col("word"), F.col("i")).when(
+        start > 0, F.size(words_of(F.col("low").substr(F.lit(1), start - 1))))
+    return (spoken.join(_phrases(directory), "word").withColumn("pos", place)
+            .filter(F.col("pos").isNotNull())
             .groupBy("question_id", "symbol").agg(F.min("pos").alias("pos")))
 
 
@@ -234,8 +241,7 @@ def score_intents(tagged: DataFrame, index_symbol: str) -> DataFrame:
             score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("intent"))))
     bare = F.when((n > 0) & (low != ""), "company_detail").otherwise("")
     return (tagged.withColumn("_low", F.lower(F.trim("text")))
-            .withColumn("_keywords", F.array_intersect(
-                words_of(low), F.array(*[F.lit(k) for k in every])))
+            .withColumn("_keywords", F.filter(words_of(low), lambda w: w.isin(every)))
             .withColumn("_best", F.array_max(F.array(*options)))
             .select(*tagged.columns, F.coalesce("_best.intent", bare).alias("intent"),
                     F.coalesce("_best.score", F.lit(0.0)).alias("score")))

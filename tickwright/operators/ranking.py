@@ -23,19 +23,46 @@ class Metric:
     optional: bool = False
 
 
-# The metric registry. + or - says which way is better, * means
-# ranked inside the sector, ? means present only when consensus data is.
-_REGISTRY = {
-    "Momentum": "ret_1m- ret_3m+ mom_12_1+ ret_5y-",
-    "Technical": "ma50_pos+ ma200_pos+ pct_52w_high+ rsi_14+ volume_trend+",
-    "Risk": "vol_1y- max_dd_1y+ beta_1y- downside_dev- dollar_volume+",
-    "Valuation": "pe-* ps-* pb-* fcf_yield+*",
-    "Quality": "debt_to_equity- current_ratio+ interest_coverage+ earnings_stability+",
-    "Profitability": "roe+ roa+ gross_margin+ net_margin+ gross_profitability+",
-    "Growth": "revenue_growth+ earnings_growth+ fcf_growth+",
-    "Analyst": "analyst_score+? target_upside+? eps_revision+?",
-}
-CATEGORIES = tuple(_REGISTRY)
+# The categories and the metric registry (key, category, whether
+# higher is better). Consensus metrics are optional: absent without that data.
+CATEGORIES = ("Momentum", "Technical", "Risk", "Valuation", "Quality", "Profitability",
+              "Growth", "Analyst")
+METRICS = (
+    Metric("ret_1m", "Momentum", False),
+    Metric("ret_3m", "Momentum", True),
+    Metric("mom_12_1", "Momentum", True),
+    Metric("ret_5y", "Momentum", False),
+    Metric("ma50_pos", "Technical", True),
+    Metric("ma200_pos", "Technical", True),
+    Metric("pct_52w_high", "Technical", True),
+    Metric("rsi_14", "Technical", True),
+    Metric("volume_trend", "Technical", True),
+    Metric("vol_1y", "Risk", False),
+    Metric("max_dd_1y", "Risk", True),
+    Metric("beta_1y", "Risk", False),
+    Metric("downside_dev", "Risk", False),
+    Metric("dollar_volume", "Risk", True),
+    Metric("pe", "Valuation", False, within_sector=True),
+    Metric("ps", "Valuation", False, within_sector=True),
+    Metric("pb", "Valuation", False, within_sector=True),
+    Metric("fcf_yield", "Valuation", True, within_sector=True),
+    Metric("debt_to_equity", "Quality", False),
+    Metric("current_ratio", "Quality", True),
+    Metric("interest_coverage", "Quality", True),
+    Metric("earnings_stability", "Quality", True),
+    Metric("roe", "Profitability", True),
+    Metric("roa", "Profitability", True),
+    Metric("gross_margin", "Profitability", True),
+    Metric("net_margin", "Profitability", True),
+    Metric("gross_profitability", "Profitability", True),
+    Metric("revenue_growth", "Growth", True),
+    Metric("earnings_growth", "Growth", True),
+    Metric("fcf_growth", "Growth", True),
+    Metric("analyst_score", "Analyst", True, optional=True),
+    Metric("target_upside", "Analyst", True, optional=True),
+    Metric("eps_revision", "Analyst", True, optional=True),
+)
+BY_KEY = {m.key: m for m in METRICS}
 
 # Category weights per horizon, in the order of CATEGORIES.
 _HORIZONS = {
@@ -70,18 +97,6 @@ STRENGTH_AT, RISK_AT = 0.75, 0.25
 SCORE_BANDS = ((75, "strong"), (55, "solid"), (40, "mixed"))
 
 
-def _parse_registry():
-    for category, words in _REGISTRY.items():
-        for word in words.split():
-            key = word.rstrip("+-*?")
-            marks = word[len(key):]
-            yield Metric(key, category, "+" in marks, "*" in marks, "?" in marks)
-
-
-METRICS = tuple(_parse_registry())
-BY_KEY = {m.key: m for m in METRICS}
-
-
 def validate_weights(horizons=None, overrides=None) -> None:
     """Refuse a weight table that lost a category, a metric or its unit sum."""
     for name, weights in (horizons or HORIZON_WEIGHTS).items():
