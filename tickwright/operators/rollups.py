@@ -45,22 +45,32 @@ def latest_row(bars):
         F.max("date").alias("date"), *[F.max_by(c, "date").alias(c) for c in cols])
 
 
-def symbol_stats(bars: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each symbol over its own record: one window pass, one aggregate, one join."""
-    rolled = (S.with_features(bars).groupBy("symbol").agg(
+def symbol_stats(bars: DataFrame, symbols: DataFrame, recent: int = 21) -> DataFrame:
+    """Each symbol over its own record: one shuffle, one aggregate, one join.
+
+    The current volatility is that of the newest returns, so returns are counted
+    from the newest and no rolling frame is kept for the sessions before.
+    """
+    newest = (Window.partitionBy("symbol").orderBy(F.desc("date"))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    r = F.col("daily_return")
+    rows = (bars.select("symbol", "date", "close", "volume",
+                        S.return_column().alias("daily_return"), S.peak_column().alias("peak"))
+            .withColumn("k", F.count(r).over(newest)))
+    rolled = rows.groupBy("symbol").agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         F.count("*").alias("trading_days"),
         F.min_by("close", "date").alias("first_close"),
         F.max_by("close", "date").alias("last_close"),
-        F.stddev_pop("daily_return").alias("dev"),
-        F.count("daily_return").alias("n_returns"),
-        F.min("drawdown").alias("max_drawdown"),
-        latest_where("ann_volatility_21d").alias("current_volatility"),
+        F.stddev_pop(r).alias("dev"), F.count(r).alias("n_returns"),
+        F.min(G.change(F.col("close"), F.col("peak"))).alias("max_drawdown"),
+        F.when(F.count(r) >= recent, G.annualised(F.stddev_pop(F.when(F.col("k") <= recent, r))))
+        .alias("current_volatility"),
         latest_where("daily_return").alias("last_daily_return"),
         F.max("close").alias("highest_close"), F.min("close").alias("lowest_close"),
         F.avg("volume").alias("avg_volume"),
-        F.avg(F.col("close") * F.col("volume")).alias("avg_dollar_volume"))
-        .filter(F.col("n_returns") > 0))
+        F.avg(F.col("close") * F.col("volume")).alias("avg_dollar_volume")) \
+        .filter(F.col("n_returns") > 0)
     first, last = F.col("first_close"), F.col("last_close")
     return (symbols.join(rolled, "symbol")
             .withColumn("total_return", G.change(last, first))
