@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, url_filter, warc
+from . import exact_dedup, mixing, sharding, url_filter, warc, winnowing
 
 
 def table(spark, sf_dir, name):
@@ -128,6 +128,15 @@ def op9_sharding(spark, sf_dir):
                        "grown_shard")
 
 
+def op10_decontamination(spark, sf_dir):
+    judged, _ = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform(F.coalesce("item_ids", F.array().cast("array<long>")),
+                                   lambda i: i.cast("string")))
+    return judged.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
+                         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op4_url_filters, op5_warc_revisits, op6_source_mixing, op9_sharding)}
+    op2_exact_dedup, op4_url_filters, op5_warc_revisits, op6_source_mixing, op9_sharding,
+    op10_decontamination)}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_warc_revisits": OP5_SQL}
