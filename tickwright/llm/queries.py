@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, url_filter, warc, winnowing
+from . import exact_dedup, language, mixing, sharding, toxicity, url_filter, warc, winnowing
+from .heldout import held_out
 
 
 def table(spark, sf_dir, name):
@@ -24,6 +25,14 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
 FROM t WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 """
 
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 #: The rules of the query: host, path, action.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -136,7 +145,14 @@ def op10_decontamination(spark, sf_dir):
                          F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op4_url_filters, op5_warc_revisits, op6_source_mixing, op9_sharding,
+    op2_exact_dedup, op3_toxicity, op4_url_filters, op5_warc_revisits, op6_source_mixing, op8_language_id, op9_sharding,
     op10_decontamination)}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_warc_revisits": OP5_SQL}
