@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, sharding, toxicity, url_filter, warc, winnowing
+from . import exact_dedup, jaccard, language, mixing, sharding, toxicity, url_filter, warc, winnowing
 from .heldout import held_out
 
 
@@ -145,6 +145,10 @@ def op10_decontamination(spark, sf_dir):
                          F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.select("doc_id", "text", "lang"))
@@ -153,6 +157,6 @@ def op8_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op3_toxicity, op4_url_filters, op5_warc_revisits, op6_source_mixing, op8_language_id, op9_sharding,
+    op2_exact_dedup, op3_toxicity, op4_url_filters, op5_warc_revisits, op6_source_mixing, op7_jaccard_join, op8_language_id, op9_sharding,
     op10_decontamination)}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_warc_revisits": OP5_SQL}

@@ -13,7 +13,7 @@ def flat_map(rows: DataFrame, args: list, keep: list, made: str, function) -> Da
     numbers and a list of the made columns. Kept columns do not pass through Python
     values, so any type and any null comes back unchanged.
     """
-    made_type = StructType.fromDDL(made)
+    made_type = StructType.fromDDL(made) if made else StructType()
     schema = StructType([rows.schema[k] for k in keep] + list(made_type))
     kinds = [to_arrow_type(f.dataType) for f in made_type]
 
