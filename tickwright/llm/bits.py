@@ -39,6 +39,16 @@ def maybe_in(rows: DataFrame, column: str, bit_set: DataFrame, words: int = WORD
             .drop("_at", "_word", "_bits"))
 
 
+def flagged(rows: DataFrame, column: str, bit_set: DataFrame, name: str, words: int = WORDS) -> DataFrame:
+    """All rows, with whether the hash may be in the set."""
+    position = F.col(column).bitwiseAND(F.lit(words * 64 - 1))
+    known = F.broadcast(bit_set.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
+    return (rows.withColumn("_at", position)
+            .join(known, word_of(F.col("_at")) == F.col("_word"), "left")
+            .withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(bit_of(F.col("_at"))) != 0, F.lit(False)))
+            .drop("_at", "_word", "_bits"))
+
+
 def to_array(bit_set: DataFrame, words: int = WORDS) -> np.ndarray:
     """The set as an array of 8 * words bytes, for use inside tasks."""
     out = np.zeros(words, dtype=np.int64)

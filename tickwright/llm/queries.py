@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, language, mixing, sharding, toxicity, url_filter, warc, winnowing
+from . import exact_dedup, jaccard, language, mixing, sharding, suffix_dedup, toxicity, url_filter, warc, winnowing
 from .heldout import held_out
 
 
@@ -10,6 +10,13 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -157,6 +164,6 @@ def op8_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op3_toxicity, op4_url_filters, op5_warc_revisits, op6_source_mixing, op7_jaccard_join, op8_language_id, op9_sharding,
+    op1_suffix_dedup, op2_exact_dedup, op3_toxicity, op4_url_filters, op5_warc_revisits, op6_source_mixing, op7_jaccard_join, op8_language_id, op9_sharding,
     op10_decontamination)}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_warc_revisits": OP5_SQL}
