@@ -64,6 +64,7 @@ _NUMBER = r"\d{1,3}|" + "|".join(NUMBER_WORDS)
 _BEST = "|".join(SUPERLATIVES)
 _COUNT = (rf"(?=[a-z0-9])(?U:\b)(?:(?:{_BEST})(?U:\s)+(?:{_NUMBER})"
           rf"|(?:{_NUMBER})(?U:\s)+(?:{_BEST}))(?U:\b)")
+_LONG_COUNT = rf"(?U)\b(?:(?:{_BEST})\s+\d{{4,}}|\d{{4,}}\s+(?:{_BEST}))\b"
 _LOOKBACK = (r"(?=[lptoiwd])(?U:\b)(?:last|past|previous|trailing|over|in|within|during)(?U:\s)+"
              r"(?:the(?U:\s)+)?(?:last(?U:\s)+|past(?U:\s)+|previous(?U:\s)+)?"
              rf"(?:{_NUMBER})?(?U:\s)*(?:{'|'.join(UNIT_DAYS)})s?(?U:\b)")
@@ -172,30 +173,39 @@ def words_of(text: Column) -> Column:
 
 
 def _phrases(directory):
-    """(word, phrase, symbol): what names each company, keyed by the phrase's first word."""
+    """(word, phrase, words, symbol): what names each company, keyed by the phrase's first word."""
     tokens = F.filter(F.split(F.lower("name"), r"[\s,.]+"),
                       lambda t: (F.length(t) >= 3) & ~t.isin(list(NAME_STOP_WORDS)))
     said = F.array(F.lower("symbol"), F.get(tokens, 0))
     phrases = directory.select("symbol", F.explode(F.array_distinct(said)).alias("phrase"))
-    word = F.regexp_extract("phrase", r"(?U)\w+", 0)
-    return phrases.filter(F.col("phrase").isNotNull()).select("symbol", "phrase", word.alias("word")) \
+    words = words_of(F.col("phrase"))
+    return phrases.filter(F.col("phrase").isNotNull()).select(
+        "symbol", "phrase", F.get(words, F.lit(0)).alias("word"), F.size(words).alias("words")) \
         .filter(F.col("word") != "")
 
 
 def symbol_mentions(questions, directory) -> DataFrame:
     """(question_id, symbol, pos): the word at which each company is first named.
 
-    A one-word name is its word. A longer phrase is looked for in the text, and
-    its place is the number of words before it.
+    A text is cut once into words, each with the stretch of text that the longest
+    name reaches from there; the text itself goes no further. Words that begin no
+    name are left out, and a word that a question repeats is one row, before the join
+    on the word. A name of several words must follow letter by letter.
     """
-    low = F.lower("text")
-    spoken = questions.select("question_id", low.alias("low"),
-                              F.posexplode(words_of(low)).alias("i", "word"))
-    start = F.regexp_instr("low", F.concat(F.lit(r"(?U)\b\Q"), F.col("phrase"), F.lit(r"\E\b")))
-    place = F.when(F.col("phrase") == F.col("word"), F.col("i")).when(
-        start > 0, F.size(words_of(F.col("low").substr(F.lit(1), start - 1))))
-    return (spoken.join(_phrases(directory), "word").withColumn("pos", place)
-            .filter(F.col("pos").isNotNull())
+    phrases = _phrases(directory)
+    reach = phrases.agg(F.coalesce(F.max("words"), F.lit(1)).alias("n")).scalar()
+    chunks = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+\W*)"), F.lit(1))
+    firsts = phrases.select("word").distinct()
+    spoken = (questions.select("question_id", chunks.alias("chunks"), reach.alias("reach"))
+              .select("question_id", F.posexplode(F.transform("chunks", lambda c, i: F.struct(
+                  F.regexp_extract(c, r"(?U)^\w+", 0).alias("word"),
+                  F.when(F.col("reach") > 1, F.array_join(F.slice("chunks", i + 1, F.col("reach")), ""))
+                  .otherwise("").alias("from_here")))).alias("i", "at"))
+              .select("question_id", "i", "at.word", "at.from_here")
+              .join(firsts, "word", "left_semi")
+              .groupBy("question_id", "word", "from_here").agg(F.min("i").alias("pos")))
+    follows = F.regexp("from_here", F.concat(F.lit(r"(?U)^\Q"), F.col("phrase"), F.lit(r"\E\b")))
+    return (spoken.join(phrases, "word").filter((F.col("phrase") == F.col("word")) | follows)
             .groupBy("question_id", "symbol").agg(F.min("pos").alias("pos")))
 
 
@@ -247,11 +257,15 @@ def score_intents(tagged: DataFrame, index_symbol: str) -> DataFrame:
                     F.coalesce("_best.score", F.lit(0.0)).alias("score")))
 
 
-def resolve_params(tagged: DataFrame, start, end, data_min, data_max, sectors) -> DataFrame:
+def resolve_params(tagged: DataFrame, start, end, data_min, data_max, sectors,
+                   default_limit: int = DEFAULT_LIMIT, max_limit: int = MAX_LIMIT) -> DataFrame:
     """What each question asks for: the question first, then the default window.
 
     A stated lookback beats a stated year. Windows run back from the newest
     session and are clamped to the data. Each value says where it came from.
+    default_limit rows are given when no count is stated and max_limit at most;
+    limit_note says `cut` when that changed a stated count and `unreadable` when a
+    count has more digits than are read.
     """
     d = {k: F.lit(v).cast("date") for k, v in
          (("start", start), ("end", end), ("min", data_min), ("max", data_max))}
@@ -261,7 +275,8 @@ def resolve_params(tagged: DataFrame, start, end, data_min, data_max, sectors) -
 
     cols = scanned(tagged).select(
         *tagged.columns, stated_count().alias("stated"), stated_lookback().alias("lookback"),
-        stated_year().alias("year"), stated_sector(sectors).alias("sector"))
+        stated_year().alias("year"), stated_sector(sectors).alias("sector"),
+        F.col("_low").rlike(_LONG_COUNT).alias("long_count"))
     back, year, stated = F.col("lookback"), F.col("year"), F.col("stated")
     since = F.when(year > 0, F.make_date(year, F.lit(1), F.lit(1)))
 
@@ -273,8 +288,9 @@ def resolve_params(tagged: DataFrame, start, end, data_min, data_max, sectors) -
         F.when(back > 0, clamp(F.date_sub(d["max"], back))).when(year > 0, clamp(since))
         .otherwise(d["start"]).alias("start_date"),
         F.when(back > 0, d["max"]).otherwise(d["end"]).alias("end_date"),
-        F.when(stated > 0, F.least(stated, F.lit(MAX_LIMIT))).otherwise(DEFAULT_LIMIT).alias("row_limit"),
-        "sector", source((back > 0) | (year > 0), "window").alias("window_source"),
+        F.when(stated > 0, F.least(stated, F.lit(max_limit))).otherwise(default_limit).alias("row_limit"),
+        F.when(stated > max_limit, "cut").when(F.col("long_count") & (stated == 0), "unreadable")
+        .otherwise("").alias("limit_note"), "sector", source((back > 0) | (year > 0), "window").alias("window_source"),
         source(stated > 0, "default").alias("limit_source"),
         source(F.col("sector") != "", "default").alias("sector_source"),
         source(F.size("symbols") > 0, "default").alias("symbols_source"))

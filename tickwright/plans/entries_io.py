@@ -113,10 +113,13 @@ def _dirty_events(f):
 
 
 def _event_documents(f):
+    """Curated files of a few hundred events: one for each nation and month, one with the categories."""
     events = f.company_events.withColumn("date", F.col("date").cast("string"))
-    e = events.groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct(*events.columns)).alias("events"))
-    c = f.categories.groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct("*")).alias("categories"))
-    return e.join(c, "one").select(F.to_json(F.struct("events", "categories")).alias("payload"))
+    e = (events.groupBy("symbol", F.substring("date", 1, 7).alias("month"))
+         .agg(F.collect_list(F.struct(*events.columns)).alias("events")))
+    c = f.categories.agg(F.collect_list(F.struct("*")).alias("categories"))     # the five priorities
+    return e.select(F.to_json(F.struct("events")).alias("payload")).union(
+        c.select(F.to_json(F.struct("categories")).alias("payload")))
 
 
 def _loaded_events(f):

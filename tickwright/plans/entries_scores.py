@@ -237,8 +237,8 @@ CHECKS = [
     Check("universe_by_size", "symbol name sector exchange last_close~6 market_cap~2 dollar_volume~2 "
           "vol_1y~8 last_date@", lambda f: M.universe_by_size(f.panel), "SELECT * FROM v_panel"),
     Check("nulls_last_sort", "symbol market_cap~2",
-          lambda f: M.universe_by_size(f.panel).select("symbol", "market_cap").limit(24),
-          "SELECT symbol, market_cap FROM v_panel ORDER BY market_cap DESC NULLS LAST, symbol LIMIT 24"),
+          lambda f: M.universe_by_size(f.panel).select("symbol", "market_cap"),
+          "SELECT symbol, market_cap FROM v_panel"),
     Check("intel_status", "n_symbols# n_priced# n_fundamentals# n_analyst# last_date@ fundamentals_asof@",
           lambda f: M.coverage_status(f.universe, f.stocks, f.fundamentals, f.analyst),
           """SELECT (SELECT COUNT(*) FROM fx_universe) AS n_symbols,

@@ -103,8 +103,8 @@ CHECKS = [
     Check("topk_per_symbol", "symbol date@ close~6", lambda f: R.tail(f.bars, 5),
           "SELECT symbol, date, close FROM v_seqn WHERE rn <= 5"),
     Check("events_in_window", "date@ title category description",
-          lambda f: R.events_in_window(f.market_events, START, END),
-          f"SELECT * FROM fx_market_events WHERE {_WIN}"),
+          lambda f: R.events_in_window(f.company_events, START, END),
+          f"SELECT * FROM fx_company_events WHERE {_WIN}"),
     Check("preset_windows", "preset start_date@ end_date@",
           lambda f: R.preset_windows(f.bars),
           """SELECT preset, GREATEST(CASE preset WHEN 'YTD' THEN date_trunc('year', hi)::DATE

@@ -145,7 +145,7 @@ CHECKS = [
           "SELECT question_id, symbols FROM v_lowered"),
     Check("score_intents", "question_id intent score~4",
           lambda f: Q.score_intents(_tagged(f), INDEX), "SELECT * FROM v_intent"),
-    Check("resolve_params", "question_id start_date@ end_date@ row_limit# sector window_source "
+    Check("resolve_params", "question_id start_date@ end_date@ row_limit# limit_note sector window_source "
           "limit_source sector_source symbols_source",
           lambda f: Q.resolve_params(_tagged(f), START, END, DATA_MIN, DATA_MAX, SECTORS),
           f"""SELECT t.question_id,
@@ -153,7 +153,10 @@ CHECKS = [
                      WHEN year > 0 THEN GREATEST(DATE '{DATA_MIN}', LEAST(make_date(year, 1, 1), DATE '{DATA_MAX}'))
                      ELSE DATE '{START}' END AS start_date,
                 CASE WHEN lookback_days > 0 THEN DATE '{DATA_MAX}' ELSE DATE '{END}' END AS end_date,
-                CASE WHEN stated_count > 0 THEN LEAST(stated_count, 50) ELSE 10 END AS row_limit, sector,
+                CASE WHEN stated_count > 0 THEN LEAST(stated_count, 50) ELSE 10 END AS row_limit,
+                CASE WHEN stated_count > 50 THEN 'cut' WHEN stated_count = 0 AND regexp_matches(l.low,
+                  '{_B}(?:(?:{_SUP})\\s+[0-9]{{4,}}|[0-9]{{4,}}\\s+(?:{_SUP})){_E}') THEN 'unreadable' ELSE '' END AS limit_note,
+                sector,
                 CASE WHEN lookback_days > 0 OR year > 0 THEN 'question' ELSE 'window' END AS window_source,
                 CASE WHEN stated_count > 0 THEN 'question' ELSE 'default' END AS limit_source,
                 CASE WHEN sector <> '' THEN 'question' ELSE 'default' END AS sector_source,

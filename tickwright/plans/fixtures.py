@@ -106,20 +106,17 @@ class Fixtures:
 
     @cached_property
     def company_events(self):
-        from pyspark.sql import Window
-        w = Window.partitionBy("symbol").orderBy(F.desc("v"), "o_orderkey")
-        largest = (self.orders_n.withColumn("rn", F.row_number().over(w))
-                   .filter("rn <= 3")
-                   .select("symbol", F.col("d").alias("date"),
-                           F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
-                           F.lit("large order").alias("description"),
-                           F.col("o_orderpriority").alias("category"),
-                           F.lit("orders").alias("source")))
+        """Every order is an event of its nation; each nation also has one before the record."""
+        orders = self.orders_n.select(
+            "symbol", F.col("d").alias("date"),
+            F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
+            F.lit("order").alias("description"), F.col("o_orderpriority").alias("category"),
+            F.lit("orders").alias("source"))
         founding = self.table("nation").select(
             F.col("n_name").alias("symbol"), F.lit("1990-01-01").cast("date").alias("date"),
             F.lit("Founding").alias("title"), F.lit("before the record").alias("description"),
             F.lit("1-URGENT").alias("category"), F.lit("fixture").alias("source"))
-        return largest.unionByName(founding)
+        return orders.unionByName(founding)
 
     @cached_property
     def categories(self):

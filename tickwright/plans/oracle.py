@@ -40,14 +40,10 @@ SELECT n.n_name AS symbol, CAST(n.n_regionkey AS BIGINT) AS cik, CONCAT(n.n_name
 FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
 """
 VIEWS["fx_company_events"] = """
-SELECT symbol, date, title, description, category, source FROM (
-  SELECT n.n_name AS symbol, CAST(o.o_orderdate AS DATE) AS date,
-         CONCAT('Order ', CAST(o.o_orderkey AS VARCHAR)) AS title, 'large order' AS description,
-         o.o_orderpriority AS category, 'orders' AS source,
-         ROW_NUMBER() OVER (PARTITION BY n.n_name ORDER BY o.o_totalprice DESC, o.o_orderkey) AS rn
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN nation n ON c.c_nationkey = n.n_nationkey) t
-WHERE rn <= 3
+SELECT n.n_name AS symbol, CAST(o.o_orderdate AS DATE) AS date,
+       CONCAT('Order ', CAST(o.o_orderkey AS VARCHAR)) AS title, 'order' AS description,
+       o.o_orderpriority AS category, 'orders' AS source
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
 UNION ALL
 SELECT n_name, DATE '1990-01-01', 'Founding', 'before the record', '1-URGENT', 'fixture' FROM nation
 """

@@ -1,12 +1,12 @@
 """Curated company events, their categories, and market-wide events."""
 
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import persist_table
 
 _DOCUMENT = ("categories array<struct<name: string, tone: string, label: string>>, "
              "events array<struct<" + ", ".join(f"{c}: string" for c in schemas.EVENT_FIELDS) + ">>")
@@ -51,30 +51,35 @@ def read_company_events(spark: SparkSession, path: str):
 def event_violations(events: DataFrame, symbols: DataFrame, categories: DataFrame) -> DataFrame:
     """Every broken rule of every event, one row each, with the reason.
 
-    Unknown names are found by anti-joins, so the known names are never collected.
+    Events are read once: unknown names are the misses of two left joins, and the
+    reasons of an event are one array.
     """
-    def reason(df, text):
-        return df.select(*schemas.EVENT_FIELDS, F.lit(text).alias("reason"))
-
     def blank(c):
         return F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
 
     iso = F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date("date", "yyyy-MM-dd").isNotNull()
-    parts = [reason(events.filter(blank(c)), f"blank {c}") for c in schemas.EVENT_FIELDS]
-    named = events.filter(~blank("symbol")).join(symbols.select("symbol"), "symbol", "left_anti")
-    filed = events.filter(~blank("category")).join(
-        categories.select(F.col("name").alias("category")), "category", "left_anti")
-    dated = events.filter(~blank("date") & ~iso)
-    parts += [reason(named, "unknown symbol"), reason(filed, "unknown category"),
-              reason(dated, "date is not ISO")]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    known = symbols.select(F.col("symbol").alias("_symbol")).distinct()
+    filed = categories.select(F.col("name").alias("_category")).distinct()
+    rules = [F.when(blank(c), f"blank {c}") for c in schemas.EVENT_FIELDS]
+    rules += [F.when(~blank("symbol") & F.col("_symbol").isNull(), "unknown symbol"),
+              F.when(~blank("category") & F.col("_category").isNull(), "unknown category"),
+              F.when(~blank("date") & ~iso, "date is not ISO")]
+    return (events.join(known, F.col("symbol") == F.col("_symbol"), "left")
+            .join(filed, F.col("category") == F.col("_category"), "left")
+            .select(*schemas.EVENT_FIELDS, F.explode(F.array_compact(F.array(*rules))).alias("reason")))
 
 
 def validate_events(events: DataFrame, symbols: DataFrame, categories: DataFrame) -> DataFrame:
-    """Typed, trimmed events; a single bad one fails the load rather than vanish."""
-    bad = event_violations(events, symbols, categories).limit(5).collect()
-    if bad:
-        raise ValueError("invalid company events: " + "; ".join(
-            f"{r['reason']} in {r['symbol']!r} {r['date']!r} {r['title']!r}" for r in bad))
+    """Typed, trimmed events; a single bad one fails the load rather than vanish.
+
+    All violations are written to the work folder; the error names the table, their
+    number and one of them.
+    """
+    bad = persist_table(event_violations(events, symbols, categories), "event-violations")
+    n = bad.count()
+    if n:
+        r = bad.first()
+        raise ValueError(f"{n} violations by company events, in {bad.inputFiles()[0].rpartition('/')[0]}; one is "
+                         f"{r['reason']} in {r['symbol']!r} {r['date']!r} {r['title']!r}")
     return events.select(*[F.to_date("date").alias("date") if c == "date" else F.trim(c).alias(c)
                            for c in schemas.EVENT_FIELDS])
