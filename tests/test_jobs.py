@@ -98,6 +98,9 @@ def test_every_template_answers(spark, small):
         for part, df in answer(intent, tables, params).items():
             assert df.count() > 0, (intent, part)
     assert answer("biggest_winners", tables, params)["rows"].count() == 3
+    upward = answer("biggest_winners", tables, params | {"metric": "volume", "ordering": "asc"})["rows"]
+    volumes = [r["avg_dollar_volume"] for r in upward.collect()]
+    assert volumes == sorted(volumes)
 
 
 # --- streaming -----------------------------------------------------------------

@@ -70,6 +70,24 @@ def test_windows(ask, text, start, end):
     assert (str(row["start_date"]), str(row["end_date"])) == (start, end)
 
 
+def test_stated_fields_win_over_the_text(spark):
+    rows = [(0, "top 5 tech over the past 3 years", "2016-05-01", None, 3, "financials", " Volume ", "ASC"),
+            (1, "top 5 tech over the past 3 years", "soon", "2099-01-01", 0, "nothing", "", "up"),
+            (2, "top 1000 of all", None, " ", None, None, None, None), (3, "top 400", None, None, None, None, None, None)]
+    asked = spark.createDataFrame(rows, "question_id int, text string, asked_start string, asked_end string, "
+                                  "asked_limit int, asked_sector string, asked_metric string, asked_ordering string")
+    directory = spark.createDataFrame(DIRECTORY, "symbol string, name string")
+    got = Q.resolve_params(Q.tag_symbols(asked, directory), "2015-01-01", "2020-06-30", "2001-01-02", "2020-12-31",
+                           SECTORS).orderBy("question_id").collect()
+    assert [(str(r.start_date), str(r.end_date), r.row_limit, r.limit_note, r.sector, r.metric, r.ordering)
+            for r in got] == [
+        ("2016-05-01", "2020-12-31", 3, "", "Financials", "volume", "asc"),
+        ("2001-01-02", "2020-12-31", 5, "", "Information Technology", "", ""),
+        ("2015-01-01", "2020-06-30", 10, "unreadable", "", "", ""),
+        ("2015-01-01", "2020-06-30", 50, "cut", "", "", "")]
+    assert got[0].window_source == got[0].metric_source == "question" and got[2].window_source == "window"
+
+
 @pytest.mark.parametrize("text, sector", [
     ("top tech names", "Information Technology"), ("Consumer Staples please", "Consumer Staples"),
     ("banks", "Financials"), ("healthcare", "Health Care"), ("real estate", "Real Estate"),

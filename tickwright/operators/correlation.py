@@ -105,8 +105,9 @@ def correlation_summary(pairs: DataFrame) -> DataFrame:
     """One row: the closest and the loosest pair, the mean, the thinnest overlap."""
     usable = exact_pairs(pairs).filter(F.col("correlation").isNotNull())
     pair = F.concat_ws(" ", "sym_a", "sym_b")
+    named = F.struct("correlation", pair)                     # equal values are told apart by name
     return usable.agg(
-        F.max_by(pair, "correlation").alias("most_pair"), F.max("correlation").alias("most"),
-        F.min_by(pair, "correlation").alias("least_pair"), F.min("correlation").alias("least"),
+        F.max_by(pair, named).alias("most_pair"), F.max("correlation").alias("most"),
+        F.min_by(pair, named).alias("least_pair"), F.min("correlation").alias("least"),
         F.avg("correlation").alias("mean_correlation"), F.count("*").alias("n_pairs"),
         F.min("n").alias("fewest_shared"))

@@ -102,11 +102,12 @@ def market_breadth(bars, symbols, start, end):
     moves = (_movers(bars, symbols, start, end)
              .select(F.lit("all").alias("scope"), "symbol", "period_return"))
     r = F.col("period_return")
+    named = F.when(r.isNotNull(), F.struct(r, "symbol"))      # equal moves are told apart by name
     ends = moves.groupBy("scope").agg(
         F.sum((r > 0).cast("int")).alias("advancing"),
         F.sum((r < 0).cast("int")).alias("declining"), F.count("*").alias("n"),
-        F.max_by("symbol", r).alias("best_symbol"), F.max(r).alias("best_return"),
-        F.min_by("symbol", r).alias("worst_symbol"), F.min(r).alias("worst_return"))
+        F.max_by("symbol", named).alias("best_symbol"), F.max(r).alias("best_return"),
+        F.min_by("symbol", named).alias("worst_symbol"), F.min(r).alias("worst_return"))
     middle = grouped_median(moves, ["scope"], "period_return", "median_return")
     return one_row(ends.drop("scope"), middle.drop("scope"))
 

@@ -20,8 +20,8 @@ def price_metrics(bars: DataFrame, index_bars: DataFrame) -> DataFrame:
     """Every price metric per symbol: one shuffle by symbol, one aggregate.
 
     Sessions and returns are counted from the newest, so "22 sessions ago" is a
-    condition inside the aggregate. The index returns are the one broadcast: a
-    single series holds one row per day, whatever the number of symbols.
+    condition inside the aggregate. The index is a single series with a row a day,
+    whatever the number of symbols; its join has no hint, so Spark checks its size.
     """
     newest = Window.partitionBy("symbol").orderBy(F.desc("date"))
     counted = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -31,7 +31,7 @@ def price_metrics(bars: DataFrame, index_bars: DataFrame) -> DataFrame:
             .withColumn("k", F.count("r").over(counted))
             .withColumn("in_year", F.col("rn") <= YEAR)
             .withColumn("peak", F.max("close").over(S.so_far(S.sessions("in_year"))))
-            .join(F.broadcast(index_returns(index_bars)), "date", "left"))
+            .join(index_returns(index_bars), "date", "left"))
     rn, r, ir = F.col("rn"), F.col("r"), F.col("ir")
     in_year = F.col("in_year")
     r_year = F.when(F.col("k") <= YEAR, r)

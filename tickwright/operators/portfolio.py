@@ -14,7 +14,11 @@ from .ranges import _within
 
 
 def normalize_weights(portfolios: DataFrame) -> DataFrame:
-    """Weights that sum to one; a basket without positive weight is dropped."""
+    """Weights that sum to one; a basket without positive weight is dropped.
+
+    A symbol that a basket names twice is one holding with the sum of its weights.
+    """
+    portfolios = portfolios.groupBy("portfolio_id", "symbol").agg(F.sum("weight").alias("weight"))
     total = (portfolios.groupBy("portfolio_id").agg(F.sum("weight").alias("total"))
              .filter("total > 0"))
     return (portfolios.join(total, "portfolio_id")
@@ -31,10 +35,11 @@ def _holding_returns(bars, portfolios, start, end):
 
 def joint_sessions(bars, portfolios, start, end) -> DataFrame:
     """Sessions on which every holding of a portfolio has a price."""
-    sizes = portfolios.groupBy("portfolio_id").agg(F.count("*").alias("holdings"))
+    sizes = portfolios.groupBy("portfolio_id").agg(F.count_distinct("symbol").alias("holdings"))
     r = F.col("daily_return")
+    priced, returned = (F.when(c.isNotNull(), F.col("symbol")) for c in (F.col("close"), r))
     days = _holding_returns(bars, portfolios, start, end).groupBy("portfolio_id", "date").agg(
-        F.count("close").alias("priced"), F.count(r).alias("returned"),
+        F.count_distinct(priced).alias("priced"), F.count_distinct(returned).alias("returned"),
         F.sum(r * F.col("weight")).alias("port_return"))
     return days.join(sizes, "portfolio_id").filter("priced = holdings")
 

@@ -261,8 +261,12 @@ def resolve_params(tagged: DataFrame, start, end, data_min, data_max, sectors,
                    default_limit: int = DEFAULT_LIMIT, max_limit: int = MAX_LIMIT) -> DataFrame:
     """What each question asks for: the question first, then the default window.
 
-    A stated lookback beats a stated year. Windows run back from the newest
-    session and are clamped to the data. Each value says where it came from.
+    Columns asked_start, asked_end, asked_limit, asked_sector, asked_metric and
+    asked_ordering, where the table has them, hold what a question's parsed form
+    states and win over its text. Explicit dates beat a stated lookback, and that a
+    stated year; a missing or unreadable end of an explicit window is that of the data.
+    Windows run back from the newest session and are clamped to the data. Each value
+    says where it came from.
     default_limit rows are given when no count is stated and max_limit at most;
     limit_note says `cut` when that changed a stated count and `unreadable` when a
     count has more digits than are read.
@@ -273,24 +277,40 @@ def resolve_params(tagged: DataFrame, start, end, data_min, data_max, sectors,
     def clamp(day):
         return F.greatest(d["min"], F.least(day, d["max"]))
 
+    def asked(name, kind="string"):
+        return F.col(f"asked_{name}").cast(kind) if f"asked_{name}" in tagged.columns else F.lit(None).cast(kind)
+
+    plain = [c for c in tagged.columns if not c.startswith("asked_")]
+    since, until = (F.nullif(F.trim(asked(n)), F.lit("")) for n in ("start", "end"))
+    ordering = F.lower(F.trim(asked("ordering")))
     cols = scanned(tagged).select(
-        *tagged.columns, stated_count().alias("stated"), stated_lookback().alias("lookback"),
-        stated_year().alias("year"), stated_sector(sectors).alias("sector"),
-        F.col("_low").rlike(_LONG_COUNT).alias("long_count"))
+        *plain, F.coalesce(F.when(asked("limit", "int") > 0, asked("limit", "int")), stated_count()).alias("stated"),
+        stated_lookback().alias("lookback"), stated_year().alias("year"),
+        F.coalesce(F.nullif(match_sector(asked("sector"), sectors), F.lit("")), stated_sector(sectors)).alias("sector"),
+        F.col("_low").rlike(_LONG_COUNT).alias("long_count"), since.alias("since"), until.alias("until"),
+        F.coalesce(F.lower(F.trim(asked("metric"))), F.lit("")).alias("metric"),
+        F.when(ordering.isin("asc", "desc"), ordering).otherwise("").alias("ordering"))
     back, year, stated = F.col("lookback"), F.col("year"), F.col("stated")
-    since = F.when(year > 0, F.make_date(year, F.lit(1), F.lit(1)))
+    explicit = F.col("since").isNotNull() | F.col("until").isNotNull()
+    january = F.when(year > 0, F.make_date(year, F.lit(1), F.lit(1)))
+
+    def day(name, otherwise):
+        return clamp(F.coalesce(F.try_to_date(name, "yyyy-MM-dd"), d[otherwise]))
 
     def source(found, otherwise):
         return F.when(found, "question").otherwise(otherwise)
 
     return cols.select(
-        *tagged.columns,
-        F.when(back > 0, clamp(F.date_sub(d["max"], back))).when(year > 0, clamp(since))
-        .otherwise(d["start"]).alias("start_date"),
-        F.when(back > 0, d["max"]).otherwise(d["end"]).alias("end_date"),
+        *plain,
+        F.when(explicit, day("since", "min")).when(back > 0, clamp(F.date_sub(d["max"], back)))
+        .when(year > 0, clamp(january)).otherwise(d["start"]).alias("start_date"),
+        F.when(explicit, day("until", "max")).when(back > 0, d["max"]).otherwise(d["end"]).alias("end_date"),
         F.when(stated > 0, F.least(stated, F.lit(max_limit))).otherwise(default_limit).alias("row_limit"),
         F.when(stated > max_limit, "cut").when(F.col("long_count") & (stated == 0), "unreadable")
-        .otherwise("").alias("limit_note"), "sector", source((back > 0) | (year > 0), "window").alias("window_source"),
+        .otherwise("").alias("limit_note"), "sector", "metric", "ordering",
+        source(explicit | (back > 0) | (year > 0), "window").alias("window_source"),
         source(stated > 0, "default").alias("limit_source"),
         source(F.col("sector") != "", "default").alias("sector_source"),
-        source(F.size("symbols") > 0, "default").alias("symbols_source"))
+        source(F.size("symbols") > 0, "default").alias("symbols_source"),
+        source(F.col("metric") != "", "default").alias("metric_source"),
+        source(F.col("ordering") != "", "default").alias("ordering_source"))

@@ -4,17 +4,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Single industry codes whose sector differs from their range.
-SIC_OVERRIDES = {
-    "Information Technology": (3571, 3572, 3576, 3577, 3661, 3663, 3669, 3670, 3672, 3674, 3675,
-                               3678, 3679, 3827, 3861, 7370, 7371, 7372, 7373, 7374),
-    "Communication Services": (2711, 2721, 2731, 4812, 4813, 4822, 4832, 4833, 4841, 4899, 7812,
-                               7819, 7822, 7841, 7900, 7990),
-    "Health Care": (2834, 2835, 2836, 3826, 3841, 3842, 3843, 3844, 3845, 3851, 5122, 6324, 8000,
-                    8011, 8060, 8071, 8090, 8093),
-    "Consumer Discretionary": (3711, 3714, 3716, 3751, 5812, 5813, 7011, 7997),
-    "Real Estate": (6500, 6512, 6513, 6519, 6531, 6552, 6798),
-    "Utilities": (4911, 4922, 4923, 4924, 4931, 4932, 4941, 4991),
-}
+SIC_OVERRIDES = (
+    (2711, "Communication Services"), (2721, "Communication Services"),
+    (2731, "Communication Services"), (2834, "Health Care"), (2835, "Health Care"),
+    (2836, "Health Care"), (3571, "Information Technology"), (3572, "Information Technology"),
+    (3576, "Information Technology"), (3577, "Information Technology"),
+    (3661, "Information Technology"), (3663, "Information Technology"),
+    (3669, "Information Technology"), (3670, "Information Technology"),
+    (3672, "Information Technology"), (3674, "Information Technology"),
+    (3675, "Information Technology"), (3678, "Information Technology"),
+    (3679, "Information Technology"), (3711, "Consumer Discretionary"),
+    (3714, "Consumer Discretionary"), (3716, "Consumer Discretionary"),
+    (3751, "Consumer Discretionary"), (3826, "Health Care"), (3827, "Information Technology"),
+    (3841, "Health Care"), (3842, "Health Care"), (3843, "Health Care"), (3844, "Health Care"),
+    (3845, "Health Care"), (3851, "Health Care"), (3861, "Information Technology"),
+    (4812, "Communication Services"), (4813, "Communication Services"),
+    (4822, "Communication Services"), (4832, "Communication Services"),
+    (4833, "Communication Services"), (4841, "Communication Services"),
+    (4899, "Communication Services"), (4911, "Utilities"), (4922, "Utilities"), (4923, "Utilities"),
+    (4924, "Utilities"), (4931, "Utilities"), (4932, "Utilities"), (4941, "Utilities"),
+    (4991, "Utilities"), (5122, "Health Care"), (5812, "Consumer Discretionary"),
+    (5813, "Consumer Discretionary"), (6324, "Health Care"), (6500, "Real Estate"),
+    (6512, "Real Estate"), (6513, "Real Estate"), (6519, "Real Estate"), (6531, "Real Estate"),
+    (6552, "Real Estate"), (6798, "Real Estate"), (7011, "Consumer Discretionary"),
+    (7370, "Information Technology"), (7371, "Information Technology"),
+    (7372, "Information Technology"), (7373, "Information Technology"),
+    (7374, "Information Technology"), (7812, "Communication Services"),
+    (7819, "Communication Services"), (7822, "Communication Services"),
+    (7841, "Communication Services"), (7900, "Communication Services"),
+    (7990, "Communication Services"), (7997, "Consumer Discretionary"), (8000, "Health Care"),
+    (8011, "Health Care"), (8060, "Health Care"), (8071, "Health Care"), (8090, "Health Care"),
+    (8093, "Health Care"), (6798000, "Real Estate"),
+)
 # Inclusive industry code ranges and their sector.
 SIC_RANGES = (
     (100, 999, "Consumer Staples"), (1000, 1099, "Materials"), (1200, 1299, "Energy"),
@@ -50,8 +71,7 @@ def sic_codes(spark: SparkSession) -> DataFrame:
     is an equality join against a table of fixed size.
     """
     ranges = spark.createDataFrame(list(SIC_RANGES), "lo int, hi int, sector string")
-    single = spark.createDataFrame(
-        [(c, s) for s, codes in SIC_OVERRIDES.items() for c in codes], "code int, sector string")
+    single = spark.createDataFrame(list(SIC_OVERRIDES), "code int, sector string")
     rows = (ranges.select(F.explode(F.sequence("lo", "hi")).alias("code"), "sector",
                           F.lit(1).alias("prio"))
             .unionByName(single.withColumn("prio", F.lit(0))))

@@ -202,7 +202,7 @@ def _sic(f):
 
 
 _SIC_RANGES_SQL = ", ".join(f"({lo}, {hi}, '{s}')" for lo, hi, s in V.SIC_RANGES)
-_SIC_SINGLE_SQL = ", ".join(f"({c}, '{s}')" for s, codes in V.SIC_OVERRIDES.items() for c in codes)
+_SIC_SINGLE_SQL = ", ".join(f"({c}, '{s}')" for c, s in V.SIC_OVERRIDES)
 _SIC_SQL = f"""
 SELECT p.p_partkey, CAST(p.p_size * 173 AS VARCHAR) AS sic, COALESCE(o.s, r.s, 'Unclassified') AS sector
 FROM part p LEFT JOIN (VALUES {_SIC_SINGLE_SQL}) AS o(c, s) ON o.c = p.p_size * 173
@@ -353,7 +353,7 @@ VIEWS["v_medium"] = _MEDIUM
 def _with_index(f):
     from ..operators.series import return_number
     r = return_number(f.stocks).select("symbol", "date", "r")
-    return r.join(F.broadcast(M.index_returns(f.index_bars)), "date")
+    return r.join(M.index_returns(f.index_bars), "date")
 
 
 def _facts_round_trip(f):

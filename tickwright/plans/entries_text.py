@@ -25,13 +25,18 @@ SELECT CONCAT('o', CAST(o_orderkey AS VARCHAR)) AS question_id, CASE o_orderkey
   WHEN 4 THEN CONCAT('How did ', a, ' Inc perform within the last month')
   WHEN 5 THEN 'Which sector performed best? technology or AFRICA'
   WHEN 6 THEN 'How has the market done over the last twenty wks'
-  ELSE CONCAT('biggest drawdown of ', b, ', then ', a) END AS text
+  ELSE CONCAT('biggest drawdown of ', b, ', then ', a) END AS text,
+  CASE o_orderkey % 40 WHEN 3 THEN '1996-02-01' WHEN 11 THEN '1990-01-01' WHEN 19 THEN 'soon' END AS asked_start,
+  CASE o_orderkey % 80 WHEN 3 THEN '1999-01-31' WHEN 27 THEN '2030-01-01' END AS asked_end,
+  CASE o_orderkey % 50 WHEN 4 THEN 7 WHEN 5 THEN 70 END AS asked_limit,
+  CASE o_orderkey % 30 WHEN 5 THEN ' Volume ' END AS asked_metric,
+  CASE o_orderkey % 30 WHEN 6 THEN 'ASC' WHEN 7 THEN 'sideways' END AS asked_ordering
 FROM (SELECT o_orderkey, CONCAT('NATION_', CAST(o_custkey % 25 AS VARCHAR)) AS a,
              CONCAT('nation_', CAST((o_orderkey // 8) % 25 AS VARCHAR)) AS b,
              CAST((o_orderkey // 8) % 60 AS VARCHAR) AS n,
              CAST(1990 + (o_orderkey // 8) % 14 AS VARCHAR) AS y FROM orders)
 UNION ALL
-SELECT CONCAT('c-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)), text FROM conversations
+SELECT CONCAT('c-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)), text, NULL, NULL, NULL, NULL, NULL FROM conversations
 """
 
 
@@ -145,21 +150,32 @@ CHECKS = [
           "SELECT question_id, symbols FROM v_lowered"),
     Check("score_intents", "question_id intent score~4",
           lambda f: Q.score_intents(_tagged(f), INDEX), "SELECT * FROM v_intent"),
-    Check("resolve_params", "question_id start_date@ end_date@ row_limit# limit_note sector window_source "
-          "limit_source sector_source symbols_source",
+    Check("resolve_params", "question_id start_date@ end_date@ row_limit# limit_note sector metric ordering "
+          "window_source limit_source sector_source symbols_source metric_source ordering_source",
           lambda f: Q.resolve_params(_tagged(f), START, END, DATA_MIN, DATA_MAX, SECTORS),
-          f"""SELECT t.question_id,
-                CASE WHEN lookback_days > 0 THEN GREATEST(DATE '{DATA_MIN}', DATE '{DATA_MAX}' - CAST(lookback_days AS INTEGER))
+          f"""SELECT question_id,
+                CASE WHEN explicit THEN GREATEST(DATE '{DATA_MIN}', LEAST(COALESCE(TRY_CAST(asked_start AS DATE), DATE '{DATA_MIN}'), DATE '{DATA_MAX}'))
+                     WHEN lookback_days > 0 THEN GREATEST(DATE '{DATA_MIN}', DATE '{DATA_MAX}' - CAST(lookback_days AS INTEGER))
                      WHEN year > 0 THEN GREATEST(DATE '{DATA_MIN}', LEAST(make_date(year, 1, 1), DATE '{DATA_MAX}'))
                      ELSE DATE '{START}' END AS start_date,
-                CASE WHEN lookback_days > 0 THEN DATE '{DATA_MAX}' ELSE DATE '{END}' END AS end_date,
-                CASE WHEN stated_count > 0 THEN LEAST(stated_count, 50) ELSE 10 END AS row_limit,
-                CASE WHEN stated_count > 50 THEN 'cut' WHEN stated_count = 0 AND regexp_matches(l.low,
-                  '{_B}(?:(?:{_SUP})\\s+[0-9]{{4,}}|[0-9]{{4,}}\\s+(?:{_SUP})){_E}') THEN 'unreadable' ELSE '' END AS limit_note,
-                sector,
-                CASE WHEN lookback_days > 0 OR year > 0 THEN 'question' ELSE 'window' END AS window_source,
-                CASE WHEN stated_count > 0 THEN 'question' ELSE 'default' END AS limit_source,
+                CASE WHEN explicit THEN GREATEST(DATE '{DATA_MIN}', LEAST(COALESCE(TRY_CAST(asked_end AS DATE), DATE '{DATA_MAX}'), DATE '{DATA_MAX}'))
+                     WHEN lookback_days > 0 THEN DATE '{DATA_MAX}' ELSE DATE '{END}' END AS end_date,
+                CASE WHEN stated > 0 THEN LEAST(stated, 50) ELSE 10 END AS row_limit,
+                CASE WHEN stated > 50 THEN 'cut' WHEN stated = 0 AND long_count THEN 'unreadable' ELSE '' END AS limit_note,
+                sector, metric, ordering,
+                CASE WHEN explicit OR lookback_days > 0 OR year > 0 THEN 'question' ELSE 'window' END AS window_source,
+                CASE WHEN stated > 0 THEN 'question' ELSE 'default' END AS limit_source,
                 CASE WHEN sector <> '' THEN 'question' ELSE 'default' END AS sector_source,
-                CASE WHEN l.n > 0 THEN 'question' ELSE 'default' END AS symbols_source
-              FROM v_tags t JOIN v_lowered l ON l.question_id = t.question_id"""),
+                CASE WHEN n > 0 THEN 'question' ELSE 'default' END AS symbols_source,
+                CASE WHEN metric <> '' THEN 'question' ELSE 'default' END AS metric_source,
+                CASE WHEN ordering <> '' THEN 'question' ELSE 'default' END AS ordering_source
+              FROM v_stated"""),
 ]
+VIEWS["v_stated"] = f"""
+SELECT t.question_id, t.lookback_days, t.year, t.sector, l.n, q.asked_start, q.asked_end,
+  q.asked_start IS NOT NULL OR q.asked_end IS NOT NULL AS explicit, COALESCE(q.asked_limit, t.stated_count) AS stated,
+  COALESCE(LOWER(TRIM(q.asked_metric)), '') AS metric,
+  CASE WHEN LOWER(q.asked_ordering) IN ('asc', 'desc') THEN LOWER(q.asked_ordering) ELSE '' END AS ordering,
+  regexp_matches(l.low, '{_B}(?:(?:{_SUP})\\s+[0-9]{{4,}}|[0-9]{{4,}}\\s+(?:{_SUP})){_E}') AS long_count
+FROM v_tags t JOIN v_lowered l ON l.question_id = t.question_id JOIN v_questions q ON q.question_id = t.question_id
+"""

@@ -243,9 +243,15 @@ class Fixtures:
         asked = forms[-1]
         for i in range(len(forms) - 1):
             asked = when(key % 8 == i, forms[i]).otherwise(asked)
-        return (o.select(concat(lit("o"), key.cast("string")).alias("question_id"), asked.alias("text"))
+        stated = [
+            when(key % 40 == 3, "1996-02-01").when(key % 40 == 11, "1990-01-01").when(key % 40 == 19, "soon").alias("asked_start"),
+            when(key % 80 == 3, "1999-01-31").when(key % 80 == 27, "2030-01-01").alias("asked_end"),
+            when(key % 50 == 4, 7).when(key % 50 == 5, 70).alias("asked_limit"),
+            when(key % 30 == 5, " Volume ").alias("asked_metric"),
+            when(key % 30 == 6, "ASC").when(key % 30 == 7, "sideways").alias("asked_ordering")]
+        return (o.select(concat(lit("o"), key.cast("string")).alias("question_id"), asked.alias("text"), *stated)
                 .unionByName(self.table("conversations").select(
-                    F.concat_ws("-", lit("c"), "conv_id", "turn").alias("question_id"), "text")))
+                    F.concat_ws("-", lit("c"), "conv_id", "turn").alias("question_id"), "text"), True))
 
     @cached_property
     def terms(self):

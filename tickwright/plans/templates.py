@@ -10,19 +10,26 @@ def answer(intent: str, tables: dict, params: dict) -> dict:
     """Frames answering one resolved question.
 
     tables: prices, symbols, symbol_stats, latest_quote; params: start, end,
-    limit, sector, symbols.
+    limit, sector, symbols, metric, ordering. A stated metric replaces the sort of the
+    template where the board can be sorted by it, a stated ordering its direction.
     """
     bars, symbols, stats = tables["prices"], tables["symbols"], tables["symbol_stats"]
     start, end = params["start"], params["end"]
     limit, sector = params.get("limit", 10), params.get("sector", "")
     chosen = list(params.get("symbols", ()))
+    metric, ordering = params.get("metric", ""), params.get("ordering", "")
+
+    def stated(sorts, sort, ascending):
+        return (metric if metric in sorts else sort), ordering == "asc" if ordering else ascending
 
     def movers(sort, ascending):
+        sort, ascending = stated(M.MOVER_SORTS, sort, ascending)
         return {"rows": M.period_movers_ranked(bars, symbols, start, end, sort, ascending, sector, limit),
                 "breadth": M.market_breadth(
                     bars, symbols.filter(F.col("sector") == sector) if sector else symbols, start, end)}
 
     def board(sort, ascending):
+        sort, ascending = stated(M.STATS_SORTS, sort, ascending)
         return {"rows": M.leaderboard_ranked(stats, sort, ascending, sector, limit)}
 
     def company():
