@@ -16,8 +16,9 @@ SHARDS = 40
 def identify_language(spark, docs, sf_dir):
     """Rejected documents go; the others get the predicted language."""
     model = language.fit(docs.select("doc_id", "text", "lang"))
-    named = language.identify(docs, model).filter("NOT rejected")
-    return named.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    names = ("__lang", "__score", "__rejected")      # no column of documents has such a name
+    named = language.identify(docs, model, names=names).filter("NOT __rejected")
+    return named.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def drop_near_copies(spark, docs, sf_dir):

@@ -14,8 +14,8 @@ the text are ignored.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persist_table
 from . import bits
+from .tables import written
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -45,7 +45,7 @@ def exact_groups(docs: DataFrame, hash_of=content_hash) -> DataFrame:
     seen = bits.bit_rows(repeated.select(F.xxhash64("h").alias("x")), "x")
     suspects = bits.maybe_in(keyed, "x", seen)
     texts = suspects.groupBy("h", "norm").agg(F.min("doc_id").alias("variant"))
-    collided = persist_table(
+    collided = written(
         texts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"),
         "collided-hashes")
 
@@ -58,7 +58,7 @@ def exact_groups(docs: DataFrame, hash_of=content_hash) -> DataFrame:
 
     best = F.min(F.struct((-F.col("points")).alias("points"),
                           F.col("doc_id").isNull().alias("unnamed"), "doc_id"))
-    groups = persist_table(
+    groups = written(
         rows.groupBy("h", "variant").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
         .filter("n > 1")
         .select(F.col("h").alias("gh"), F.col("variant").alias("gv"), "n",

@@ -22,8 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persist_table
 from .heldout import held_out, sample_ids
+from .tables import written
 from .tasks import flat_map
 
 SIZE = 4096
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n, found = document_frequencies(rows)
     idf = (np.log((1 + n) / (1 + found)) + 0.05).astype(np.float32)
-    chosen = persist_table(sample_ids(rows, "lang", sample), "language-sample")
+    chosen = written(sample_ids(rows, "lang", sample), "language-sample")
     if chosen.select("lang").distinct().count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
@@ -151,8 +151,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
                  idf)
 
 
-def identify(docs: DataFrame, model: Model, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """The rows of docs with lang_pred, score and rejected."""
+def identify(docs: DataFrame, model: Model, max_distance: float = MAX_DISTANCE,
+             names=("lang_pred", "score", "rejected")) -> DataFrame:
+    """The rows of docs with lang_pred, score and rejected, which replace columns of the same name."""
     languages, centres, idf = model.languages, model.centres, model.idf
 
     def nearest(texts):
@@ -168,4 +169,5 @@ def identify(docs: DataFrame, model: Model, max_distance: float = MAX_DISTANCE)
         rest = [i for i, t in enumerate(texts) if not t or not languages]
         yield rest, [[UNKNOWN] * len(rest), [0.0] * len(rest), [True] * len(rest)]
 
-    return flat_map(docs, ["text"], docs.columns, "lang_pred string, score double, rejected boolean", nearest)
+    made = ", ".join(f"{n} {kind}" for n, kind in zip(names, ("string", "double", "boolean")))
+    return flat_map(docs, ["text"], [c for c in docs.columns if c not in names], made, nearest)

@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persist_table
 from .ordered import running_total
+from .tables import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats=REPEATS, block_words=BLOCK_WOR
     """Per row: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
     spark = docs.sparkSession
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
-    sized = persist_table(docs.select(
+    sized = written(docs.select(
         "doc_id", F.col("source").cast("string").alias("source"),
         count_words(F.col("text")).alias("size"), mark.alias("mark")), "sized-documents")
     rows = source_targets(sized, weights, repeats)
@@ -140,8 +140,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows that share an id are repeated alike; a document without words is left out.
     """
     copies = (mix(docs, **options).filter("size > 0")
-              .groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_n"))
-              .filter("_n > 0").withColumnRenamed("doc_id", "_id"))
-    return (docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+              .groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__mix_n"))
+              .filter("__mix_n > 0").withColumnRenamed("doc_id", "__mix_id"))
+    return (docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+            .withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
             .select(*docs.columns))

@@ -16,14 +16,14 @@ def running_total(rows: DataFrame, group: str, chunk: str, order: list, value: C
     The order is by chunk, then by the columns of order; group may be null. Rows
     that tie in all of these are interchangeable.
     """
-    rows = rows.withColumn("_v", value)
-    sums = rows.groupBy(group, chunk).agg(F.sum("_v").alias("_sum"))
+    rows = rows.withColumn("__total_v", value)
+    sums = rows.groupBy(group, chunk).agg(F.sum("__total_v").alias("__total_sum"))
     before = Window.partitionBy(group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col(group).alias("_g"), F.col(chunk).alias("_c"),
-                       F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    base = sums.select(F.col(group).alias("__total_g"), F.col(chunk).alias("__total_c"),
+                       F.coalesce(F.sum("__total_sum").over(before), F.lit(0)).alias("__total_base"))
     inside = (Window.partitionBy(group, chunk).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return (placed.join(base, F.col(group).eqNullSafe(F.col("_g")) & (F.col(chunk) == F.col("_c")))
-            .withColumn(name, F.col("_base") + F.col("_in"))
-            .drop("_v", "_g", "_c", "_base", "_in"))
+    placed = rows.withColumn("__total_in", F.coalesce(F.sum("__total_v").over(inside), F.lit(0)))
+    return (placed.join(base, F.col(group).eqNullSafe(F.col("__total_g")) & (F.col(chunk) == F.col("__total_c")))
+            .withColumn(name, F.col("__total_base") + F.col("__total_in"))
+            .drop("__total_v", "__total_g", "__total_c", "__total_base", "__total_in"))

@@ -152,6 +152,50 @@ def op10_decontamination(spark, sf_dir):
                          F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),
+w AS (
+  SELECT *, CAST(CASE n % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight,
+         CAST(3 * source_size AS DOUBLE) AS most FROM s),
+r AS (
+  SELECT *, row_number() OVER by_ratio AS k,
+    ((SELECT CAST(sum(size) AS DOUBLE) FROM d)
+      - coalesce(sum(most) OVER (by_ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (by_ratio ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit
+  FROM w WINDOW by_ratio AS (ORDER BY most / weight, n)),
+f AS (SELECT k, unit FROM r WHERE weight * unit <= most ORDER BY k LIMIT 1),
+g AS (
+  SELECT n, source, source_size, CASE WHEN r.k < f.k THEN most ELSE weight * f.unit END AS target,
+         -(-source_size // 128) AS blocks FROM r, f),
+h AS (
+  SELECT *, CASE WHEN n = (SELECT max(n) FROM g WHERE target > 0) THEN 2 ELSE
+    sum(target) OVER (ORDER BY n) / greatest((SELECT sum(target) FROM g), 1) END AS bound FROM g),
+p AS (
+  SELECT slot, (slot % 2147483648) * 1327217885 % 2147483648 / CAST(2147483648 AS DOUBLE) AS point
+  FROM range((SELECT CAST(ceil(round(sum(target)) / 128) AS BIGINT) FROM g)) t(slot)),
+a AS (SELECT slot, min(n) AS n FROM p JOIN h ON point < bound GROUP BY slot),
+k AS (SELECT n, row_number() OVER (PARTITION BY n ORDER BY slot) - 1 AS rank FROM a),
+t AS (SELECT n, rank % blocks AS block, count(*) AS times FROM k JOIN g USING (n) WHERE rank // blocks < 3 GROUP BY 1, 2),
+b AS (
+  SELECT d.*, n, coalesce(sum(size) OVER (PARTITION BY n ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+x AS (
+  SELECT doc_id, n, size, begin, unnest(range(CAST(begin // 128 AS BIGINT), CAST((begin + size - 1) // 128 + 1 AS BIGINT))) AS block
+  FROM b WHERE size > 0),
+y AS (
+  SELECT doc_id, sum(times * (least(begin + size, (x.block + 1) * 128) - greatest(begin, x.block * 128))) AS taken
+  FROM x JOIN t USING (n, block) GROUP BY doc_id)
+SELECT b.doc_id, b.size, g.source_size, g.target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM b JOIN g USING (n) LEFT JOIN y ON y.doc_id = b.doc_id
+"""
+
+
 def op7_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -166,4 +210,5 @@ def op8_language_id(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_exact_dedup, op3_toxicity, op4_url_filters, op5_warc_revisits, op6_source_mixing, op7_jaccard_join, op8_language_id, op9_sharding,
     op10_decontamination)}
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_warc_revisits": OP5_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_warc_revisits": OP5_SQL,
+              "op6_source_mixing": OP6_SQL}

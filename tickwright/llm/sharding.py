@@ -7,7 +7,8 @@ of it is DataFrame functions.
 
 Defined results: a null or empty text has the checksum 0; a null doc_id is keyed
 by the checksum of its text; rows with equal doc_id share a shard and have
-different slots; an empty table gives an empty result. The law is `key`, so
+different slots; an empty table gives an empty result; new columns replace those of
+the same name. The law is `key`, so
 copies of a text with different ids may be in different shards.
 """
 
@@ -52,15 +53,15 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     """
     out = (docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)
            .withColumn("text_crc32", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long")))
-           .withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.col("text_crc32")))
-           .withColumn("_path", jump_path(F.col("_key"), shards))
-           .withColumn("shard", F.col("_path.at").cast("int"))
-           .withColumn("grown_shard", F.when(F.col("_path.next") <= shards, F.col("_path.next"))
-                       .otherwise(F.col("_path.at")).cast("int")).drop("_path")
-           .withColumn("_chunk", F.pmod(F.xxhash64("_key", "text_crc32"), F.lit(CHUNKS))))
-    numbered = running_total(out, "shard", "_chunk", ["_key", "text_crc32", "size"],
+           .withColumn("__shard_key", F.coalesce(F.col("doc_id").cast("long"), F.col("text_crc32")))
+           .withColumn("__shard_path", jump_path(F.col("__shard_key"), shards))
+           .withColumn("shard", F.col("__shard_path.at").cast("int"))
+           .withColumn("grown_shard", F.when(F.col("__shard_path.next") <= shards, F.col("__shard_path.next"))
+                       .otherwise(F.col("__shard_path.at")).cast("int")).drop("__shard_path")
+           .withColumn("__shard_chunk", F.pmod(F.xxhash64("__shard_key", "text_crc32"), F.lit(CHUNKS))))
+    numbered = running_total(out, "shard", "__shard_chunk", ["__shard_key", "text_crc32", "size"],
                              F.lit(1).cast("long"), "slot")
-    return numbered.drop("_key", "_chunk")
+    return numbered.drop("__shard_key", "__shard_chunk")
 
 
 def write_shards(sharded: DataFrame, path: str, files_per_shard: int = 1) -> None:

@@ -24,8 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persist_table
 from .heldout import held_out, sample_ids
+from .tables import written
 from .tasks import flat_map
 
 SAMPLE = {1: 3000, 0: 12_000}     # labelled rows learned from: toxic, other
@@ -101,8 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict = SAMPLE) -> Lexicon:
     """Learn from the texts of docs (doc_id, text) by labels (doc_id, toxic), held-out rows left out."""
     marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     chosen = [sample_ids(marked.filter(F.col("toxic") == y), "toxic", n) for y, n in sample.items()]
-    chosen = persist_table(chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id"]), "toxicity-sample")
-    rows = persist_table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = written(chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id"]), "toxicity-sample")
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
                          .dropDuplicates(["doc_id"]), "toxicity-texts")
 
     def occurrences(texts, toxic):

@@ -23,8 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persist_table
 from . import bits
+from .tables import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_BITS = 1 << 28
@@ -74,7 +74,7 @@ def level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
               .agg(F.array_sort(F.collect_list(F.struct(
                   "place", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("rows"))
               .select(F.col("rows.bits").alias("words")))
-    return Level(size, hashes, seed, persist_table(filled, "cascade-level"))
+    return Level(size, hashes, seed, written(filled, "cascade-level"))
 
 
 class Cascade:
@@ -87,14 +87,14 @@ class Cascade:
     def build(cls, listed: DataFrame, universe: DataFrame) -> "Cascade":
         """listed and universe: distinct keys (column key); other listed keys never pass wrongly."""
         levels: list[Level] = []
-        inside = persist_table(universe.join(listed, "key", "left_semi"), "cascade-in")
-        outside = persist_table(universe.join(listed, "key", "left_anti"), "cascade-out")
+        inside = written(universe.join(listed, "key", "left_semi"), "cascade-in")
+        outside = written(universe.join(listed, "key", "left_anti"), "cascade-out")
         n, others = inside.count(), outside.count()
         while n:
             rate = 0.5 if levels else min(0.5, max(n, 1) / (math.sqrt(2) * max(others, 1)))
             made = level(inside, n, rate, len(levels) + 1)
             levels.append(made)
-            wrong = persist_table(outside.filter(made.passes(F.col("key"), made.words.scalar())),
+            wrong = written(outside.filter(made.passes(F.col("key"), made.words.scalar())),
                                   "cascade-wrong")
             inside, outside, n = wrong, inside, wrong.count()
         return cls(levels)
@@ -121,7 +121,7 @@ def candidates(host: Column, path: Column, shapes: list) -> list[Column]:
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict. rules: (host, path, action allow or block)."""
-    named = persist_table(rules.select(
+    named = written(rules.select(
         F.concat("host", "path").alias("key"), "action",
         F.size(F.split("host", r"\.")).alias("labels"), F.char_length("path").alias("length")).distinct(),
         "url-rules")
@@ -133,7 +133,7 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     parsed = pages.select("page_id", url_host(F.col("url")).alias("host"),
                           url_path(F.col("url")).alias("path"))
     keys = candidates(F.col("host"), F.col("path"), shapes)
-    universe = persist_table(
+    universe = written(
         parsed.select(F.explode(F.array_distinct(F.array(*keys))).alias("key")).filter("key IS NOT NULL").distinct()
         if keys else parsed.select(F.lit("").alias("key")).limit(0), "url-keys")
     block = Cascade.build(named.filter("action = 'block'").select("key").distinct(), universe)

@@ -20,8 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import persist_table
 from . import bits, words
+from .tables import written
 from .tasks import flat_map
 
 WINDOW = 13
@@ -141,15 +141,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     words. A document is contaminated when it has hit words and they are at least
     percent of its words.
     """
-    prints = persist_table(item_prints(items, window, gram), "item-fingerprints")
+    prints = written(item_prints(items, window, gram), "item-fingerprints")
     lengths = prints.select("span").distinct().collect()         # at most `window` values
     spans = [shape(r.span, window, gram) for r in sorted(lengths)]
     known = docs.sparkSession.sparkContext.broadcast(
         bits.to_array(bits.bit_rows(prints.select("fp"), "fp")))
     docs = docs.select("doc_id", F.monotonically_increasing_id().alias("copy"), "text")
-    found = persist_table(document_prints(docs, spans, known), "document-fingerprints")
+    found = written(document_prints(docs, spans, known), "document-fingerprints")
     met = found.filter("fp IS NOT NULL").join(prints, "fp")
-    runs = persist_table(shared_runs(met).distinct(), "shared-runs")
+    runs = written(shared_runs(met).distinct(), "shared-runs")
 
     ends = runs.groupBy("copy", "begin").agg(F.max("end").alias("end"))
     earlier = Window.partitionBy("copy").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
