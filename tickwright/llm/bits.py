@@ -10,7 +10,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import lean
+
 WORDS = 1 << 18
+SHIFTS = (0, 12)     # bits of the hash where the positions of its first and second probe begin
 
 
 def word_of(position: Column) -> Column:
@@ -22,10 +25,11 @@ def bit_of(position: Column) -> Column:
                            position.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def bit_rows(hashes: DataFrame, column: str, words: int = WORDS) -> DataFrame:
+def bit_rows(hashes: DataFrame, column: str, words: int = WORDS, probes: int = 1) -> DataFrame:
     """Rows (word, bits) of the set of a 64-bit hash column; words is a power of two."""
-    position = F.col(column).bitwiseAND(F.lit(words * 64 - 1))
-    return (hashes.select(word_of(position).alias("word"), bit_of(position).alias("bit"))
+    positions = [F.shiftright(column, shift).bitwiseAND(F.lit(words * 64 - 1)) for shift in SHIFTS[:probes]]
+    return (hashes.select(F.explode(F.array(*positions)).alias("at"))
+            .select(word_of(F.col("at")).alias("word"), bit_of(F.col("at")).alias("bit"))
             .groupBy("word").agg(F.bit_or("bit").alias("bits")))
 
 
@@ -52,12 +56,16 @@ def flagged(rows: DataFrame, column: str, bit_set: DataFrame, name: str, words:
 def to_array(bit_set: DataFrame, words: int = WORDS) -> np.ndarray:
     """The set as an array of 8 * words bytes, for use inside tasks."""
     out = np.zeros(words, dtype=np.int64)
-    got = bit_set.toPandas()
-    out[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    with lean(bit_set.sparkSession):
+        got = bit_set.select("word", "bits").toArrow()
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
-def has(array: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def has(array: np.ndarray, hashes: np.ndarray, probes: int = 1) -> np.ndarray:
     """Which of the 64-bit hashes may be in the set (little-endian words)."""
-    at = hashes.astype(np.uint64) & np.uint64(array.size * 8 - 1)
-    return (array[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    out = True
+    for shift in SHIFTS[:probes]:
+        at = (hashes.view(np.uint64) >> np.uint64(shift)) & np.uint64(array.size * 8 - 1)
+        out &= (array[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out

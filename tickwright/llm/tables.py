@@ -1,22 +1,36 @@
 """Intermediate tables in the shared work folder."""
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import persist_table
 
+BATCH_ROWS = 2000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def lean(spark: SparkSession):
+    """For the jobs inside: no shuffle files after the job that needs them, and tasks that
+    hold at most BATCH_ROWS rows at a time."""
+    conf = spark.conf
+    before = {_CLEANUP: conf.get(_CLEANUP, "false"), _BATCH: conf.get(_BATCH, "10000")}
+    conf.set(_CLEANUP, "true")
+    conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            conf.set(key, value)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame and read it back, as persist_table does.
+    """Write a frame and read it back, as persist_table does, under `lean`.
 
-    The shuffle files of the write are dropped when it ends: the table has replaced
-    them, and a long job would otherwise keep those of all its steps on disk.
+    The table has replaced the shuffle files of its job, and a long job would otherwise
+    keep those of all its steps on disk.
     """
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
-    try:
+    with lean(df.sparkSession):
         return persist_table(df, label)
-    finally:
-        conf.set(_CLEANUP, before)
