@@ -20,25 +20,38 @@ class Parse:
     """Phrases of some texts, in order.
 
     text: number of the text; at: first window, in bytes from the text's start;
-    n: windows; trigger: hash of the trigger; phrase: hash of the n + length - 1 bytes.
+    n: windows; trigger: hash of the trigger; begin: first window, in bytes from the
+    piece's start.
     """
     text: np.ndarray
     at: np.ndarray
     n: np.ndarray
     trigger: np.ndarray
-    phrase: np.ndarray
-    trigger_at: np.ndarray  # place of the trigger in the text
-    begin: np.ndarray       # first window, in bytes from the piece's start
+    begin: np.ndarray
     sums: np.ndarray
+    grams: np.ndarray
+    arrived: np.ndarray     # whether the trigger is the last gram of the first window
     length: int
 
+    def phrase(self, chosen=slice(None)) -> np.ndarray:
+        """Hash of the n + length - 1 bytes of the chosen phrases."""
+        return spans(self.sums, self.begin[chosen], self.n[chosen] + self.length - 1)
+
+    def reach(self, chosen: np.ndarray) -> np.ndarray:
+        """Bytes from the start of the chosen phrases' first window to their trigger."""
+        w = self.grams.size - (self.sums.size - self.length) + 1
+        out = np.full(chosen.size, w - 1, dtype=np.int64)
+        inside = np.flatnonzero(~self.arrived[chosen])
+        view = np.lib.stride_tricks.sliding_window_view(self.grams, w)[self.begin[chosen[inside]], ::-1]
+        out[inside] = w - 1 - view.argmin(axis=1)
+        return out
+
     def windows(self, chosen: np.ndarray):
-        """(number of the phrase, place in the text, hash) of each window of the chosen phrases."""
-        which = np.repeat(chosen, self.n[chosen])
-        ends = np.cumsum(self.n[chosen])
-        step = np.arange(which.size) - np.repeat(ends - self.n[chosen], self.n[chosen])
-        begin = self.begin[which] + step
-        return which, self.at[which] + step, spans(self.sums, begin, self.length)
+        """(phrase, place in the text, place in the piece, distance to the trigger) of their windows."""
+        n = self.n[chosen]
+        which = np.repeat(chosen, n)
+        step = np.arange(which.size) - np.repeat(np.cumsum(n) - n, n)
+        return which, self.at[which] + step, self.begin[which] + step, np.repeat(self.reach(chosen), n) - step
 
 
 def spans(sums: np.ndarray, begin: np.ndarray, length) -> np.ndarray:
@@ -47,18 +60,14 @@ def spans(sums: np.ndarray, begin: np.ndarray, length) -> np.ndarray:
     return mixed((sums[begin + length] - sums[begin]) * down[begin])
 
 
-def last_smallest(values: np.ndarray, w: int) -> np.ndarray:
-    """Place of the smallest value, the last of equals, in each w in a row, by doubling."""
-    n = values.size - w + 1
-    best, place, have = values, np.arange(values.size), 1
+def smallest_in_a_row(values: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of each w values in a row, by doubling."""
+    best, have = values, 1
     while have < w:
         step = min(have, w - have)
-        left, right = best[:-step], best[step:]
-        take = right <= left
-        best = np.where(take, right, left)
-        place = np.where(take, place[step:], place[:-step])
+        best = np.minimum(best[:-step], best[step:])
         have += step
-    return place[:n]
+    return best
 
 
 def parses(texts, length: int, gram: int):
@@ -72,27 +81,28 @@ def parses(texts, length: int, gram: int):
         if held and (size >= PIECE or i == len(texts) - 1):
             yield _parse(held, index, length, gram)
             held, index, size = [], [], 0
-    if held:
-        yield _parse(held, index, length, gram)
 
 
 def _parse(held, index, length, gram) -> Parse:
     data = np.frombuffer(b"".join(held), dtype=np.uint8)
-    up, _ = powers(data.size + 1)
+    up, down = powers(data.size + 1)
     sums = np.zeros(data.size + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUES[data] * up[:-1], out=sums[1:])
-    grams = spans(sums, np.arange(data.size - gram + 1), gram)
-    place = last_smallest(grams, length - gram + 1)
+    grams = mixed((sums[gram:] - sums[:-gram]) * down[:sums.size - gram])
+    w = length - gram + 1
+    low = smallest_in_a_row(grams, w)
+    # the trigger is new when its gram has just come in, or when the one before has gone out
+    arrived = grams[w - 1:] == low
+    new = arrived.copy()
+    new[1:] |= low[1:] != low[:-1]
     offsets = np.cumsum([0] + [len(t) for t in held])
-    # windows that cross the end of a text belong to none
-    starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(offsets[:-1], offsets[1:])])
-    owner = np.repeat(np.arange(len(held)), np.diff(offsets) - length + 1)
-    at_trigger = place[starts]
-    new = np.ones(starts.size, dtype=bool)
-    new[1:] = (at_trigger[1:] != at_trigger[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, starts.size))
-    begin = starts[first]
-    shift = offsets[owner[first]]
-    return Parse(np.asarray(index)[owner[first]], begin - shift, n, grams[at_trigger[first]],
-                 spans(sums, begin, n + length - 1), at_trigger[first] - shift, begin, sums, length)
+    new[offsets[:-1]] = True
+    beyond = offsets[1:] - length + 1        # windows that cross the end of a text belong to none
+    new[beyond[beyond < new.size]] = True
+    edges = np.flatnonzero(new)
+    owner = np.searchsorted(offsets, edges, side="right") - 1
+    n = np.diff(np.append(edges, new.size))
+    inside = edges < beyond[owner]
+    begin, owner, n = edges[inside], owner[inside], n[inside]
+    return Parse(np.asarray(index)[owner], begin - offsets[owner], n, low[begin], begin, sums, grams,
+                 arrived[begin], length)

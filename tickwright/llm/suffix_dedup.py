@@ -4,15 +4,14 @@ A byte is removed when it lies in a string of LENGTH bytes that also starts in a
 document with a smaller id. Rolling-hash triggers cut the texts into phrases (see
 phrases.py); equal strings lie in phrases with equal triggers, so order is needed
 inside a trigger only and never over the whole corpus:
- 1. triggers that occur in one document only are left out; most of a corpus that
-    does not repeat ends here;
- 2. the other phrases make the dictionary: each distinct phrase with its first
+ 1. phrases whose trigger occurs in one document only are left out; most of a corpus
+    that does not repeat ends here;
+ 2. phrases that occur in several documents make the dictionary, each with its first
     document. Any later occurrence is removed whole, however long the copied part;
  3. what is left are first occurrences of different phrases with one trigger (the
-    edges of copied parts). Suffixes of these phrases are put in order by their
-    first LENGTH bytes, as hashes, and each run of equal ones is removed in all
-    documents but the first. Before, inner pieces of the suffixes that occur in one
-    phrase only are left out.
+    edges of copied parts). Suffixes of these phrases are grouped by their first
+    LENGTH bytes, as hashes, and equal ones are removed in all documents but the
+    first. Before, suffixes with an inner piece that no other phrase has are left out.
 Text is only moved for documents that lose bytes.
 
 Hashes have 64 bits and equal hashes count as equal strings. Bit sets of fixed size
@@ -32,16 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persist_table
 from . import bits
 from .phrases import parses, spans
+from .tables import written
 from .tasks import flat_map
 from .words import BASE, mixed
 
 LENGTH = 50
 GRAM = 20
-INNER = 8            # windows that share one inner piece
-WORDS = 1 << 20      # of a bit set
+INNER = 4            # windows that share one inner piece
+WORDS = 1 << 21      # of a bit set
+PROBES = 2           # bits that stand for a hash
 FLUSH = 1 << 22      # bytes of text answered at a time
 ROWS_PER_BUCKET = 1000
 MAX_BUCKET_BITS = 16
@@ -81,7 +81,9 @@ def repeated(docs: DataFrame, args: list, hashes, width: int, words: int = WORDS
         bucket = group.column("bucket")[0].as_py()
         rest = np.sort(np.concatenate([np.frombuffer(b, dtype=np.uint32) for b in group.column("rests").to_pylist()]))
         rest = np.unique(rest[1:][rest[1:] == rest[:-1]]).astype(np.uint64)
-        at = np.unique(((rest << np.uint64(width)) | np.uint64(bucket)) & np.uint64(words * 64 - 1))
+        known = (rest << np.uint64(width)) | np.uint64(bucket)
+        at = np.unique(np.concatenate([(known >> np.uint64(shift)) & np.uint64(words * 64 - 1)
+                                       for shift in bits.SHIFTS[:PROBES]]))
         word = (at >> np.uint64(6)).astype(np.int64)
         first = np.flatnonzero(np.diff(word, prepend=-1))
         bit = np.uint64(1) << (at & np.uint64(63))
@@ -109,75 +111,77 @@ class Dedup:
         self.length, self.gram = length, gram
         self.context = docs.sparkSession.sparkContext
 
-    def occurrences(self, width: int) -> DataFrame:
-        """(doc_id, at, n, trigger, phrase) of phrases whose trigger is in two documents or more."""
-        length, gram = self.length, self.gram
+    def marks(self) -> DataFrame:
+        """(doc_id, at, n): n windows from byte at on that start in an earlier document too."""
+        length, gram, width = self.length, self.gram, bucket_bits(self.docs)
+
+        def once(hashes, owner):
+            """Each hash once for each owner."""
+            return hashes[np.unique(mixed(hashes + owner.astype(np.uint64) * BASE), return_index=True)[1]]
 
         def triggers(texts):
             for p in parses(raw(texts), length, gram):
-                _, one = np.unique(mixed(p.trigger + p.text.astype(np.uint64) * BASE), return_index=True)
-                yield p.trigger[one]
+                yield once(p.trigger, p.text)
 
         shared = self.context.broadcast(repeated(self.docs, ["text"], triggers, width))
 
-        def rows(texts):
+        def phrases(texts):
             for p in parses(raw(texts), length, gram):
-                k = bits.has(shared.value, p.trigger)
-                yield p.text[k], [p.at[k].astype(np.int32), p.n[k].astype(np.int32),
-                                  p.trigger[k].view(np.int64), p.phrase[k].view(np.int64)]
+                k = np.flatnonzero(bits.has(shared.value, p.trigger, PROBES))
+                yield once(p.phrase(k), p.text[k])
 
-        return persist_table(flat_map(self.docs, ["text"], ["doc_id"],
-                                      "at int, n int, trigger long, phrase long", rows), "phrases")
+        copied = self.context.broadcast(repeated(self.docs, ["text"], phrases, width))
 
-    def edges(self, chosen, width: int) -> DataFrame:
-        """(doc_id, at, string) of the suffixes of first occurrences that may be in another phrase."""
-        length, gram = self.length, self.gram
-
-        def picked(texts, ids):
+        def occurrences(texts):
+            for p in parses(raw(texts), length, gram):
+                k = np.flatnonzero(bits.has(shared.value, p.trigger, PROBES))
+                phrase = p.phrase(k)
+                again = bits.has(copied.value, phrase, PROBES)
+                k = k[again]
+                yield p.text[k], [p.at[k].astype(np.int32), p.n[k].astype(np.int32), phrase[again].view(np.int64)]
+
+        found = written(flat_map(self.docs, ["text"], ["doc_id"], "at int, n int, phrase long", occurrences),
+                              "copied-phrases")
+        dictionary = written(
+            found.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")),
+            "phrase-dictionary")
+        later = written(found.join(dictionary.filter("first < last").select("phrase", "first"), "phrase")
+                        .filter("first < doc_id").select("doc_id", "at", "n"), "copied-windows")
+        first = self.context.broadcast(bits.to_array(bits.bit_rows(
+            dictionary.select(tag(F.col("phrase"), F.col("first")).alias("h")), "h", WORDS, PROBES), WORDS))
+
+        def edges(texts, ids):
+            """Windows of first occurrences, and the inner piece that those of like distance share."""
             ids = np.array(ids, dtype=np.int64)
             for p in parses(raw(texts), length, gram):
-                k = np.flatnonzero(bits.has(chosen.value, tag(p.phrase.view(np.int64), ids[p.text])))
-                which, at, hashes = p.windows(k)
-                # windows whose distance to the trigger falls into one class share a piece
-                ahead = p.trigger_at[which] - at
+                k = np.flatnonzero(bits.has(shared.value, p.trigger, PROBES))
+                phrase = p.phrase(k)
+                k = k[~bits.has(copied.value, phrase, PROBES)
+                      | bits.has(first.value, tag(phrase.view(np.int64), ids[p.text[k]]), PROBES)]
+                which, at, begin, ahead = p.windows(k)
                 inner = ahead // INNER
-                begin = p.begin[which] + (at - p.at[which]) + (ahead - inner * INNER)
-                piece = mixed(spans(p.sums, begin, length - INNER + 1) + inner.astype(np.uint64))
-                yield p, which, at, hashes, piece
+                piece = spans(p.sums, begin + ahead - inner * INNER, length - INNER + 1)
+                yield p, which, at, begin, mixed(piece + inner.astype(np.uint64))
 
         def pieces(texts, ids):
-            for p, which, _, _, piece in picked(texts, ids):
-                _, one = np.unique(mixed(piece + which.astype(np.uint64) * BASE), return_index=True)
-                yield piece[one]
-
-        shared = self.context.broadcast(repeated(self.docs, ["text", "doc_id"], pieces, width))
-
-        def rows(texts, ids):
-            for p, which, at, hashes, piece in picked(texts, ids):
-                k = bits.has(shared.value, piece)
-                yield p.text[which[k]], [at[k].astype(np.int32), hashes[k].view(np.int64)]
-
-        return flat_map(self.docs, ["text", "doc_id"], ["doc_id"], "at int, string long", rows)
-
-    def marks(self) -> DataFrame:
-        """(doc_id, at, n): n windows from byte at on that start in an earlier document too."""
-        width = bucket_bits(self.docs)
-        found = self.occurrences(width)
-        dictionary = persist_table(
-            found.groupBy("phrase", "trigger").agg(F.min("doc_id").alias("first")), "phrase-dictionary")
-        later = (found.join(dictionary.select("phrase", "trigger", "first"), ["phrase", "trigger"])
-                 .filter("first < doc_id").select("doc_id", "at", "n"))
-        several = (dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases"))
-                   .filter("phrases > 1"))
-        first = dictionary.join(several, "trigger", "left_semi")
-        chosen = self.context.broadcast(bits.to_array(bits.bit_rows(
-            first.select(tag(F.col("phrase"), F.col("first")).alias("h")), "h", WORDS), WORDS))
-        strings = persist_table(self.edges(chosen, width), "phrase-suffixes")
-        least = (strings.groupBy("string").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-                 .filter("first < last"))
-        edge = (strings.join(persist_table(least.select("string", "first"), "shared-suffixes"), "string")
-                .filter("first < doc_id").select("doc_id", "at", F.lit(1).alias("n")))
-        return persist_table(later.union(edge), "removed-windows")
+            for _, which, _, _, piece in edges(texts, ids):
+                yield once(piece, which)
+
+        open_pieces = self.context.broadcast(repeated(self.docs, ["text", "doc_id"], pieces, width))
+
+        def suffixes(texts, ids):
+            for p, which, at, begin, piece in edges(texts, ids):
+                k = np.flatnonzero(bits.has(open_pieces.value, piece, PROBES))
+                yield p.text[which[k]], [at[k].astype(np.int32), spans(p.sums, begin[k], length).view(np.int64)]
+
+        strings = written(flat_map(self.docs, ["text", "doc_id"], ["doc_id"], "at int, string long", suffixes),
+                                "phrase-suffixes")
+        least = written(
+            strings.groupBy("string").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+            .filter("first < last").select("string", "first"), "shared-suffixes")
+        edge = (strings.join(least, "string").filter("first < doc_id")
+                .select("doc_id", "at", F.lit(1).alias("n")))
+        return later.union(written(edge, "edge-windows"))
 
 
 def runs(marks, length: int, size: int):
