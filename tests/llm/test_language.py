@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickwright.llm import language
+from tickwright.llm import heldout, language
 from tickwright.llm.queries import QUERIES
 
 from .cases import ODD, crowded, documents, held_out
@@ -35,13 +35,18 @@ def test_learned_and_odd_texts(spark):
 
 def test_held_out_rows_and_nulls_teach_nothing(spark):
     docs = corpus(spark)
-    flip = F.when(F.udf(held_out, "boolean")("doc_id"), "other").otherwise(F.col("lang"))
+    flip = F.when(heldout.held_out(F.col("doc_id")), "other").otherwise(F.col("lang"))
     assert set(language.fit(docs.withColumn("lang", flip)).languages) == {"aa", "zz"}
     unnamed = docs.withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit("null"))
     more = docs.union(unnamed).union(docs.withColumn("lang", F.lit(None).cast("string")))
     assert set(language.fit(more).languages) == {"aa", "zz"}
 
 
+def test_the_split_is_that_of_the_checksum(spark):
+    ids = spark.range(300).select("id", heldout.held_out(F.col("id")).alias("out")).collect()
+    assert all(r.out == held_out(r.id) for r in ids)
+
+
 def test_nothing_to_learn_from(spark):
     model = language.fit(documents(spark, []))
     got = language.identify(documents(spark, ["word", None]), model).collect()

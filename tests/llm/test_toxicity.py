@@ -1,10 +1,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tickwright.llm import toxicity
+from tickwright.llm import heldout, toxicity
 from tickwright.llm.queries import QUERIES
 
-from .cases import ODD, crowded, documents, held_out, prose
+from .cases import ODD, crowded, documents, prose
 
 
 def test_folding():
@@ -29,7 +29,7 @@ def test_learned_lexicon_and_odd_texts(spark):
     docs, labels = corpus(spark)
     lexicon = toxicity.fit(docs, labels)
     assert " gruntel " in lexicon.weights and " zork" in lexicon.weights
-    texts = [*ODD, "a gruntel b gruntel", "gr\u0443ntel zork1sh", "plain words of no interest", "gruntel " * 3000,
+    texts = [*ODD, "a gruntel b gruntel", "gr\u03c5ntel zork1sh", "plain words of no interest", "gruntel " * 3000,
              "zorkunknown it is"]
     rows = {r.doc_id: r.score for r in toxicity.score(crowded(documents(spark, texts)), lexicon).collect()}
     n = len(ODD)
@@ -46,7 +46,7 @@ def test_exceptions_excuse_their_words(spark):
 
 def test_labels_of_held_out_rows_and_nulls_teach_nothing(spark):
     docs, labels = corpus(spark)
-    flip = F.when(F.udf(held_out, "boolean")("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic"))
+    flip = F.when(heldout.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic"))
     spoiled = labels.withColumn("toxic", flip).union(spark.createDataFrame(
         [(None, 1), (5, None), (10**9, 1)], "doc_id long, toxic int"))
     assert toxicity.fit(docs, spoiled).weights == toxicity.fit(docs, labels).weights

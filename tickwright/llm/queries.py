@@ -171,7 +171,7 @@ r AS (
 f AS (SELECT k, unit FROM r WHERE weight * unit <= most ORDER BY k LIMIT 1),
 g AS (
   SELECT n, source, source_size, CASE WHEN r.k < f.k THEN most ELSE weight * f.unit END AS target,
-         -(-source_size // 128) AS blocks FROM r, f),
+         (source_size + 127) // 128 AS blocks FROM r, f),
 h AS (
   SELECT *, CASE WHEN n = (SELECT max(n) FROM g WHERE target > 0) THEN 2 ELSE
     sum(target) OVER (ORDER BY n) / greatest((SELECT sum(target) FROM g), 1) END AS bound FROM g),

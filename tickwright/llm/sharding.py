@@ -32,12 +32,15 @@ def jump_path(key: Column, shards: int) -> Column:
     start = F.struct(seed.alias("seed"), F.lit(0).cast("long").alias("at"),
                      F.lit(0).cast("long").alias("next"))
 
+    def whole(x, y):
+        """x div y; taking the remainder off first keeps the division exact."""
+        return ((x - x % y) / y).cast("long")
+
     def draw(s, _):
         seed = F.pmod((s["seed"] * F.lit(MULTIPLIER).cast("decimal(19,0)")).cast("decimal(38,0)")
                       + F.lit(1), two64).cast("decimal(20,0)")
-        top = F.floor(seed / F.lit(1 << 33).cast("decimal(10,0)")).cast("long")
-        moved = F.floor(((s["next"] + 1) * F.lit(1 << 31)).cast("decimal(38,0)")
-                        / (top + 1).cast("decimal(11,0)")).cast("long")
+        top = whole(seed, F.lit(1 << 33).cast("decimal(10,0)"))
+        moved = whole((s["next"] + 1) * F.lit(1 << 31), top + 1)
         return F.when(s["next"] >= shards, s).otherwise(
             F.struct(seed.alias("seed"), s["next"].alias("at"), moved.alias("next")))
 
