@@ -15,6 +15,10 @@ copies is built:
  3. of each list, only pairs from different components are left; they are filtered
     and verified. After that every candidate pair is linked, refuted, or within one
     component already.
+The filters only leave out what cannot be similar: the sizes; the place of the shared
+shingle, as some shared shingle is the first one and the rest must suffice (an entry
+that could not be first with any partner of its list goes before pairs are made); and
+the sum of smaller counts by 256 ranges of the hash, which the overlap cannot exceed.
 
 A shingle is a 64-bit hash; sets are compared by 128 bits and size. Bit sets of fixed
 size decide which shingles leave a task; they leave out only what cannot meet.
@@ -26,17 +30,20 @@ component of an equal set, if there is one; an empty table gives an empty result
 other columns are ignored.
 """
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persist_table
 from . import bits, words
 from .components import components
+from .tables import written
 from .tasks import flat_map
 
 SHINGLE = 5
 PERCENT = 80
+CLASS = 1.06         # ratio of the sizes in one size class
 FREQUENT = 64        # a shingle in more prefixes than this comes last in the order
 
 
@@ -77,6 +84,12 @@ def set_key(shingles: np.ndarray):
     return int(one.sum(dtype=np.uint64).view(np.int64)), int(two.sum(dtype=np.uint64).view(np.int64))
 
 
+def histogram(shingles: np.ndarray):
+    """Shingles by range of the hash, as 16-bit counts; None if one is too large."""
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else None
+
+
 def _longs(parts: list):
     return [p.view(np.int64) for p in parts]
 
@@ -103,7 +116,7 @@ class Join:
                     out.append(ordered_prefix(s, percent, none))
             yield index, [_longs(out)]
 
-        counted = persist_table(
+        counted = written(
             flat_map(self.docs, ["text"], [], "prefix array<long>", prefixes)
             .select(F.explode("prefix").alias("shingle")).groupBy("shingle")
             .agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "prefix-shingles")
@@ -125,7 +138,7 @@ class Join:
             counted.select("shingle").union(entered), "shingle", 1 << 20), 1 << 20))
 
         def rows(texts):
-            index, sizes, keys, groups, kept, places = [], [], [], [], [], []
+            index, sizes, keys, groups, kept, places, counts = [], [], [], [], [], [], []
             for i, s in shingle_sets(texts, k):
                 prefix = ordered_prefix(s, percent, late.value)
                 at = np.flatnonzero(bits.has(meets.value, prefix))
@@ -135,16 +148,17 @@ class Join:
                 groups.append(set_key(prefix)[0])
                 kept.append(prefix[at])
                 places.append(at.astype(np.int32))
-            yield index, [sizes, [a for a, _ in keys], [b for _, b in keys], groups, _longs(kept), places]
+                counts.append(histogram(s) if at.size else None)
+            yield index, [sizes, [a for a, _ in keys], [b for _, b in keys], groups, _longs(kept), places, counts]
 
-        return persist_table(flat_map(
+        return written(flat_map(
             self.docs, ["text"], ["doc_id"], "n long, key_1 long, key_2 long, group_key long, "
-            "shingles array<long>, places array<int>", rows), "jaccard-index")
+            "shingles array<long>, places array<int>, histogram binary", rows), "jaccard-index")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of documents whose sets are similar enough."""
         k, percent = self.k, self.percent
-        pairs = persist_table(pairs, "jaccard-pairs")
+        pairs = written(pairs, "jaccard-pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         wanted = self.context.broadcast(bits.to_array(
             bits.bit_rows(ids.select(F.xxhash64("id").alias("h")), "h")))
@@ -175,7 +189,7 @@ class Join:
                     out.append(i)
             yield out, []
 
-        return persist_table(flat_map(both, ["s", "t"], ["a", "b"], "", similar).distinct(), "jaccard-links")
+        return written(flat_map(both, ["s", "t"], ["a", "b"], "", similar).distinct(), "jaccard-links")
 
     def near(self, n: str, m: str):
         """Sizes that can be similar."""
@@ -185,24 +199,25 @@ class Join:
         """(members, links): doc_id, n, component of every row; verified links (a, b) between documents."""
         index = self.index()
         real = index.filter("n > 0 AND doc_id IS NOT NULL")
-        same = persist_table(real.groupBy("n", "key_1", "key_2").agg(F.min("doc_id").alias("one")), "equal-sets")
+        same = written(real.groupBy("n", "key_1", "key_2").agg(F.min("doc_id").alias("one")), "equal-sets")
         ones = same.select(F.col("one").alias("doc_id"), "n", "key_1", "key_2")
-        reps = persist_table(
+        reps = written(
             real.join(ones, ["doc_id", "n", "key_1", "key_2"], "left_semi")
             .dropDuplicates(["doc_id", "n", "key_1", "key_2"])
-            .select("doc_id", "n", "group_key", F.arrays_zip("shingles", "places").alias("prefix")), "jaccard-sets")
+            .select("doc_id", "n", "group_key", "histogram", F.arrays_zip("shingles", "places").alias("prefix")),
+            "jaccard-sets")
 
         # lists: documents by group, and groups (by their first member) by prefix shingle
         group = F.xxhash64("n", "group_key")
         leaders = reps.groupBy(group.alias("grp")).agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("members"))
-        members = persist_table(
+        members = written(
             reps.select(group.alias("grp"), "doc_id", "n").join(leaders, "grp"), "jaccard-groups")
-        entries = persist_table(
+        entries = written(
             reps.join(leaders.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi")
             .select(group.alias("grp"), "doc_id", "n", F.explode("prefix").alias("p"))
             .select("grp", "doc_id", "n", F.col("p.shingles").alias("shingle"), F.col("p.places").alias("place")),
             "jaccard-entries")
-        lists = persist_table(
+        lists = written(
             entries.groupBy("shingle").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("length"))
             .filter("length > 1"), "jaccard-lists")
 
@@ -218,61 +233,88 @@ class Join:
         first = components(links)
 
         # 3. pairs across components
-        labelled = persist_table(
+        labelled = written(
             members.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
             .withColumn("component", F.coalesce("component", "doc_id")), "jaccard-labelled")
-        rest = self.verified(self.across(entries.join(lists.select("shingle"), "shingle", "left_semi"), labelled))
-        links = persist_table(links.union(rest).distinct(), "jaccard-all-links")
+        pairs = written(self.across(entries.join(lists.select("shingle"), "shingle", "left_semi"), labelled),
+                        "jaccard-candidates")
+        rest = self.verified(self.roomy(pairs, reps))
+        links = written(links.union(rest).distinct(), "jaccard-all-links")
         final = components(links)
         joined = (same.join(final.select(F.col("node").alias("one"), "component"), "one", "left")
                   .select(F.col("n").alias("_n"), F.col("key_1").alias("_1"), F.col("key_2").alias("_2"),
                           F.coalesce("component", "one").alias("component")))
-        joined = persist_table(joined, "jaccard-components")
+        joined = written(joined, "jaccard-components")
         out = index.join(joined, (F.col("n") == F.col("_n")) & (F.col("key_1") == F.col("_1"))
                          & (F.col("key_2") == F.col("_2")), "left")
         return out.select("doc_id", F.col("n"), F.coalesce("component", "doc_id").alias("component")), links
 
+    def enough(self, left, n, m):
+        """Whether `left` shared shingles can make sets of n and m similar."""
+        return left * (100 + self.percent) >= (n + m) * self.percent
+
     def across(self, entries: DataFrame, labelled: DataFrame) -> DataFrame:
-        """Pairs (a, b) of documents in different components that their prefixes do not rule out."""
+        """Pairs (a, b) of documents in different components that sizes and places do not rule out.
+
+        A list is cut by size class, and an entry enters the part for its class and
+        another only if it could be the first shared shingle with the smallest size
+        there. So members of a crowd of copies that differ too much meet nobody.
+        """
+        n, place = F.col("n"), F.col("place")
         member = labelled.select("grp", F.col("doc_id").alias("doc"), F.col("component").alias("c"))
         named = entries.select("grp", "shingle", "n", "place").join(member, "grp")
         inside = labelled.filter("members > 1").select(
-            "grp", F.lit(0).cast("long").alias("shingle"), "n", F.lit(-1).alias("place"),
+            "grp", F.lit(0).cast("long").alias("shingle"), "n", F.lit(0).alias("place"),
             F.col("doc_id").alias("doc"), F.col("component").alias("c"))
         named = named.select(F.lit(0).cast("long").alias("within"), "shingle", "n", "place", "doc", "c").union(
             inside.select(F.col("grp").alias("within"), "shingle", "n", "place", "doc", "c"))
-        # a list of one component has nothing left to compare
-        kinds = named.groupBy("within", "shingle", "c").agg(F.count(F.lit(1)).alias("size"))
-        mixed = kinds.groupBy("within", "shingle").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        kinds = persist_table(kinds.join(mixed, ["within", "shingle"], "left_semi"), "jaccard-kinds")
-        named = persist_table(named.join(mixed, ["within", "shingle"], "left_semi"), "jaccard-open-lists")
-        x, y = kinds.alias("x"), kinds.alias("y")
-        apart = (x.join(y, (F.col("x.within") == F.col("y.within")) & (F.col("x.shingle") == F.col("y.shingle"))
-                        & (F.col("x.c") < F.col("y.c")))
-                 .select("x.within", "x.shingle", F.col("x.c").alias("c"), F.col("y.c").alias("other")))
-        right = named.select("within", "shingle", F.col("c").alias("other"), F.col("doc").alias("doc_2"),
+        own = F.floor(F.log(n) / math.log(CLASS)).cast("int")
+        reach = math.ceil(math.log(100 / self.percent) / math.log(CLASS))
+        named = (named.withColumn("own", own)
+                 .withColumn("with_class", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
+                 .withColumn("smallest", F.greatest(F.floor(F.pow(F.lit(CLASS), F.col("with_class")) * 0.999999),
+                                                    F.ceil(n * self.percent / 100)))
+                 .filter(self.enough(n - place, n, F.col("smallest")))
+                 .withColumn("low", F.least("own", "with_class")).withColumn("high", F.greatest("own", "with_class"))
+                 .select("within", "shingle", "low", "high", "own", "n", "place", "doc", "c"))
+        key = ["within", "shingle", "low", "high"]
+        # a part of one component, or without one of its two classes, has nothing left to compare
+        kinds = named.groupBy(*key, "own", "c").agg(F.count(F.lit(1)).alias("size"))
+        mixed = (kinds.groupBy(*key).agg(F.min("c").alias("c_1"), F.max("c").alias("c_2"),
+                                         F.min("own").alias("own_1"), F.max("own").alias("own_2"))
+                 .filter("c_1 < c_2 AND own_1 = low AND own_2 = high").select(*key))
+        kinds = written(kinds.join(mixed, key, "left_semi"), "jaccard-kinds")
+        named = written(named.join(mixed, key, "left_semi"), "jaccard-open-lists")
+        other = kinds.select(*key, F.col("own").alias("own_2"), F.col("c").alias("c_2"))
+        apart = (kinds.join(other, key)
+                 .filter("(low = high AND c < c_2) OR (low < high AND own = low AND own_2 = high AND c != c_2)")
+                 .select(*key, "own", "c", "own_2", "c_2"))
+        right = named.select(*key, F.col("own").alias("own_2"), F.col("c").alias("c_2"), F.col("doc").alias("doc_2"),
                              F.col("n").alias("n_2"), F.col("place").alias("place_2"))
-        pairs = (named.join(apart, ["within", "shingle", "c"])
-                 .join(right, ["within", "shingle", "other"])
-                 .filter(self.near("n", "n_2")))
-        low = F.col("doc") < F.col("doc_2")
-
-        def pick(a, b):
-            return F.when(low, F.col(a)).otherwise(F.col(b))
-        met = (pairs.select(pick("doc", "doc_2").alias("a"), pick("doc_2", "doc").alias("b"),
-                            pick("n", "n_2").alias("n"), pick("n_2", "n").alias("m"),
-                            pick("place", "place_2").alias("p"), pick("place_2", "place").alias("q"))
-               .groupBy("a", "b", "n", "m")
-               .agg(F.sum(F.when(F.col("p") >= 0, 1).otherwise(0)).alias("shared"),
-                    F.max("p").alias("p"), F.max("q").alias("q"),
-                    F.max(F.when(F.col("p") < 0, 1).otherwise(0)).alias("one_group")))
-        # shared prefix shingles are all known; any other shared one comes after the prefix of one side
-        def left(size):
-            return F.floor(F.col(size) * self.percent / 100.0 + 1)
-        rest = F.least(F.greatest(left("n"), left("m")), F.col("n") - F.col("p") - 1, F.col("m") - F.col("q") - 1)
-        need = (F.col("n") + F.col("m")) * self.percent
-        return met.filter((F.col("one_group") == 1)
-                          | ((F.col("shared") + rest) * (100 + self.percent) >= need)).select("a", "b")
+        m = F.col("n_2")
+        pairs = (named.join(apart, [*key, "own", "c"])
+                 .join(right, [*key, "own_2", "c_2"])
+                 .filter(self.near("n", "n_2") & self.enough(n - place, n, m)
+                         & self.enough(m - F.col("place_2"), n, m)))
+        return pairs.select(F.least("doc", "doc_2").alias("a"), F.greatest("doc", "doc_2").alias("b")).distinct()
+
+    def roomy(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+        """The pairs whose histograms leave room for the overlap."""
+        percent = self.percent
+        held = reps.select("doc_id", "n", "histogram")
+        both = (pairs.join(held.select(F.col("doc_id").alias("a"), "n", F.col("histogram").alias("s")), "a")
+                .join(held.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("histogram").alias("t")), "b"))
+
+        def room(n, m, ones, others):
+            out = []
+            for i, (x, y) in enumerate(zip(ones, others)):
+                most = min(n[i], m[i]) if x is None or y is None else int(np.minimum(
+                    np.frombuffer(x, dtype=np.uint16), np.frombuffer(y, dtype=np.uint16)).sum(dtype=np.int64))
+                if most * (100 + percent) >= (n[i] + m[i]) * percent:
+                    out.append(i)
+            yield out, []
+
+        return flat_map(both, ["n", "m", "s", "t"], ["a", "b"], "", room).distinct()
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
