@@ -7,7 +7,7 @@ score; it is rejected when it has no letter or its distance (1 - cosine) to ever
 centroid is over a limit.
 
 Document frequencies cover all rows learned from. The clusters are fitted on at
-most SAMPLE rows of each language. The model is MAX_LANGUAGES x CENTROIDS x SIZE
+most SAMPLE rows of each language. The model is heldout.MAX_GROUPS x CENTROIDS x SIZE
 numbers at most (more languages are an error), so it may be sent to tasks.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and
@@ -30,7 +30,6 @@ SIZE = 4096
 SAMPLE = 400
 CENTROIDS = 3
 MIN_SHARE = 0.1     # a smaller cluster is dropped: rows with a wrong label flock together
-MAX_LANGUAGES = 1000
 MAX_DISTANCE = 0.99
 UNKNOWN = "und"
 PIECE = 1 << 19
@@ -131,8 +130,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     n, found = document_frequencies(rows)
     idf = (np.log((1 + n) / (1 + found)) + 0.05).astype(np.float32)
     chosen = written(sample_ids(rows, "lang", sample), "language-sample")
-    if chosen.select("lang").distinct().count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
 
     def vectors(texts):
