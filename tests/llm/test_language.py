@@ -1,7 +1,11 @@
+import base64
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tickwright.llm import heldout, language
 from tickwright.llm.queries import QUERIES
 
@@ -63,6 +67,47 @@ def test_small_clusters_of_wrong_labels_are_dropped():
     assert (centres[:, 0] > 0.9).all()
 
 
+def unlearned():
+    pick = random.Random(3)
+    text = {
+        "Russian": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом. ",
+        "Japanese": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+        "Arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا ",
+        "Polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni ",
+    }
+    out = {name: t * 20 for name, t in text.items()}
+    out["hex"] = " ".join(pick.randbytes(32).hex() for _ in range(50))
+    out["base64"] = base64.b64encode(pick.randbytes(3000)).decode()
+    out["letters"] = " ".join("".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=pick.randint(2, 9)))
+                              for _ in range(500))
+    return out
+
+
+def test_unlearned_languages_and_junk_are_rejected_and_short_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = unlearned()
+    more = documents(spark, list(odd.values()), langs=[None] * len(odd), first=10_000_000)
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    kept = {r.doc_id for r in stage(spark, docs.unionByName(more.select(*docs.columns)), "").select("doc_id").collect()}
+    assert [name for i, name in enumerate(odd) if 10_000_000 + i in kept] == []
+    rows = docs.select("doc_id", F.length("text").alias("n")).collect()
+    short = {r.doc_id for r in rows if r.n and r.n < 100}
+    assert len(short) >= 15 and short <= kept
+    assert len(kept) >= 0.998 * len(rows)
+
+
+def test_limits_follow_language_and_size():
+    found = np.zeros((2, language.SIZES, language.BANDS), dtype=np.int64)
+    found[0, 4, 20], found[0, 8, 160], found[1, 8, 100] = 1000, 1000, 1000
+    found[1, 6, 100] = 10
+    short, long, other = *language.least_scores(found)[0, [4, 8]], language.least_scores(found)[1, 8]
+    assert 0 < short < 0.1 and 0.4 < long < 0.8 and 0.2 < other < 0.5
+    few = language.least_scores(found)[:, 6]
+    assert (few > 0).all() and (few < 0.15).all()
+    assert (language.least_scores(found)[:, 12] == language.least_scores(found)[:, 8]).sum() == 2
+    assert not language.least_scores(np.zeros_like(found)).any()
+
+
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_held_out_accuracy(spark, sf):
     path = f"/root/testdata/{sf}"

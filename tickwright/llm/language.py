@@ -6,6 +6,12 @@ A text gets the language of the centroid with the highest cosine, which is also
 score; it is rejected when it has no letter or its distance (1 - cosine) to every
 centroid is over a limit.
 
+The limit is learned: all rows learned from are scored, by the language found and by
+how many different n-grams a text holds (in powers of 2), as short clean texts are far
+from every centroid too. A text is rejected below MARGIN times the score that all but
+LOWEST of such rows reach. Where few rows tell, the limit is lower: with n rows it is
+n / (n + DOUBT) of that; a language with under ENOUGH rows of a size takes those of all.
+
 Document frequencies cover all rows learned from. The clusters are fitted on at
 most SAMPLE rows of each language. The model is heldout.MAX_GROUPS x CENTROIDS x SIZE
 numbers at most (more languages are an error), so it may be sent to tasks.
@@ -30,7 +36,10 @@ SIZE = 4096
 SAMPLE = 400
 CENTROIDS = 3
 MIN_SHARE = 0.1     # a smaller cluster is dropped: rows with a wrong label flock together
-MAX_DISTANCE = 0.99
+MAX_DISTANCE = 0.99     # the limit of any text, also where nothing was learned
+LOWEST, MARGIN = 0.01, 0.6
+ENOUGH, DOUBT = 100, 20
+SIZES, BANDS = 13, 200  # powers of 2 up to SIZE; steps of a score that are counted
 UNKNOWN = "und"
 PIECE = 1 << 19
 
@@ -120,8 +129,64 @@ def clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 class Model:
     """languages[i] is the language of centres[i]; both are in order of the language's name."""
 
-    def __init__(self, languages: list, centres: np.ndarray, idf: np.ndarray):
+    def __init__(self, languages: list, centres: np.ndarray, idf: np.ndarray, limits: np.ndarray | None = None):
         self.languages, self.centres, self.idf = languages, centres, idf
+        #: The least score by centre and size class.
+        self.limits = np.zeros((len(languages), SIZES)) if limits is None else limits
+
+
+def size_class(counts: np.ndarray) -> np.ndarray:
+    """The power of 2 of each row's number of different n-grams."""
+    return np.log2(np.maximum((counts > 0).sum(axis=1), 1)).astype(int)
+
+
+def best_centres(counts: np.ndarray, idf: np.ndarray, centres: np.ndarray):
+    """(number of the nearest centre, score) of each row."""
+    cosine = weighted(counts, idf) @ centres.T
+    best = cosine.argmax(axis=1)
+    return best, np.clip(cosine[np.arange(len(best)), best].astype(float), 0.0, 1.0)
+
+
+def least_scores(found: np.ndarray) -> np.ndarray:
+    """The limit of each size class, from the counts of rows by language, size class and band."""
+    def limit(counts):
+        n = counts.sum()
+        low = int(np.argmax(np.cumsum(counts) > LOWEST * n)) / BANDS
+        return MARGIN * low * n / (n + DOUBT)
+
+    out = np.zeros(found.shape[:2])
+    everyone = found.sum(axis=0)
+    for i, own in enumerate(found):
+        for k in range(SIZES):
+            counts = own[k] if own[k].sum() >= ENOUGH else everyone[k]
+            out[i, k] = limit(counts)
+            if k and counts.sum() < DOUBT:
+                out[i, k] = max(out[i, k], out[i, k - 1])
+    return out
+
+
+def learn_limits(rows: DataFrame, model: Model) -> np.ndarray:
+    """The least score by centre and size class, from the rows whose lang is the one found."""
+    languages, centres, idf = model.languages, model.centres, model.idf
+    if not languages:
+        return model.limits
+
+    def scored(texts, langs):
+        for index, counts in gram_counts(texts):
+            best, score = best_centres(counts, idf, centres)
+            own = np.array([languages[b] == langs[i] for i, b in zip(index, best)])
+            band = np.minimum(score * BANDS, BANDS - 1).astype(int)
+            yield (np.array(index)[own].tolist(),
+                   [[languages[b] for b in best[own]], size_class(counts)[own].tolist(), band[own].tolist()])
+
+    counted = (flat_map(rows, ["text", "lang"], [], "language string, size int, band int", scored)
+               .groupBy("language", "size", "band").agg(F.count(F.lit(1)).alias("n")).toPandas())
+    names = list(dict.fromkeys(languages))
+    found = np.zeros((len(names), SIZES, BANDS), dtype=np.int64)
+    at = {name: i for i, name in enumerate(names)}
+    found[counted["language"].map(at).to_numpy(dtype=int), counted["size"].to_numpy(dtype=int),
+          counted["band"].to_numpy(dtype=int)] = counted["n"].to_numpy(dtype=np.int64)
+    return least_scores(found)[[at[name] for name in languages]]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
@@ -143,26 +208,28 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     made = (flat_map(texts, ["text"], ["doc_id", "lang"], "vector array<float>", vectors)
             .groupBy("lang").applyInPandas(centres, "lang string, centre array<float>").toPandas())
     made = made.sort_values("lang", kind="stable")
-    return Model(made["lang"].to_list(),
-                 np.stack(made["centre"].to_list()).astype(np.float32) if len(made) else np.zeros((0, SIZE), np.float32),
-                 idf)
+    model = Model(made["lang"].to_list(),
+                  np.stack(made["centre"].to_list()).astype(np.float32) if len(made) else np.zeros((0, SIZE), np.float32),
+                  idf)
+    model.limits = learn_limits(rows, model)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, max_distance: float = MAX_DISTANCE,
              names=("lang_pred", "score", "rejected")) -> DataFrame:
     """The rows of docs with lang_pred, score and rejected, which replace columns of the same name."""
     languages, centres, idf = model.languages, model.centres, model.idf
+    limits = np.maximum(model.limits, 1 - max_distance)
 
     def nearest(texts):
         if languages:
             for index, counts in gram_counts(texts):
-                cosine = weighted(counts, idf) @ centres.T
-                best = cosine.argmax(axis=1)
-                score = np.clip(cosine[np.arange(len(index)), best].astype(float), 0.0, 1.0)
+                best, score = best_centres(counts, idf, centres)
+                least = limits[best, size_class(counts)]
                 lettered = [has_letter(texts[i]) for i in index]
                 yield index, [[languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)],
                               [s if ok else 0.0 for s, ok in zip(score.tolist(), lettered)],
-                              [not ok or 1 - s > max_distance for s, ok in zip(score.tolist(), lettered)]]
+                              [not ok or s < m for s, m, ok in zip(score.tolist(), least.tolist(), lettered)]]
         rest = [i for i, t in enumerate(texts) if not t or not languages]
         yield rest, [[UNKNOWN] * len(rest), [0.0] * len(rest), [True] * len(rest)]
 
