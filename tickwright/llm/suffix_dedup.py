@@ -1,17 +1,19 @@
-"""Repeated substrings across documents, by prefix-free parsing.
+"""Repeated substrings across documents: a phrase dictionary and hashed windows.
 
 A byte is removed when it lies in a string of LENGTH bytes that also starts in a
 document with a smaller id. Rolling-hash triggers cut the texts into phrases (see
-phrases.py); equal strings lie in phrases with equal triggers, so order is needed
-inside a trigger only and never over the whole corpus:
+phrases.py), as in prefix-free parsing; equal strings lie in phrases with equal
+triggers. No parse is kept, and no suffix array of it or of the dictionary is built:
+only the first LENGTH bytes of a suffix decide, so equal windows are all that is
+needed, and a hash brings those together without an order:
  1. phrases whose trigger occurs in one document only are left out; most of a corpus
     that does not repeat ends here;
  2. phrases that occur in several documents make the dictionary, each with its first
     document. Any later occurrence is removed whole, however long the copied part;
  3. what is left are first occurrences of different phrases with one trigger (the
-    edges of copied parts). Suffixes of these phrases are grouped by their first
-    LENGTH bytes, as hashes, and equal ones are removed in all documents but the
-    first. Before, suffixes with an inner piece that no other phrase has are left out.
+    edges of copied parts). The LENGTH-byte windows at their suffixes are grouped by
+    hash over the whole corpus, without the trigger and without comparing bytes, and
+    equal ones are removed in all documents but the first. Before, suffixes with an inner piece that no other phrase has are left out.
 Text is only moved for documents that lose bytes.
 
 Hashes have 64 bits and equal hashes count as equal strings. Bit sets of fixed size
