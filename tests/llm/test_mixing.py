@@ -84,6 +84,31 @@ def test_documents_of_the_mix(spark):
     assert counts["a"] / counts["b"] == pytest.approx(2.5, rel=0.15)
 
 
+def test_sources_of_few_long_documents_keep_their_words(spark):
+    texts = [prose(0, 60_000), prose(1, 60_000), *[prose(2 + i, 600) for i in range(100)],
+             *[prose(200 + i, 300 + 10 * i) for i in range(120)]]
+    sources = ["a", "c", *["b"] * 100, *["d"] * 120]
+    docs = documents(spark, texts, sources).persist()
+    size = {i: len(t.split()) for i, t in enumerate(texts)}
+    target = {r.source: r.target for r in mixing.mix(docs).collect()}
+    got = [(r.source, size[r.doc_id]) for r in mixing.mixed_documents(docs).collect()]
+    assert target["c"] < 30_000
+    for source in "abcd":
+        taken = sum(n for s, n in got if s == source)
+        longest = max(size[i] for i, s in enumerate(sources) if s == source)
+        assert taken > 0 and abs(taken - target[source]) <= longest + 128, source
+
+
+def test_rows_without_ids_and_shared_ids_are_mixed(spark):
+    texts = [prose(i, 500) for i in range(40)]
+    docs = documents(spark, texts, ["a"] * 20 + ["b"] * 20).withColumn(
+        "doc_id", F.when(F.col("doc_id") < 20, F.lit(7)).cast("long"))
+    words = {r.source: r.target for r in mixing.mix(docs).collect()}
+    got = {r.source: 500 * r["count"] for r in mixing.mixed_documents(docs).groupBy("source").count().collect()}
+    assert abs(got["b"] - words["b"]) <= 500 + 128
+    assert got["a"] % (20 * 500) == 0 and got["a"] > 0
+
+
 def test_query(spark):
     path = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "source").collect()]

@@ -26,6 +26,7 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCK_WORDS = 128
 CHUNKS = 4096
+COPY = 1 << 20      # one copy of a document, in the whole numbers that copies are summed in
 MAX_SOURCES = 10_000
 #: 2**31 and the odd number next to 2**31 divided by the golden ratio.
 TURN, STEP = 1 << 31, 1_327_217_885
@@ -112,13 +113,23 @@ def document_blocks(sized: DataFrame, block_words=BLOCK_WORDS) -> DataFrame:
     return pieces.withColumn("words", words)
 
 
+def mark_of() -> Column:
+    """The hash that shuffles a source: of the id, or of the text without one."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, repeats=REPEATS, block_words=BLOCK_WORDS) -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
+    return marked_mix(docs, weights, repeats, block_words).select(
+        "doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def marked_mix(docs: DataFrame, weights=WEIGHTS, repeats=REPEATS, block_words=BLOCK_WORDS) -> DataFrame:
+    """The rows of mix() with mark and n, the number of the source."""
     spark = docs.sparkSession
-    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     sized = written(docs.select(
         "doc_id", F.col("source").cast("string").alias("source"),
-        count_words(F.col("text")).alias("size"), mark.alias("mark")), "sized-documents")
+        count_words(F.col("text")).alias("size"), mark_of().alias("mark")), "sized-documents")
     rows = source_targets(sized, weights, repeats)
     known = spark.createDataFrame(rows, "n int, name string, source_size long, target double")
     times = (schedule(spark, rows, block_words, repeats)
@@ -126,22 +137,43 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats=REPEATS, block_words=BLOCK_WOR
     numbered = sized.join(known.select("n", "name"), F.col("source").eqNullSafe(F.col("name")))
     pieces = document_blocks(numbered.select("doc_id", "n", "size", "mark"), block_words)
     taken = (pieces.join(times, ["n", "block"], "left")
-             .groupBy("doc_id", "n", "begin", "size")
+             .groupBy("doc_id", "n", "mark", "begin", "size")
              .agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"),
                   F.when(F.col("size") > 0, 1).otherwise(F.count(F.lit(1))).cast("int").alias("rows"))
              .withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))))
     return taken.join(known, "n").select(
-        "doc_id", F.col("name").alias("source"), "size", "source_size", "target", "taken")
+        "doc_id", F.col("name").alias("source"), "size", "source_size", "target", "taken", "mark", "n")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each as often as its taken words make up its size, rounded.
 
-    Rows that share an id are repeated alike; a document without words is left out.
+    What rounding leaves is carried to the next document of the source, by powers of 2
+    of the size and then shuffled, so that a source keeps its share also where each of
+    its documents takes less than half of itself. A source with a target keeps one
+    document at least, the one nearest to it in words. Rows that share source and id,
+    or text without an id, are repeated alike; a document without words is left out.
     """
-    copies = (mix(docs, **options).filter("size > 0")
-              .groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__mix_n"))
-              .filter("__mix_n > 0").withColumnRenamed("doc_id", "__mix_id"))
-    return (docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+    folded = written(marked_mix(docs, **options).filter("size > 0")
+                     .groupBy("n", "source", "doc_id", "mark")
+                     .agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.first("target").alias("target"))
+                     .withColumn("part", F.round(F.col("taken") * COPY / F.col("size")).cast("long"))
+                     .withColumn("chunk", F.log2("size").cast("int") * 256
+                                 + F.conv(F.substring("mark", 1, 2), 16, 10).cast("int")), "mixed-documents")
+    placed = running_total(folded, "n", "chunk", ["mark", "doc_id"], F.col("part"), "before")
+    placed = placed.withColumn("times", F.expr(
+        f"cast((before + part + {COPY // 2}) div {COPY} - (before + {COPY // 2}) div {COPY} as int)"))
+    key = F.struct("mark", "doc_id")
+    lone = (placed.groupBy("n").agg(F.sum("times").alias("all"), F.first("target").alias("target"),
+                                    F.min(F.struct(F.abs(F.col("size") - F.col("target")).alias("off"),
+                                                   key.alias("key")))["key"].alias("key"))
+            .filter("all = 0 AND target > 0").select(F.col("n").alias("__lone_n"), "key"))
+    copies = (placed.join(lone, (F.col("n") == F.col("__lone_n")) & F.col("key").eqNullSafe(key), "left")
+              .withColumn("__mix_n", F.when(F.col("__lone_n").isNotNull(), 1).otherwise(F.col("times")))
+              .filter("__mix_n > 0")
+              .select("__mix_n", F.col("doc_id").alias("__mix_id"), F.col("mark").alias("__mix_mark"),
+                      F.col("source").alias("__mix_source")))
+    return (docs.join(copies, (mark_of() == F.col("__mix_mark")) & docs["doc_id"].eqNullSafe(F.col("__mix_id"))
+                      & docs["source"].cast("string").eqNullSafe(F.col("__mix_source")))
             .withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
             .select(*docs.columns))
