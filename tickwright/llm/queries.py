@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, language, mixing, sharding, suffix_dedup, toxicity, url_filter, warc, winnowing
+from . import alignment, exact_dedup, jaccard, language, mixing, sharding, suffix_dedup, toxicity, url_filter, warc, winnowing
 from .heldout import held_out
 
 
@@ -207,8 +207,13 @@ def op8_language_id(spark, sf_dir):
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_alignment(spark, sf_dir):
+    rows, _ = alignment.align(table(spark, sf_dir, "documents"))
+    return rows
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_exact_dedup, op3_toxicity, op4_url_filters, op5_warc_revisits, op6_source_mixing, op7_jaccard_join, op8_language_id, op9_sharding,
-    op10_decontamination)}
+    op10_decontamination, op11_token_alignment)}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_warc_revisits": OP5_SQL,
               "op6_source_mixing": OP6_SQL}
