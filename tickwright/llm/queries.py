@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, jaccard, language, mixing, sharding, suffix_dedup, toxicity, url_filter, warc, winnowing
+from . import (alignment, conversations, exact_dedup, jaccard, language, mixing, quality, sharding, suffix_dedup, toxicity,
+               url_filter, warc, winnowing)
 from .heldout import held_out
 
 
@@ -212,8 +213,30 @@ def op11_token_alignment(spark, sf_dir):
     return rows
 
 
+def op12_quality_rules(spark, sf_dir):
+    rows, _ = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows
+
+
+def damaged(rows):
+    """Rows with every twentieth dropped, emptied, bared of stops, doubled or made a user's, by a checksum."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    k = F.pmod(F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")), F.lit(20))
+    text, role = part("text"), part("role")
+    return (rows.withColumn("__k", k).filter("__k != 0").select(
+        "conv_id", "turn", F.when(F.col("__k") == 4, "user").otherwise(role).alias("role"),
+        F.when(F.col("__k") == 1, "").when(F.col("__k") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(F.col("__k") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+        .drop("copy"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_conversations(damaged(rows), rows)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_exact_dedup, op3_toxicity, op4_url_filters, op5_warc_revisits, op6_source_mixing, op7_jaccard_join, op8_language_id, op9_sharding,
-    op10_decontamination, op11_token_alignment)}
+    op10_decontamination, op11_token_alignment, op12_quality_rules, op13_conversation_repair)}
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_warc_revisits": OP5_SQL,
               "op6_source_mixing": OP6_SQL}
