@@ -1,4 +1,5 @@
 import hashlib
+from bisect import bisect
 
 from pyspark.sql import functions as F
 
@@ -45,8 +46,7 @@ def plain(docs):
         at_a, at_b = ends(parts_a), ends(parts_b)
         begin, groups = 0, []
         for end in sorted(set(at_a) & set(at_b)):
-            groups.append(([i for i, e in zip(a, at_a) if begin < e <= end],
-                           [i for i, e in zip(b, at_b) if begin < e <= end]))
+            groups.append((a[bisect(at_a, begin):bisect(at_a, end)], b[bisect(at_b, begin):bisect(at_b, end)]))
             begin = end
         done.append((doc_id, len(a), len(b), groups, [(x, y) for g in groups for x in g[0] for y in g[1]]))
     held = {}

@@ -24,7 +24,8 @@ empty table gives an empty result; other columns are ignored.
 """
 
 import hashlib
-from itertools import accumulate
+import json
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -55,8 +56,18 @@ def byte_letters() -> dict:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Fixed value: how a byte-level vocabulary of this kind cuts a text before merging.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters beyond which two engines' tables of letters and blanks might differ.
+UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027]")
+
+
 class ByteLevel:
-    """Side A: byte-level BPE; encodes a space and the text."""
+    """Side A: byte-level BPE; encodes a space and the text.
+
+    Where the file describes plain merges in the order of the ids, texts of usual
+    characters are merged by ranks, which gives the same ids at a third of the cost.
+    """
 
     def __init__(self, spec: bytes):
         from tokenizers import Tokenizer
@@ -67,10 +78,27 @@ class ByteLevel:
         for token, i in self.tokenizer.get_vocab().items():
             self.spelled[i] = (bytes(letters[c] for c in token) if all(c in letters for c in token)
                                else token.encode("utf-8"))
+        self.ranks = self.by_ranks(json.loads(spec))
+
+    def by_ranks(self, file: dict):
+        import tiktoken
+        model, cut = file["model"], file.get("pre_tokenizer") or {}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges") or []]
+        plain = (model.get("type") == "BPE" and not model.get("ignore_merges") and not model.get("dropout")
+                 and not file.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex")
+                 and not cut.get("add_prefix_space")
+                 and all(model["vocab"].get(x + y) == 256 + i for i, (x, y) in enumerate(merges)))
+        if not plain:
+            return None
+        return tiktoken.Encoding("merges", pat_str=CUT, special_tokens={},
+                                 mergeable_ranks={self.spelled[i]: i for i in range(256 + len(merges))})
 
     def encode(self, texts: list) -> list:
-        got = self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in got]
+        odd = [i for i, t in enumerate(texts) if self.ranks is None or UNUSUAL.search(t)]
+        got = dict(zip(odd, self.tokenizer.encode_batch_fast([" " + texts[i] for i in odd], add_special_tokens=False)))
+        return [np.array(got[i].ids, dtype=np.int64) if i in got
+                else self.ranks.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int64)
+                for i, t in enumerate(texts)]
 
 
 class Pieces:
@@ -85,7 +113,7 @@ class Pieces:
                         for i, p in enumerate(self.processor.id_to_piece(list(range(n))))]
 
     def encode(self, texts: list) -> list:
-        return self.processor.encode(texts, num_threads=1)
+        return [np.array(ids, dtype=np.int64) for ids in self.processor.encode(texts, num_threads=1)]
 
 
 def batches(texts):
@@ -103,12 +131,13 @@ def batches(texts):
         yield index, held
 
 
-def slices(a: list, b: list, length_a: list, length_b: list) -> tuple[list, list]:
-    """Where the groups end in the id lists a and b, as exclusive indices."""
-    ends_a = dict(zip(accumulate([length_a[i] for i in a]), range(1, len(a) + 1)))
-    ends_b = dict(zip(accumulate([length_b[i] for i in b]), range(1, len(b) + 1)))
-    common = sorted(ends_a.keys() & ends_b.keys())
-    return [ends_a[e] for e in common], [ends_b[e] for e in common]
+def slices(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups end in two id lists, as exclusive indices, by the byte ends of their tokens."""
+    index_a = dict(zip(ends_a.tolist(), range(1, ends_a.size + 1)))
+    index_b = dict(zip(ends_b.tolist(), range(1, ends_b.size + 1)))
+    common = sorted(index_a.keys() & index_b.keys())
+    return (np.array(list(map(index_a.__getitem__, common)), dtype=np.int64),
+            np.array(list(map(index_b.__getitem__, common)), dtype=np.int64))
 
 
 def folded(keys: np.ndarray, times: np.ndarray):
@@ -156,46 +185,59 @@ def links(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, wi
     return folded(np.concatenate([p for p, _ in parts]), np.concatenate([t for _, t in parts]))
 
 
-def aligned(texts, side_a, side_b):
-    """For each text that has tokens: (index, a, b, cut_a, cut_b), as lists of ids and cuts."""
-    length_a, length_b = [len(s) for s in side_a.spelled], [len(s) for s in side_b.spelled]
-    for index, held in batches(texts):
-        for i, text, a, b in zip(index, held, side_a.encode(held), side_b.encode(held)):
-            want = b" " + text.encode("utf-8", "surrogatepass")
-            if (b"".join([side_a.spelled[t] for t in a]) == want
-                    and b"".join([side_b.spelled[t] for t in b]) == want):
-                yield i, a, b, *slices(a, b, length_a, length_b)
-
-
-def groups_hash(a: list, b: list, cut_a: list, cut_b: list) -> str:
-    """SHA-256 of the groups as decimal ids: a1,a2|b1;a3|b2,b3"""
-    left, right = list(map(str, a)), list(map(str, b))
-    parts, p, q = [], 0, 0
-    for x, y in zip(cut_a, cut_b):
-        parts.append(",".join(left[p:x]) + "|" + ",".join(right[q:y]))
-        p, q = x, y
-    return hashlib.sha256(";".join(parts).encode("ascii")).hexdigest()
+class Aligner:
+    """Both tokenizers and what is looked up by id."""
+
+    def __init__(self, spec_a: bytes, spec_b: bytes):
+        self.a, self.b = ByteLevel(spec_a), Pieces(spec_b)
+        self.length_a, self.length_b = (np.array([len(x) for x in side.spelled]) for side in (self.a, self.b))
+        self.other = 2 * len(self.a.spelled)
+        self.names = ([f"{i}{mark}" for i in range(len(self.a.spelled)) for mark in ",|"]
+                      + [f"{i}{mark}" for i in range(len(self.b.spelled)) for mark in ",;"])
+
+    def aligned(self, texts):
+        """For each text that has tokens: (index, a, b, cut_a, cut_b), as arrays of ids and cuts."""
+        for index, held in batches(texts):
+            for i, text, a, b in zip(index, held, self.a.encode(held), self.b.encode(held)):
+                want = b" " + text.encode("utf-8", "surrogatepass")
+                ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+                # A's tokens are parts of the text's bytes in order, so their length tells; pieces may be normalised
+                if (a.size and b.size and ends_a[-1] == len(want) == ends_b[-1]
+                        and b"".join(map(self.b.spelled.__getitem__, b.tolist())) == want):
+                    yield i, a, b, *slices(ends_a, ends_b)
+
+    def groups_hash(self, a, b, cut_a, cut_b) -> str:
+        """SHA-256 of the groups as decimal ids: a1,a2|b1;a3|b2,b3"""
+        n, m = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+        left, right = 2 * a, 2 * b + self.other
+        left[cut_a - 1] += 1
+        right[cut_b - 1] += 1
+        parts = np.empty(a.size + b.size, dtype=np.int64)
+        parts[np.arange(a.size) + np.repeat(cut_b - m, n)] = left
+        parts[np.arange(b.size) + np.repeat(cut_a, m)] = right
+        text = "".join(map(self.names.__getitem__, parts.tolist()))[:-1]
+        return hashlib.sha256(text.encode("ascii")).hexdigest()
 
 
 def encoded(docs: DataFrame, spec_a: bytes, spec_b: bytes, width: int) -> DataFrame:
     """One row of each text: FIGURES, row, and its pairs and times as arrays of bytes."""
     wide = np.dtype(np.uint32) if width * len(ByteLevel(spec_a).spelled) < 1 << 32 else np.dtype(np.int64)
     specs = docs.sparkSession.sparkContext.broadcast((spec_a, spec_b))
-    sides = []
+    made_once = []
 
     def rows(texts):
-        if not sides:
-            sides.extend((ByteLevel(specs.value[0]), Pieces(specs.value[1])))
+        if not made_once:
+            made_once.append(Aligner(*specs.value))
+        aligner = made_once[0]
         done = 0
         zero = lambda n: [[0] * n, [0] * n, [0] * n, [0] * n, [""] * n, [b""] * n, [b""] * n]
         index, out, size = [], [[] for _ in range(7)], 0
-        for i, a, b, cut_a, cut_b in aligned(texts, *sides):
-            pairs, times = links(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64),
-                                 np.array(cut_a), np.array(cut_b), width)
+        for i, a, b, cut_a, cut_b in aligner.aligned(texts):
+            pairs, times = links(a, b, cut_a, cut_b, width)
             if i > done:
                 yield range(done, i), zero(i - done)
             done = i + 1
-            made = (len(a), len(b), len(cut_a), int(times.sum()), groups_hash(a, b, cut_a, cut_b),
+            made = (len(a), len(b), len(cut_a), int(times.sum()), aligner.groups_hash(a, b, cut_a, cut_b),
                     pairs.astype(wide).tobytes(), times.astype(np.uint32).tobytes())
             index.append(i)
             for column, value in zip(out, made):
