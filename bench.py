@@ -97,7 +97,7 @@ def main():
     query("correlation_matrix", lambda: K.correlation_pairs(returns, START, END, n_symbols=26))
     query("portfolio_contribution", lambda: B.portfolio_contribution(bars, f.portfolios, symbols, START, END))
     query("drawdown_episodes", lambda: H.drawdown_episodes(bars, f.cutoffs, -0.02))
-    query("streaks", lambda: H.streaks(returns, f.cutoffs))
+    query("streaks", lambda: H.streaks(bars, f.cutoffs))
     query("company_event_impact", lambda: E.company_event_impact(
         bars, dims["company_events"], dims["categories"], f.cutoffs))
     query("market_event_impact", lambda: E.market_event_impact(

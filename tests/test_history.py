@@ -38,13 +38,13 @@ def test_a_cursor_inside_a_fall_sees_it_open(make_bars, cursors):
 
 def test_a_flat_day_ends_a_run(make_bars, cursors):
     bars = make_bars({"A": [10.0, 11.0, 12.0, 12.0, 13.0]})
-    rows = H.streaks(S.daily_returns(bars), cursors(4), 1).collect()
+    rows = H.streaks(bars, cursors(4), 1).collect()
     assert [(r["length"], r["start_date"]) for r in rows] == [(2, day(1)), (1, day(4))]
 
 
 def test_a_run_is_cut_at_the_cursor(make_bars, cursors):
     bars = make_bars({"A": [10.0, 11.0, 12.0, 13.0, 14.0]})
-    row, = H.streaks(S.daily_returns(bars), cursors(2), 1).collect()
+    row, = H.streaks(bars, cursors(2), 1).collect()
     assert (row["length"], row["end_date"]) == (2, day(2))
     assert row["run_return"] == pytest.approx(0.2)
 
@@ -61,8 +61,8 @@ def test_nothing_after_the_cursor_is_seen(spark, make_bars, cursors):
     for at in (30, 77):
         cut = make_bars({"A": closes[:at + 1]})
         for op in (lambda b, k: H.drawdown_episodes(b, k, -0.02), H.record_summary, H.asof_snapshot,
-                   lambda b, k: H.streaks(S.daily_returns(b), k),
-                   lambda b, k: H.extreme_days(S.daily_returns(b), k, 4)):
+                   lambda b, k: H.streaks(b, k),
+                   lambda b, k: H.extreme_days(b, k, 4)):
             key = lambda r: str(r)
             assert sorted(op(whole, cursors(at)).collect(), key=key) \
                 == sorted(op(cut, cursors(at)).collect(), key=key)
@@ -81,7 +81,7 @@ def test_record_ties_keep_the_first_date(make_bars, cursors):
 
 def test_extremes_with_more_cursors_than_days(make_bars, cursors):
     bars = make_bars({"A": [1.0, 2.0, 1.0, 3.0, 1.0]})
-    rows = H.extreme_days(S.daily_returns(bars), cursors(1, 2, 3, 4), 1).filter("direction = 'gain'")
+    rows = H.extreme_days(bars, cursors(1, 2, 3, 4), 1).filter("direction = 'gain'")
     assert [r["date"] for r in rows.orderBy("asof").collect()] == [day(1), day(1), day(3), day(3)]
 
 

@@ -168,7 +168,7 @@ def test_no_nested_loops_or_single_partitions(table, small, spark):
     cutoffs = small.cutoffs
     for df in (asof_join(small.company_events, table, ["close"]),
                H.drawdown_episodes(table, cutoffs), H.record_summary(table, cutoffs),
-               H.streaks(S.daily_returns(table), cutoffs), H.extreme_days(S.daily_returns(table), cutoffs),
+               H.streaks(table, cutoffs), H.extreme_days(table, cutoffs),
                M.peer_pick(table, small.symbols, "1995-01-01", "2001-12-31"),
                P.price_metrics(table, table.filter(F.col("symbol") == INDEX))):
         text = plan(df)
@@ -176,6 +176,33 @@ def test_no_nested_loops_or_single_partitions(table, small, spark):
             assert word not in text
 
 
+def test_a_record_is_read_in_one_or_two_scans_whatever_the_limit(table, small, spark):
+    cutoffs = small.cutoffs
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        def scans(df):
+            return plan(df).count("FileScan parquet spark_catalog.default.bars_by_symbol")
+        assert scans(H.record_states(table)) == 1 and "Exchange" not in plan(H.record_states(table))
+        assert scans(H.extreme_days(table, cutoffs)) == 1
+        assert scans(H.asof_snapshot(table, cutoffs)) == scans(H.record_summary(table, cutoffs)) == 1
+        assert scans(H.drawdown_episodes(table, cutoffs)) == scans(H.streaks(table, cutoffs)) == 2
+        for op in (H.extreme_days, H.streaks):
+            few, many = (plan(op(table, cutoffs, limit=n)) for n in (3, 1000))
+            assert few.count("\n") == many.count("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_written_states_answer_like_the_bars(small, spark):
+    from tickwright.session import persist_table
+    bars, cutoffs = small.bars, small.cutoffs
+    states = persist_table(H.record_states(bars), "record-states")
+    deep = lambda b, c, states: H.drawdown_episodes(b, c, -0.02, states)      # noqa: E731
+    for op in (H.asof_snapshot, H.record_summary, deep, H.streaks, H.extreme_days):
+        one, other = (sorted(map(str, op(bars, cutoffs, states=x).collect())) for x in (None, states))
+        assert one and one == other
+
+
 def test_every_query_has_an_oracle():
-    import __spark_entry__ as entry
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    from tickwright.plans.registry import CHECKS
+    assert all(check.sql is not None for check in CHECKS.values())

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickwright.functions.ranks import (grouped_median, grouped_percentile, prefix_contenders,
+from tickwright.functions.ranks import (grouped_median, grouped_percentile, prefix_contenders, top_of,
                                         sub_band, value_band)
 from tickwright.operators import ranking as K
 from tickwright.operators.series import sessions
@@ -81,12 +81,21 @@ def test_percentile_matches_a_plain_rank(spark, seed):
 def test_prefix_contenders_hold_every_prefix_top(spark):
     rng = random.Random(1)
     xs = [float(rng.randint(0, 30)) for _ in range(200)]
-    df = spark.createDataFrame([("A", i, x) for i, x in enumerate(xs)], "symbol string, date int, x double")
-    kept = {r["date"] for r in prefix_contenders(df, "x", 3, sessions()).collect()}
-    for end in range(1, 201):
-        top = sorted(range(end), key=lambda i: (-xs[i], i))[:3]
-        assert set(top) <= kept
-    assert len(kept) < 60
+    df = spark.createDataFrame([("A", i, x) for i, x in enumerate(xs)] + [("B", 0, 1.0)], "symbol string, date int, x double")
+    for n in (1, 3, 50):
+        found = prefix_contenders(df, ["symbol"], "x", n, [])
+        rows = {r["symbol"]: [c["date"] for c in r["contenders"]] for r in found.collect()}
+        kept, seen = [], []
+        for i, x in enumerate(xs):                   # a row enters while fewer than n are as large
+            if sum(y >= x for y in seen) < n:
+                kept.append(i)
+            seen.append(x)
+        assert rows == {"A": kept, "B": [0]}
+        ends = spark.range(1, 200).select(F.col("id").cast("int").alias("end"))
+        got = found.filter("symbol = 'A'").crossJoin(ends).select("end", top_of("contenders", F.col("end"), n).alias("top"))
+        for r in got.collect():
+            want = sorted(range(r["end"] + 1), key=lambda i: (-xs[i], i))[:n]
+            assert [c["date"] for c in r["top"]] == want
 
 
 def test_weights():

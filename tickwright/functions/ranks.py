@@ -107,19 +107,32 @@ def grouped_percentile(df: DataFrame, keys, value: str, out: str) -> DataFrame:
             .select(*[F.col(f"`{c}`") for c in df.columns], out))
 
 
-def prefix_contenders(df: DataFrame, value: str, n: int, window) -> DataFrame:
-    """Rows that were among the n largest values when they appeared.
+def prefix_contenders(df: DataFrame, keys: list, value: str, n: int, fields: list) -> DataFrame:
+    """Per key, `contenders`: the rows that were among the n largest when they appeared, by date.
 
     Only such a row can be in the top n of any prefix, and there are few: about
-    n * ln(rows / n) of a record in random order. The k-th largest value so far
-    is the running maximum of what the (k-1)-th let through, min(value, previous
-    maximum), so n running maxima over one sort find the entry bar exactly. An
-    equal later value does not enter.
+    n * ln(rows / n) of a record in random order. A group is folded once along its
+    dates with a heap of at most n values, whatever n is; an equal later value does
+    not enter. A group must be of bounded size, as a symbol's record is.
     """
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("_passed", F.col(value))
-    for _ in range(n):
-        out = out.withColumn("_bar", F.max("_passed").over(before)).withColumn(
-            "_passed", F.when(F.col("_bar").isNotNull(), F.least("_passed", "_bar")))
-    return out.filter(F.col("_bar").isNull() | (F.col(value) > F.col("_bar"))) \
-        .drop("_passed", "_bar")
+    row = F.struct("date", F.col(value).cast("double").alias("score"), *fields)
+    groups = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    kind = groups.schema["rows"].dataType.simpleString()
+
+    def step(held, x):
+        top = held["top"]
+        full = F.size(top) >= n
+        rest = F.when(full, F.slice(top, 2, max(n - 1, 1)) if n > 1 else F.slice(top, 1, 0)).otherwise(top)
+        entered = F.struct(F.array_sort(F.concat(rest, F.array(x["score"]))).alias("top"),
+                           F.concat(held["kept"], F.array(x)).alias("kept"))
+        return F.when(~full | (x["score"] > F.element_at(top, 1)), entered).otherwise(held)
+
+    start = F.struct(F.array().cast("array<double>").alias("top"), F.array().cast(kind).alias("kept"))
+    return groups.select(*keys, F.aggregate("rows", start, step, lambda held: held["kept"]).alias("contenders"))
+
+
+def top_of(contenders: str, until: Column, n: int) -> Column:
+    """Of contenders dated up to a day the n of the largest score, the earlier of equals first."""
+    keyed = F.transform(F.filter(contenders, lambda r: r["date"] <= until),
+                        lambda r: F.struct((-r["score"]).alias("k"), r["date"].alias("d"), r.alias("row")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda r: r["row"])

@@ -1,20 +1,84 @@
 """A symbol's record as a sequence of states, read at any number of cursors.
 
 Nearly everything a cursor may ask is a property of the sessions up to it: the
-running peak, the open drawdown, the current streak. Those states are computed
-once per symbol by running windows, and a table of (symbol, asof) cursors then
-looks its state up. Bars are not copied per cursor, and a cursor cannot see a
-later session because a running window has none.
+running peak, the open drawdown, the current streak. `record_states` computes all of
+them in one ordered pass: every window has the same partition and order and looks
+back only, so a cursor cannot see a later session. What ends (an episode, a run) is
+told on the session that ends it, from the state before. A table of (symbol, asof)
+cursors then looks states up; bars are not copied per cursor. A caller with several
+questions writes the states once and passes them as `states`.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import guards as G
-from ..functions.ranks import prefix_contenders
+from ..functions.ranks import prefix_contenders, top_of
 from . import series as S
 from .asof import asof_join
 
+_EPISODE = ["peak_close", "peak_date", "trough", "episode_sessions"]
+_RUN = ["direction", "run_length", "start_date", "run_base", "run_date", "run_close"]
+
+
+def record_states(bars: DataFrame, spans=(50, 200)) -> DataFrame:
+    """Each session with its return, averages, and everything known of the record by then.
+
+    Sessions without a positive close move no peak, episode or record; sessions without
+    a return belong to no run. On both the states of the session before carry on.
+    """
+    w, line = S.so_far(), S.sessions()
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(condition, value, frame=w):
+        return F.last(F.when(condition, value), ignorenulls=True).over(frame)
+
+    valid = F.col("close") > 0
+    held = F.when(valid, F.col("close"))
+    moved = F.col("daily_return").isNotNull()
+    above = F.col(f"ma_{spans[0]}") > F.col(f"ma_{spans[1]}")
+    rows = bars.select(
+        "symbol", "date", "close", S.return_column().alias("daily_return"), F.lag("close").over(line).alias("close_before"),
+        F.max(held).over(w).alias("peak_close"), F.max(held).over(before).alias("peak_before"),
+        F.count(held).over(w).alias("sessions_elapsed"),
+        F.first(F.when(valid, F.col("date")), ignorenulls=True).over(w).alias("first_date"),
+        F.first(held, ignorenulls=True).over(w).alias("first_close"),
+        carried(valid, F.col("date")).alias("seen_date"), carried(valid, F.col("close")).alias("seen_close"),
+        *[S.average_column(n).alias(f"ma_{n}") for n in spans])
+    rows = (rows.withColumn("is_peak", F.coalesce(valid & (F.col("close") >= F.col("peak_close")), F.lit(False)))
+            .withColumn("is_new", F.coalesce(valid & (F.col("peak_before").isNull() | (F.col("close") > F.col("peak_before"))),
+                                             F.lit(False)))
+            .withColumn("sign", F.signum("daily_return").cast("int")).withColumn("above", above))
+    rows = rows.select(
+        "*", F.sum(F.col("is_peak").cast("int")).over(w).alias("record_days"),
+        carried(F.col("is_peak"), F.col("date")).alias("peak_date"),
+        carried(F.col("is_peak"), F.col("sessions_elapsed")).alias("peak_session"),
+        carried(F.col("is_peak"), F.col("date"), before).alias("prev_record"),
+        carried(F.col("is_new"), F.col("date")).alias("record_date"),
+        F.last("above", ignorenulls=True).over(before).alias("was_above"),
+        F.last("sign", ignorenulls=True).over(before).alias("sign_before"),
+        F.last("sign", ignorenulls=True).over(w).alias("direction"), F.count("daily_return").over(w).alias("moves"),
+        carried(moved, F.col("date")).alias("run_date"), carried(moved, F.col("close")).alias("run_close"))
+    starts = moved & (F.col("sign_before").isNull() | (F.col("sign") != F.col("sign_before")))
+    gap = F.when(F.col("is_peak") & F.col("prev_record").isNotNull(),
+                 F.struct(F.date_diff("date", "prev_record").alias("days"), (-F.unix_date("date")).alias("minus_end")))
+    # episodes only grow in number, so the least of all (-episode, close) so far is the low of the one going on
+    low = F.when(valid, F.struct((-F.col("record_days")).alias("k"), F.col("close"), F.col("date")))
+    rows = rows.withColumn("starts", starts).select(
+        "*", F.max(gap).over(w).alias("gap"), F.min(low).over(w).alias("low"),
+        carried(F.col("starts"), F.col("date")).alias("start_date"),
+        carried(F.col("starts"), F.col("close_before")).alias("run_base"),
+        carried(F.col("starts"), F.col("moves")).alias("start_move"))
+    rows = (rows.withColumn("trough", F.struct("low.close", "low.date"))
+            .withColumn("episode_sessions", F.col("sessions_elapsed") - F.col("peak_session") + 1)
+            .withColumn("run_length", (F.col("moves") - F.col("start_move") + 1).cast("int")))
+    lag = lambda names: F.lag(F.struct(*names)).over(line)      # noqa: E731
+    return rows.select(
+        "symbol", "date", "close", "daily_return", *[f"ma_{n}" for n in spans], "above", "was_above",
+        "seen_date", "seen_close", "sessions_elapsed", "first_date", "first_close", "is_peak", "record_days",
+        "record_date", "gap", *_EPISODE, F.when(F.col("is_peak"), lag(_EPISODE)).alias("closed"),
+        *_RUN, F.when(F.col("starts"), lag(_RUN)).alias("ended"))
+
 
 def _at_cursor(cutoffs, states, values):
     """Each cursor's state on its last session; cursors before the record drop out."""
@@ -22,15 +86,16 @@ def _at_cursor(cutoffs, states, values):
             .filter(F.col("hit").isNotNull()).select("symbol", "asof", "hit.*"))
 
 
-def asof_snapshot(bars: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    w = S.so_far()
-    states = S.valid_closes(bars).select(
-        "symbol", "date", "close", S.peak_column().alias("peak_close"),
-        F.row_number().over(S.sessions()).alias("sessions_elapsed"),
-        F.first("date").over(w).alias("first_date"),
-        F.first("close").over(w).alias("first_close"))
-    at = _at_cursor(cutoffs, states, ["close", "peak_close", "sessions_elapsed",
-                                      "first_date", "first_close"])
+def _states(bars, states):
+    return record_states(bars) if states is None else states
+
+
+def asof_snapshot(bars: DataFrame, cutoffs: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    at = (_at_cursor(cutoffs, _states(bars, states), ["seen_date", "seen_close", "peak_close", "sessions_elapsed",
+                                                      "first_date", "first_close"])
+          .filter("sessions_elapsed > 0")
+          .select("symbol", "asof", F.col("seen_date").alias("date"), F.col("seen_close").alias("close"), "peak_close",
+                  F.col("sessions_elapsed").cast("int").alias("sessions_elapsed"), "first_date", "first_close"))
     close, first = F.col("close"), F.col("first_close")
     d0, d1 = F.col("first_date"), F.col("date")
     return (at.withColumn("return_to_date", close / first - 1)
@@ -58,122 +123,87 @@ def _flagged(bars):
             .withColumn("is_peak", F.col("close") >= F.col("peak_close")))
 
 
-def drawdown_episodes(bars: DataFrame, cutoffs: DataFrame, min_depth: float = -0.2) -> DataFrame:
+def drawdown_episodes(bars: DataFrame, cutoffs: DataFrame, min_depth: float = -0.2,
+                      states: DataFrame | None = None) -> DataFrame:
     """Every episode from a record close to the next, as known at each cursor.
 
     An episode whose next record lies on or before the cursor is final. The one
     still open there is read from its running state (lowest close so far, sessions
     so far) and has no recovery.
     """
-    numbered = _flagged(bars).withColumn(
-        "episode", F.sum(F.col("is_peak").cast("int")).over(S.so_far()))
-    inside = S.sessions("episode")
-    states = numbered.select(
-        "symbol", "date", "episode", "peak_close",
-        F.first("date").over(S.so_far(inside)).alias("peak_date"),
-        F.min(F.struct("close", "date")).over(S.so_far(inside)).alias("trough"),
-        F.row_number().over(inside).alias("sessions"))
-    value_names = ["peak_close", "peak_date", "trough", "sessions"]
+    states = _states(bars, states)
     depth = F.col("trough.close") / F.col("peak_close") - 1
-    last = F.coalesce(F.lead("episode").over(S.sessions()) != F.col("episode"), F.lit(True))
-    following = F.lead("peak_date").over(Window.partitionBy("symbol").orderBy("episode"))
-    closed = (states.withColumn("last", last).filter("last")
-              .withColumn("recovery_date", following).filter(depth <= min_depth)
+    closed = (states.filter("closed.peak_date is not null")
+              .select("symbol", F.col("date").alias("recovery_date"), "closed.*").filter(depth <= min_depth)
               .join(cutoffs, "symbol").filter("recovery_date <= asof")
-              .select("symbol", "asof", *value_names, "recovery_date"))
-    still_open = (_at_cursor(cutoffs, states, value_names).filter(depth <= min_depth)
-                  .select("symbol", "asof", *value_names,
-                          F.lit(None).cast("date").alias("recovery_date")))
+              .select("symbol", "asof", *_EPISODE, "recovery_date"))
+    still_open = (_at_cursor(cutoffs, states, _EPISODE).filter(depth <= min_depth)
+                  .select("symbol", "asof", *_EPISODE, F.lit(None).cast("date").alias("recovery_date")))
     low, low_date = F.col("trough.close"), F.col("trough.date")
     return (closed.unionByName(still_open)
             .select("symbol", "asof", "peak_date", low_date.alias("trough_date"),
                     "recovery_date", "peak_close", low.alias("trough_close"),
-                    depth.alias("depth"), "sessions",
+                    depth.alias("depth"), F.col("episode_sessions").cast("int").alias("sessions"),
                     F.date_diff(low_date, "peak_date").alias("days_to_trough"),
                     F.date_diff("recovery_date", low_date).alias("days_to_recover")))
 
 
-def record_summary(bars: DataFrame, cutoffs: DataFrame) -> DataFrame:
+def record_summary(bars: DataFrame, cutoffs: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """Record-high behaviour up to each cursor, from running aggregates alone."""
-    before = S.sessions().rowsBetween(Window.unboundedPreceding, -1)
-    peak_before = F.max("close").over(before)
-    flagged = (_flagged(bars)
-               .withColumn("is_new", F.coalesce(F.col("close") > peak_before, F.lit(True)))
-               .withColumn("prev_record", F.last(F.when(F.col("is_peak"), F.col("date")), True)
-                           .over(before)))
-    gap = F.when(F.col("is_peak") & F.col("prev_record").isNotNull(),
-                 F.struct(F.date_diff("date", "prev_record").alias("days"),
-                          (-F.unix_date("date")).alias("minus_end")))
-    w = S.so_far()
-    states = flagged.select(
-        "symbol", "date",
-        F.sum(F.col("is_peak").cast("int")).over(w).alias("record_days"),
-        F.col("peak_close").alias("record_close"),
-        F.last(F.when(F.col("is_new"), F.col("date")), True).over(w).alias("record_date"),
-        F.max(gap).over(w).alias("gap"))
-    at = _at_cursor(cutoffs, states, ["record_days", "record_close", "record_date", "gap"])
-    return at.select("symbol", "asof", "record_days", "record_close", "record_date",
-                     F.col("gap.days").alias("longest_dry_spell"),
-                     F.date_from_unix_date(-F.col("gap.minus_end")).alias("dry_spell_end_date"))
-
-
-def streaks(returns: DataFrame, cutoffs: DataFrame, direction: int | None = None,
-            limit: int = 3) -> DataFrame:
+    at = _at_cursor(cutoffs, _states(bars, states), ["record_days", "peak_close", "record_date", "gap"])
+    return at.filter("record_days > 0").select(
+        "symbol", "asof", "record_days", F.col("peak_close").alias("record_close"), "record_date",
+        F.col("gap.days").alias("longest_dry_spell"),
+        F.date_from_unix_date(-F.col("gap.minus_end")).alias("dry_spell_end_date"))
+
+
+def streaks(bars: DataFrame, cutoffs: DataFrame, direction: int | None = None,
+            limit: int = 3, states: DataFrame | None = None) -> DataFrame:
     """Longest runs of rising (+1) or falling (-1) sessions known at each cursor.
 
     A flat session ends a run and belongs to none. Runs that ended by the cursor
     are final, and only those that entered the top of their direction when they
-    ended can be in it at a cursor; a run still going on is cut at the cursor.
+    ended can be in it at a cursor; the run still going on is cut at the cursor.
     """
-    sign = F.signum("daily_return").cast("int")
-    marked = (returns.withColumn("close_before", F.lag("close").over(S.sessions()))
-              .filter(F.col("daily_return").isNotNull()).withColumn("direction", sign)
-              .withColumn("starts", F.coalesce(
-                  F.col("direction") != F.lag("direction").over(S.sessions()), F.lit(True)))
-              .withColumn("ends", F.coalesce(
-                  F.col("direction") != F.lead("direction").over(S.sessions()), F.lit(True)))
-              .withColumn("run", F.sum(F.col("starts").cast("int")).over(S.so_far())))
-    inside = S.sessions("run")
-    names = ["direction", "ends", "length", "start_date", "base", "close"]
-    states = marked.select(
-        "symbol", "date", "direction", "ends", "close",
-        F.row_number().over(inside).alias("length"),
-        F.first("date").over(S.so_far(inside)).alias("start_date"),
-        F.first("close_before").over(S.so_far(inside)).alias("base"))
+    states = _states(bars, states)
+    run = F.struct(F.col("run_length").alias("length"), "start_date", F.col("run_date").alias("end_date"),
+                   F.col("run_base").alias("base"), F.col("run_close").alias("close"))
     wanted = F.col("direction") != 0 if direction is None else F.col("direction") == direction
-    leaders = prefix_contenders(states.filter(F.col("ends") & wanted), "length", limit,
-                                S.sessions("direction"))
-    finished = (leaders.join(cutoffs, "symbol").filter("date <= asof")
-                .select("symbol", "asof", "date", *names))
-    going_on = (_at_cursor(cutoffs, states, names).filter(~F.col("ends"))
-                .select("symbol", "asof", "date", *names))
-    runs = finished.unionByName(going_on.filter(wanted))
-    longest = (Window.partitionBy("symbol", "asof", "direction")
-               .orderBy(F.desc("length"), "start_date"))
-    return (runs.withColumn("rn", F.row_number().over(longest)).filter(F.col("rn") <= limit)
-            .select("symbol", "asof", "direction", "length", "start_date",
-                    F.col("date").alias("end_date"),
-                    (G.ratio(F.col("close"), F.col("base")) - 1).alias("run_return")))
-
-
-def extreme_days(returns: DataFrame, cutoffs: DataFrame, limit: int = 5) -> DataFrame:
+    ended = (states.filter("ended.direction is not null").select("symbol", "date", "ended.*").filter(wanted)
+             .select("symbol", "direction", "date", "run_length", run.alias("run")))
+    finished = (prefix_contenders(ended, ["symbol", "direction"], "run_length", limit, ["run"])
+                .join(cutoffs, "symbol")
+                .select("symbol", "asof", "direction", F.explode(F.filter("contenders", lambda r: r["date"] <= F.col("asof"))).alias("r"))
+                .select("symbol", "asof", "direction", "r.run"))
+    going_on = (_at_cursor(cutoffs, states, _RUN).filter(wanted)
+                .select("symbol", "asof", "direction", run.alias("run")))
+    # a cursor holds at most the contenders of its symbol and one run
+    ranked = (finished.unionByName(going_on).groupBy("symbol", "asof", "direction")
+              .agg(F.sort_array(F.collect_list(F.struct(
+                  (-F.col("run.length")).alias("k"), F.col("run.start_date").alias("d"), "run"))).alias("runs")))
+    return (ranked.select("symbol", "asof", "direction", F.explode(F.slice("runs", 1, limit)).alias("r"))
+            .select("symbol", "asof", "direction", "r.run.length", "r.run.start_date", "r.run.end_date",
+                    (G.ratio(F.col("r.run.close"), F.col("r.run.base")) - 1).alias("run_return")))
+
+
+def extreme_days(bars: DataFrame, cutoffs: DataFrame, limit: int = 5,
+                 states: DataFrame | None = None) -> DataFrame:
     """The largest gains and the largest losses up to each cursor.
 
     A day outside the top of its own past is in no cursor's answer, so only the
-    few days that entered it meet the cursors.
+    few days that entered it meet the cursors. Gains and losses are found in one
+    grouping of one scan.
     """
-    rows = (returns.filter(F.col("daily_return").isNotNull())
-            .select("symbol", "date", "close", "daily_return"))
-
-    def half(name, sign):
-        scored = rows.withColumn("score", sign * F.col("daily_return"))
-        w = Window.partitionBy("symbol", "asof").orderBy(F.desc("score"), "date")
-        return (prefix_contenders(scored, "score", limit, S.sessions())
-                .join(cutoffs, "symbol").filter("date <= asof")
-                .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
-                .select("symbol", "asof", F.lit(name).alias("direction"), "date", "close",
-                        "daily_return"))
-    return half("gain", 1).unionByName(half("loss", -1))
+    rows = bars.select("symbol", "date", "close", S.return_column().alias("daily_return")) if states is None else states
+    rows = rows.filter(F.col("daily_return").isNotNull()).select(
+        "symbol", "date", "close", "daily_return",
+        F.explode(F.array(F.struct(F.lit("gain").alias("direction"), F.col("daily_return").alias("score")),
+                          F.struct(F.lit("loss").alias("direction"), (-F.col("daily_return")).alias("score")))).alias("side"))
+    rows = rows.select("symbol", "date", "close", "daily_return", "side.*")
+    return (prefix_contenders(rows, ["symbol", "direction"], "score", limit, ["close", "daily_return"])
+            .join(cutoffs, "symbol")
+            .select("symbol", "asof", "direction", F.explode(top_of("contenders", F.col("asof"), limit)).alias("r"))
+            .select("symbol", "asof", "direction", "r.date", "r.close", "r.daily_return"))
 
 
 def best_worst_periods(monthly: DataFrame, yearly: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -207,14 +237,13 @@ def best_worst_periods(monthly: DataFrame, yearly: DataFrame, cutoffs: DataFrame
     return read(months, "month", "year_month").unionByName(read(years, "year", "year"))
 
 
-def ma_crossovers(averages: DataFrame, cutoffs: DataFrame) -> DataFrame:
+def ma_crossovers(averages: DataFrame, cutoffs: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """Sessions on which the 50-session mean changes sides of the 200-session one."""
-    above = F.col("ma_50") > F.col("ma_200")
-    full = averages.filter(F.col("ma_50").isNotNull() & F.col("ma_200").isNotNull())
-    crossed = (full.withColumn("above", above)
-               .withColumn("was_above", F.lag("above").over(S.sessions()))
-               .filter(F.col("above") != F.col("was_above")))
-    return (crossed.join(cutoffs, "symbol").filter("date <= asof")
+    if states is None:
+        full = averages.filter(F.col("ma_50").isNotNull() & F.col("ma_200").isNotNull())
+        states = (full.withColumn("above", F.col("ma_50") > F.col("ma_200"))
+                  .withColumn("was_above", F.lag("above").over(S.sessions())))
+    return (states.filter(F.col("above") != F.col("was_above")).join(cutoffs, "symbol").filter("date <= asof")
             .select("symbol", "asof", "date", "close",
                     F.when(F.col("above"), "golden").otherwise("death").alias("cross_type")))
 

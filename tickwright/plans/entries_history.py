@@ -7,6 +7,7 @@ from ..operators import events as E
 from ..operators import history as H
 from ..operators import rollups as U
 from ..operators import series as S
+from ..session import persist_table
 from .checks import Check
 from .oracle import VIEWS
 
@@ -117,42 +118,49 @@ WHERE ABS(company_move) >= {MOVE}
 """
 
 
-def _episodes(f):
-    return H.drawdown_episodes(f.bars, f.cutoffs, DEPTH)
+def _written_states(f):
+    """The record's states, computed in one pass over the bars and read by several operators."""
+    return persist_table(H.record_states(f.bars), "record-states")
 
 
-def _streaks(f):
-    return H.streaks(S.daily_returns(f.bars), f.cutoffs)
+def _episodes(f, states=None):
+    return H.drawdown_episodes(f.bars, f.cutoffs, DEPTH, states)
 
 
-def _extremes(f):
-    return H.extreme_days(S.daily_returns(f.bars), f.cutoffs, 5)
+def _streaks(f, states=None):
+    return H.streaks(f.bars, f.cutoffs, states=states)
+
+
+def _extremes(f, states=None):
+    return H.extreme_days(f.bars, f.cutoffs, 5, states)
 
 
 def _periods(f):
     return H.best_worst_periods(U.monthly_returns(f.bars), U.yearly_summary(f.bars), f.cutoffs)
 
 
-def _crossovers(f):
-    return H.ma_crossovers(S.moving_averages(f.bars), f.cutoffs)
+def _crossovers(f, states=None):
+    return H.ma_crossovers(S.moving_averages(f.bars), f.cutoffs, states)
 
 
-def _company(f):
-    return E.company_event_impact(f.bars, f.company_events, f.categories, f.cutoffs, AHEAD)
+def _company(f, bars=None):
+    return E.company_event_impact(f.bars if bars is None else bars, f.company_events, f.categories, f.cutoffs, AHEAD)
 
 
-def _market(f):
-    return E.market_event_impact(f.bars, f.market_events, f.cutoffs, AHEAD, MOVE)
+def _market(f, bars=None):
+    return E.market_event_impact(f.bars if bars is None else bars, f.market_events, f.cutoffs, AHEAD, MOVE)
 
 
 def _timeline(f):
-    return H.timeline(_company(f), _market(f), _episodes(f), _extremes(f))
+    states = _written_states(f)
+    return H.timeline(_company(f, states), _market(f, states), _episodes(f, states), _extremes(f, states))
 
 
 def _facts(f):
+    states = _written_states(f)
     return H.fact_selection(
-        H.asof_snapshot(f.bars, f.cutoffs), H.record_summary(f.bars, f.cutoffs), _extremes(f),
-        _streaks(f), _periods(f), _episodes(f), _crossovers(f), _company(f), ("1-URGENT",))
+        H.asof_snapshot(f.bars, f.cutoffs, states), H.record_summary(f.bars, f.cutoffs, states), _extremes(f, states),
+        _streaks(f, states), _periods(f), _episodes(f, states), _crossovers(f, states), _company(f, states), ("1-URGENT",))
 
 
 def _order_days(f):
@@ -219,7 +227,7 @@ CHECKS = [
     Check("extreme_days", "symbol asof@ direction date@ close~6 daily_return~8", _extremes,
           "SELECT *, r AS daily_return FROM v_extreme"),
     Check("union_extremes", "symbol asof@ direction date@",
-          lambda f: H.extreme_days(S.daily_returns(f.stocks), f.cutoffs, 5),
+          lambda f: H.extreme_days(f.stocks, f.cutoffs, 5),
           "SELECT symbol, asof, direction, date FROM v_extreme WHERE symbol <> 'MARKET'"),
     Check("best_worst_periods", "symbol asof@ period_type extreme period period_return~8", _periods,
           "SELECT * FROM v_periods"),
