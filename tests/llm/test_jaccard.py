@@ -41,7 +41,8 @@ def test_chains_copies_and_a_common_passage(spark):
     random.Random(5).shuffle(texts)
     want = jaccard_components(list(enumerate(texts)))
     assert answers(documents(spark, texts)) == want
-    assert answers(documents(spark, texts), frequent=3) == want
+    assert answers(documents(spark, texts), sample=1, often=3) == want
+    assert answers(documents(spark, texts), sample=1, often=1) == want
     assert len({c for _, c in want.values()}) < len(texts) - 60
 
 

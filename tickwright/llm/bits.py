@@ -16,6 +16,14 @@ WORDS = 1 << 18
 SHIFTS = (0, 12)     # bits of the hash where the positions of its first and second probe begin
 
 
+MOST = 1 << 24
+
+
+def fitting(n: int) -> int:
+    """Words for a set of n hashes: 32 bits or more each, up to MOST words (128 MB)."""
+    return max(1 << 12, min(MOST, 1 << max(0, n // 2 - 1).bit_length()))
+
+
 def word_of(position: Column) -> Column:
     return F.shiftright(position, 6)
 
