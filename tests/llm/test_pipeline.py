@@ -1,7 +1,9 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tickwright.llm import mixing
 
-from .cases import contamination, documents, jaccard_components, jump
+from .cases import contamination, crowded, documents, jaccard_components, jump
 
 PATH = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,3 +43,32 @@ def test_run_and_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.count() == 0 and got.columns == [*COLUMNS, "shard", "slot"]
+
+
+def test_nulls_repeats_and_clashing_columns_in_every_stage(spark, tmp_path):
+    texts = [None, "", "Some words of a first text.", "Some words of a first text.", "other words in another text", "123",
+             "x" * 30_000, "Some words of a first text, and more."] * 2
+    docs = documents(spark, texts, sources=["a", None] * 8, first=1)
+    docs = docs.union(docs.filter("doc_id < 4")).withColumn(
+        "doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("doc_id")))
+    odd = crowded(docs.withColumn("n_chars", F.lit(1).cast("long")))
+    for name in ("text_crc32", "grown_shard", "component_id", "contaminated", "lang_pred", "rejected"):
+        odd = odd.withColumn(name, F.lit("odd"))
+    spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        kept = [c for c in odd.columns if c not in ("shard", "slot")]
+        assert [c for c in out.columns if c not in ("shard", "slot")] == kept, name
+        rows = out.collect()
+        assert all(r[c] == "odd" for r in rows for c in ("size", "text_crc32", "grown_shard", "component_id", "n"))
+        if name == "jaccard_join":
+            own = [(r.doc_id, r.text) for r in odd.collect()]
+            going = {i for i, (_, c) in jaccard_components([(i, t) for i, t in own if i is not None]).items() if c < i}
+            assert sorted((r.doc_id or 0) for r in rows) == sorted((i or 0) for i, _ in own if i not in going)
+        if name in ("decontamination", "sharding"):
+            assert len(rows) == odd.count()
+        if name == "sharding":
+            assert {type(r.shard) for r in rows} == {int}
+            for shard in {r.shard for r in rows}:
+                own = sorted(r.slot for r in rows if r.shard == shard)
+                assert own == list(range(len(own)))

@@ -7,18 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import persist_table
 
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
 def lean(spark: SparkSession):
     """For the jobs inside: no shuffle files after the job that needs them, and tasks that
-    hold at most BATCH_ROWS rows at a time."""
+    hold at most BATCH_ROWS rows, or the first that reach BATCH_BYTES, at a time."""
     conf = spark.conf
-    before = {_CLEANUP: conf.get(_CLEANUP, "false"), _BATCH: conf.get(_BATCH, "10000")}
+    before = {_CLEANUP: conf.get(_CLEANUP, "false"), _BATCH: conf.get(_BATCH, "10000"), _BYTES: conf.get(_BYTES, "64m")}
     conf.set(_CLEANUP, "true")
     conf.set(_BATCH, str(BATCH_ROWS))
+    conf.set(_BYTES, str(BATCH_BYTES))
     try:
         yield
     finally:
