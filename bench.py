@@ -87,9 +87,9 @@ def main():
     query("one_symbol_series", lambda: R.moving_averages_in_range(
         bars.filter("symbol = 'NATION_7'"), START, END))
     query("all_symbol_history", lambda: S.symbol_history(bars, START, END))
-    query("local_company_search", lambda: C.search_catalog(
-        C.dedupe_catalog(symbols, dims["universe"]),
-        spark.createDataFrame([("nation_1",)], "term string"), 8))
+    index = C.write_index(C.dedupe_catalog(symbols, dims["universe"]), scratch_path(spark, "search-index"))
+    query("local_company_search", lambda: C.search_index(
+        index, spark.createDataFrame([("nation_1",)], "term string"), 8))
     query("window_stats", lambda: M.window_stats(bars, START, END))
     query("sector_performance", lambda: M.sector_performance(bars, symbols, START, END))
     query("period_movers", lambda: M.period_movers(bars, symbols, START, END))

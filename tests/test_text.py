@@ -108,3 +108,30 @@ def test_catalog_tiers(spark):
         by.setdefault(r["term"], []).append((r["symbol"], r["tier"], r["exchange"]))
     want = [("AB", 0, "local"), ("ABC", 1, "NYSE"), ("CAB", 2, "Nasdaq"), ("XY", 2, "local")]
     assert by == {"ab": want, " AB ": want, "zed corp": [("ABC", 1, "NYSE")]}
+
+
+def test_search_meets_every_substring(spark):
+    catalog = spark.createDataFrame([("AB", "Abel abba", "X", 0), ("ABB", None, "", 1), ("ZZ", "A b", "N", 1), ("Q", "", "N", 0)],
+                                    "symbol string, name string, exchange string, source int")
+    rows = [(r["symbol"].upper(), (r["name"] or "").upper()) for r in catalog.collect()]
+    texts = {x for pair in rows for x in pair}
+    terms = sorted({t[i:j] for t in texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)} | {"abx", "bbab", " ", "elab"})
+    frame = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = {(r["term"], r["symbol"]): r["tier"] for r in C.search_catalog(catalog, frame, 10).collect()}
+    want = {}
+    for term in terms:
+        t = term.strip().upper()
+        for symbol, name in rows:
+            if t and (t in symbol or t in name):
+                want[term, symbol] = 0 if symbol == t else 1 if symbol.startswith(t) or name.startswith(t) else 2
+    assert got == want
+
+
+def test_an_update_replaces_a_company_in_the_stored_index(spark, tmp_path):
+    kind = "symbol string, name string, exchange string, source int"
+    path = str(tmp_path / "index")
+    C.write_index(spark.createDataFrame([("A", "Old name", "N", 0), ("B", "Other", "N", 0)], kind), path, 1)
+    index = C.write_index(spark.createDataFrame([("A", "New title", "N", 0), ("C", "Third old", "N", 0)], kind), path, 2)
+    terms = spark.createDataFrame([("old",), ("title",), ("oth",), ("name",)], "term string")
+    assert {(r["term"], r["symbol"]) for r in C.search_index(index, terms).collect()} == {
+        ("old", "C"), ("title", "A"), ("oth", "B")}

@@ -291,7 +291,9 @@ CHECKS = [
              JOIN fx_symbols s ON s.symbol = b.symbol GROUP BY 1, 2"""),
     Check("join_left_on_date", "symbol date@ ann_volatility_21d~8",
           lambda f: S.with_features(f.bars),
-          "SELECT b.symbol, b.date, v.v AS ann_volatility_21d FROM fx_bars b LEFT JOIN v_vol v USING (symbol, date)"),
+          """SELECT symbol, date, CASE WHEN r IS NOT NULL AND COUNT(*) OVER w = 21
+                    THEN STDDEV_POP(r) OVER w * SQRT(252) END AS ann_volatility_21d
+             FROM v_ret WINDOW w AS (PARTITION BY symbol, r IS NULL ORDER BY date ROWS 20 PRECEDING)"""),
     Check("materialize_rollups", "symbol cagr~8 max_drawdown~8 newest_close~6 vol_1y~8", _published,
           """SELECT s.symbol, s.cagr, s.max_drawdown, s.last_close AS newest_close, p.vol_1y FROM v_stats s
              LEFT JOIN v_pm p ON p.symbol = s.symbol"""),
