@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .heldout import held_out, sample_ids
-from .tables import written
+from .tables import lean, written
 from .tasks import flat_map
 
 SIZE = 4096
@@ -191,6 +191,11 @@ def learn_limits(rows: DataFrame, model: Model) -> np.ndarray:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learn from the text and lang of the rows of docs that are not held out."""
+    with lean(docs.sparkSession):
+        return _fit(docs, sample, centroids)
+
+
+def _fit(docs: DataFrame, sample: int, centroids: int) -> Model:
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n, found = document_frequencies(rows)
     idf = (np.log((1 + n) / (1 + found)) + 0.05).astype(np.float32)
