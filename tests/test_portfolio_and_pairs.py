@@ -97,3 +97,51 @@ def test_breadth_and_sectors(make_bars, spark):
     sectors = {r["sector"]: r for r in M.sector_performance(bars, symbols, "2020-01-01", "2020-12-31").collect()}
     assert sectors["x"]["median_return"] == pytest.approx(0.0) and sectors["x"]["n_symbols"] == 2
     assert np.isclose(sectors["y"]["median_return"], 0.0)
+
+
+@pytest.mark.parametrize("block, span, k", [(256, 1024, 3), (3, 64, 1), (3, 64, 4), (2, 8, 30)])
+def test_nearest_partners_and_summary_equal_the_matrix(small, monkeypatch, block, span, k):
+    monkeypatch.setattr(C, "BLOCK", block)
+    monkeypatch.setattr(C, "SPAN_DAYS", span)
+    returns = S.daily_returns(small.bars)
+    pairs = [r for r in C.exact_pairs(C.correlation_pairs(returns, START, END)).collect() if r["correlation"] is not None]
+    want = {}
+    for r in pairs:
+        for a, b in ((r["sym_a"], r["sym_b"]), (r["sym_b"], r["sym_a"])):
+            want.setdefault(a, []).append((-r["correlation"], b))
+    got = {}
+    for r in C.nearest_partners(returns, START, END, k).orderBy("symbol", "rank").collect():
+        got.setdefault(r["symbol"], []).append((-r["correlation"], r["partner"]))
+    assert got.keys() == want.keys()
+    for a, found in got.items():
+        best = sorted(want[a])[:k]
+        assert [b for _, b in found] == [b for _, b in best]
+        assert [c for c, _ in found] == pytest.approx([c for c, _ in best], abs=1e-9)
+    row = C.correlation_summary(returns, START, END).first()
+    assert row["n_pairs"] == len(pairs) and row["fewest_shared"] == min(r["n"] for r in pairs)
+    assert row["mean_correlation"] == pytest.approx(sum(r["correlation"] for r in pairs) / len(pairs), abs=1e-9)
+    assert row["most"] == pytest.approx(max(r["correlation"] for r in pairs)) and row["least"] == pytest.approx(min(r["correlation"] for r in pairs))
+
+
+def test_partners_on_one_calendar_are_found_though_most_are_given_up(make_bars):
+    import random
+    pick = random.Random(2)
+    base = [[pick.gauss(0, 0.01) for _ in range(300)] for _ in range(3)]
+    closes, noise = {}, 0.002
+    for i in range(12):
+        c, out = 100.0, []
+        for j in range(300):
+            c *= 1 + base[i % 3][j] + pick.gauss(0, noise)
+            out.append(c)
+        closes[f"S{i:02d}"] = out
+    returns = S.daily_returns(make_bars(closes))
+    wide = returns.toPandas().pivot(index="date", columns="symbol", values="daily_return").corr()
+    old = C.BLOCK
+    C.BLOCK = 4
+    try:
+        rows = C.nearest_partners(returns, "2020-01-01", "2030-01-01", 3).collect()
+    finally:
+        C.BLOCK = old
+    for a in closes:
+        best = wide[a].drop(a).sort_values(ascending=False).index[:3].tolist()
+        assert [r["partner"] for r in sorted((r for r in rows if r["symbol"] == a), key=lambda r: r["rank"])] == best

@@ -168,8 +168,13 @@ CHECKS = [
           "SELECT sym_a, " + ", ".join(
               f"MAX(CASE WHEN sym_b = '{s}' THEN correlation END) AS {s}" for s in _SQUARE)
           + f" FROM v_corr WHERE sym_a IN ({', '.join(repr(s) for s in _SQUARE)}) GROUP BY 1"),
+    Check("nearest_partners", "symbol rank# partner n# correlation~8",
+          lambda f: C.nearest_partners(S.daily_returns(f.bars), START, END, 3),
+          """SELECT sym_a AS symbol, ROW_NUMBER() OVER (PARTITION BY sym_a ORDER BY correlation DESC, sym_b) AS rank,
+                    sym_b AS partner, n, correlation FROM v_corr
+             WHERE sym_a <> sym_b AND correlation IS NOT NULL QUALIFY rank <= 3"""),
     Check("correlation_summary", "most_pair most~8 least_pair least~8 mean_correlation~8 n_pairs# fewest_shared#",
-          lambda f: C.correlation_summary(_pairs(f)),
+          lambda f: C.correlation_summary(S.daily_returns(f.bars), START, END),
           """SELECT ARG_MAX(sym_a || ' ' || sym_b, correlation) AS most_pair, MAX(correlation) AS most,
                     ARG_MIN(sym_a || ' ' || sym_b, correlation) AS least_pair, MIN(correlation) AS least,
                     AVG(correlation) AS mean_correlation, COUNT(*) AS n_pairs, MIN(n) AS fewest_shared
