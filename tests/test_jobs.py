@@ -21,6 +21,7 @@ from tickwright.sources import bars as B
 from tickwright.sources import dimensions as D
 from tickwright.sources import events as E
 from tickwright.streaming import ingest as I
+from tickwright.streaming import log as L
 
 
 def plan(df):
@@ -104,34 +105,82 @@ def test_every_template_answers(spark, small):
 
 
 # --- streaming -----------------------------------------------------------------
+def rows_of(df):
+    return sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
+
+
 def test_ingest_resumes_and_equals_the_batch(spark, make_bars, tmp_path):
     landing, log, quotes = (str(tmp_path / x) for x in ("landing", "log", "quotes"))
     first = make_bars({"A": [1.0, 2.0], "B": [5.0, 6.0]})
     later = make_bars({"A": {"2020-01-02": 3.0, "2020-01-03": 4.0}, "C": [7.0]})
-    fields = U.latest_quote(first).schema
 
     def run(rows, name):
         if rows is not None:
             rows.coalesce(1).write.option("header", True).csv(f"{landing}/{name}")
-        I.ingest(spark, f"{landing}/*", log, str(tmp_path / "ckpt"), quotes).awaitTermination()
-        return sorted(map(tuple, I.bars_from_log(spark, log).collect()))
+        I.ingest(spark, f"{landing}/*", log, str(tmp_path / "ckpt")).awaitTermination()
+        I.ingest_quotes(spark, f"{landing}/*", quotes, str(tmp_path / "ckpt-quotes")).awaitTermination()
+        return rows_of(I.bars_from_log(spark, log))
 
-    assert run(first, "one") == sorted(map(tuple, first.collect()))
-    want = sorted(map(tuple, B.upsert_bars(first, later).collect()))
+    assert run(first, "one") == rows_of(first)
+    assert rows_of(I.quotes_from_log(spark, quotes)) == rows_of(U.latest_quote(first))
+    want = rows_of(B.upsert_bars(first, later))
     assert run(later, "two") == want
     assert run(None, None) == want
-    got = sorted(map(tuple, I.quotes_from_log(spark, quotes, fields).collect()))
-    assert got == sorted(map(tuple, U.latest_quote(B.upsert_bars(first, later)).collect()))
-    compacted = I.compact(spark, log, str(tmp_path / "compacted"))
-    assert sorted(map(tuple, compacted.collect())) == want
-
-
-def test_a_replayed_batch_changes_nothing(spark, make_bars, tmp_path):
+    assert rows_of(I.quotes_from_log(spark, quotes)) == rows_of(U.latest_quote(B.upsert_bars(first, later)))
+    assert rows_of(I.compact(spark, log)) == want and len(L.live_segments(spark, log)) == 1
+
+
+def test_quotes_are_kept_without_the_log(spark, make_bars, tmp_path):
+    """Corrections, late bars, gaps of over a year and blank prices, batch by batch, as one latest_quote over all."""
+    import random
+    pick = random.Random(8)
+    landing, quotes = str(tmp_path / "landing"), str(tmp_path / "quotes")
+    whole = None
+    for i in range(5):
+        closes = {}
+        for s in ("A", "B", "C")[:1 + i % 3]:
+            year = 2018 + i // 2
+            days = {f"{year}-{pick.randrange(1, 13):02d}-{pick.randrange(1, 29):02d}" for _ in range(12)}
+            days |= {"2020-02-29", "2019-02-28"} if i == 3 else set()
+            closes[s] = {d: pick.choice([None, *range(1, 90)]) for d in days}
+            closes[s] = {d: None if c is None else float(c) for d, c in closes[s].items()}
+        rows = make_bars(closes)
+        rows.coalesce(1).write.option("header", True).csv(f"{landing}/{i}")
+        I.ingest_quotes(spark, f"{landing}/*", quotes, str(tmp_path / "ckpt")).awaitTermination()
+        whole = rows if whole is None else B.upsert_bars(whole, rows)
+        assert rows_of(I.quotes_from_log(spark, quotes)) == rows_of(U.latest_quote(whole)), i
+
+
+def test_a_replayed_load_changes_nothing(spark, make_bars, tmp_path):
     log = str(tmp_path / "log")
-    rows = make_bars({"A": [1.0, 2.0]})
-    for _ in range(2):
-        I._append(rows, log, 0)
-    assert I.bars_from_log(spark, log).count() == 2
+    for closes in ([1.0, 2.0], [9.0, 9.0]):
+        L.append_load(make_bars({"A": closes}), log, 0, I.BAR_KEY)
+    assert [r["close"] for r in I.bars_from_log(spark, log).orderBy("date").collect()] == [1.0, 2.0]
+
+
+def test_segments_stay_few_and_the_last_load_wins(spark, make_bars, tmp_path):
+    log, want = str(tmp_path / "log"), {}
+    most = 0
+    for load in range(20):
+        closes = {f"2020-01-{1 + (load * 7 + j) % 28:02d}": float(load * 10 + j) for j in range(3)}
+        want.update(closes)
+        L.append_load(make_bars({"A": closes}), log, load, I.BAR_KEY, fanout=3)
+        most = max(most, len(L.live_segments(spark, log)))
+    assert most <= 3
+    assert {str(r["date"]): r["close"] for r in I.bars_from_log(spark, log).collect()} == want
+    entries = L.live_segments(spark, log)
+    assert entries[0]["first_load"] == 0 and entries[-1]["last_load"] == 19
+    text = plan(I.bars_from_log(spark, log).filter("symbol = 'A'"))
+    assert "EqualTo(symbol,A)" in text
+
+
+def test_segments_merge_by_size():
+    def entries(*sizes):
+        return [{"rows": r, "path": str(i), "first_load": i, "last_load": i} for i, r in enumerate(sizes)]
+    big = L.CLASS_ROWS * 100
+    assert [len(r) for r in L._runs(entries(big, 1, 1, 1))] == [3, 4]
+    assert max(len(r) for r in L._runs(entries(big, 1, 1))[:1]) == 2
+    assert L.size_class(1) == 0 and L.size_class(L.CLASS_ROWS * 3) == 1 and L.size_class(big) > 3
 
 
 # --- plans ---------------------------------------------------------------------

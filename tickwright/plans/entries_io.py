@@ -179,16 +179,12 @@ def _viewed(f):
 def _streamed(f, quotes=False):
     """Two landings taken by two runs of one query: the bars, then corrections."""
     base = scratch_path(f.spark, "stream")
-    landing, log, quote_log = f"{base}/landing", f"{base}/bars", f"{base}/quotes"
+    landing = f"{base}/landing"
     for i, rows in enumerate((f.bars, _corrections(f))):
         rows.repartition(4, "symbol").write.mode("append").option("header", True).csv(f"{landing}/load={i}")
-        I.ingest(f.spark, f"{landing}/load=*", log, f"{base}/checkpoint",
-                 quote_log if quotes else None).awaitTermination()
-    if quotes:
-        from ..operators.rollups import latest_quote
-        fields = latest_quote(f.bars.limit(0)).schema
-        return I.quotes_from_log(f.spark, quote_log, fields)
-    return I.bars_from_log(f.spark, log)
+        start = I.ingest_quotes if quotes else I.ingest
+        start(f.spark, f"{landing}/load=*", f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    return (I.quotes_from_log if quotes else I.bars_from_log)(f.spark, f"{base}/log")
 
 
 _CHART_SQL = """
