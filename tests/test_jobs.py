@@ -14,6 +14,7 @@ from tickwright.operators import rollups as U
 from tickwright.operators import series as S
 from tickwright.operators.asof import asof_join
 from tickwright.plans import build as X
+from tickwright.plans import partials as T
 from tickwright.plans.entries_io import _inputs
 from tickwright.plans.fixtures import INDEX
 from tickwright.plans.templates import answer
@@ -89,6 +90,43 @@ def test_a_failed_build_leaves_the_published_one(spark, small, tmp_path):
     assert not X.build_is_current(spark, root)
 
 
+def test_a_delta_rewrites_only_the_months_it_touches(spark, small, tmp_path):
+    root, bars = str(tmp_path / "store"), small.bars
+    inputs = _inputs(small)
+    last = bars.agg(F.max("date")).first()[0]
+
+    def closely(df, want):
+        a, b = (sorted(x.select(want.columns).collect(), key=lambda r: r["symbol"]) for x in (df, want))
+        assert len(a) == len(b)
+        for x, y in zip(a, b):
+            for c in want.columns:
+                assert x[c] == (pytest.approx(y[c], rel=1e-9, abs=1e-9) if isinstance(y[c], float) else y[c]), (x["symbol"], c)
+
+    def check(prices):
+        X.build_job(spark, {**inputs, "prices": prices}, root, INDEX)
+        built = X.open_build(spark, root)
+        closely(built["symbol_stats"], U.symbol_stats(prices, inputs["symbols"]))
+        closely(built["latest_quote"], U.latest_quote(prices))
+        assert rows_of(built["prices"]) == rows_of(prices)
+        row = X.read_manifest(spark, root)
+        index = {r["month"]: r["path"] for r in T.read_index(spark, f"{row['tables']['prices']}/index").collect()}
+        return row, {m for m, p in index.items() if p.endswith(row["run"])}
+
+    first, months = check(bars.filter(F.col("date") < last))
+    assert len(months) > 50
+    second, touched = check(bars)
+    assert touched == {str(last)[:7]}
+    assert second["tables"]["symbols"] == first["tables"]["symbols"] and second["tables"]["prices"] != first["tables"]["prices"]
+    fixed = bars.withColumn("close", F.when(F.col("date") == "1996-03-05", F.col("close") * 3).otherwise(F.col("close")))
+    more = fixed.union(bars.filter("symbol = 'NATION_1' AND date < '1995-03-01'").withColumn("symbol", F.lit("NEW")))
+    _, touched = check(more.filter("symbol <> 'NATION_3' OR date < '2001-01-01'"))
+    assert "1996-03" in touched and len(touched) < 20
+    third, touched = check(more.filter("symbol <> 'NATION_3' OR date < '2001-01-01'"))
+    assert touched == set() and X.build_is_current(spark, root)
+    again, _ = check(more.filter("symbol <> 'NATION_3' OR date < '2001-01-01'"))
+    assert again["tables"]["metric_panel"] == third["tables"]["metric_panel"]
+
+
 def test_every_template_answers(spark, small):
     stats, quote = U.symbol_stats(small.bars, small.symbols), U.latest_quote(small.bars)
     tables = {"prices": small.bars, "symbols": small.symbols, "symbol_stats": stats, "latest_quote": quote}
