@@ -19,6 +19,7 @@ from .ordered import running_total
 
 MULTIPLIER = "2862933555777941757"
 CHUNKS = 4096   # per shard; chunks grow with the rows, a shard's number of chunks stays small
+MOST_CHUNKS = 1 << 20    # of all shards, up to which their totals are sent to tasks (32 bytes each)
 
 
 def jump_path(key: Column, shards: int) -> Column:
@@ -63,7 +64,7 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
                        .otherwise(F.col("__shard_path.at")).cast("int")).drop("__shard_path")
            .withColumn("__shard_chunk", F.pmod(F.xxhash64("__shard_key", "text_crc32"), F.lit(CHUNKS))))
     numbered = running_total(out, "shard", "__shard_chunk", ["__shard_key", "text_crc32", "size"],
-                             F.lit(1).cast("long"), "slot")
+                             F.lit(1).cast("long"), "slot", few_chunks=shards * CHUNKS <= MOST_CHUNKS)
     return numbered.drop("__shard_key", "__shard_chunk")
 
 
