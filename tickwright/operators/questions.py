@@ -194,11 +194,12 @@ def symbol_mentions(questions, directory) -> DataFrame:
     """
     phrases = _phrases(directory)
     reach = phrases.agg(F.coalesce(F.max("words"), F.lit(1)).alias("n")).scalar()
-    chunks = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+\W*)"), F.lit(1))
+    low = F.lower("text")
+    chunks = F.when(reach > 1, F.regexp_extract_all(low, F.lit(r"(?U)(\w+\W*)"), F.lit(1)))
     firsts = phrases.select("word").distinct()
-    spoken = (questions.select("question_id", chunks.alias("chunks"), reach.alias("reach"))
-              .select("question_id", F.posexplode(F.transform("chunks", lambda c, i: F.struct(
-                  F.regexp_extract(c, r"(?U)^\w+", 0).alias("word"),
+    spoken = (questions.select("question_id", chunks.alias("chunks"), reach.alias("reach"), words_of(low).alias("words"))
+              .select("question_id", F.posexplode(F.transform("words", lambda w, i: F.struct(
+                  w.alias("word"),
                   F.when(F.col("reach") > 1, F.array_join(F.slice("chunks", i + 1, F.col("reach")), ""))
                   .otherwise("").alias("from_here")))).alias("i", "at"))
               .select("question_id", "i", "at.word", "at.from_here")
@@ -219,40 +220,51 @@ def tag_symbols(questions, directory) -> DataFrame:
             .drop("hits"))
 
 
-def _says(words, low, keywords):
-    """Any keyword as whole words; a phrase is looked for only where it occurs as text."""
-    single = [k for k in keywords if k.isalnum()]
-    hit = F.arrays_overlap(words, F.array(*[F.lit(k) for k in single])) if single else F.lit(False)
-    for phrase in keywords:
-        if phrase not in single:
-            hit = hit | (low.contains(phrase) & low.rlike(rf"(?U)\b\Q{phrase}\E\b"))
-    return hit
+def _keyword_index() -> tuple[str, dict, list]:
+    """(pattern, mask of groups by keyword, mask of groups by template).
+
+    A group of a template is one bit. The pattern finds, at every word, the longest
+    keyword that starts there; its mask holds those of the shorter ones it begins with.
+    """
+    groups = [(i, g) for i, (_, own, *_) in enumerate(INTENTS) for g in own]
+    said: dict = {}
+    for bit, (_, group) in enumerate(groups):
+        for keyword in group:
+            said[keyword] = said.get(keyword, 0) | 1 << bit
+    masks = {k: reduce(lambda a, b: a | b, [m for short, m in said.items() if k == short or k.startswith(short + " ")])
+             for k in said}
+    need = [sum(1 << bit for bit, (j, _) in enumerate(groups) if j == i) for i in range(len(INTENTS))]
+    longest_first = sorted(said, key=lambda k: (-len(k), k))
+    starts = "".join(sorted({k[0] for k in said}))
+    return rf"(?U)(?=[{starts}])\b(?=({'|'.join(longest_first)})\b)", masks, need
+
+
+_KEYWORDS, _MASKS, _NEEDED = _keyword_index()
 
 
 def score_intents(tagged: DataFrame, index_symbol: str) -> DataFrame:
     """The best fitting template of each question, '' when nothing fits.
 
-    The text is cut into words once and only its keywords are kept; all scores of
-    a question are one array built from them. The highest wins and the earlier
-    template wins a tie.
+    The text is scanned once, by one pattern of all keywords; what it says of each group
+    of each template is one number. The highest score wins and the earlier template wins
+    a tie.
     """
-    every = sorted({k for _, groups, *_ in INTENTS for g in groups for k in g if k.isalnum()})
-    low, words, n = F.col("_low"), F.col("_keywords"), F.size("symbols")
+    low, n, said = F.col("_low"), F.size("symbols"), F.col("_said")
     only_index = (n == 1) & (F.get("symbols", F.lit(0)) == index_symbol)
     options = []
-    for i, (name, groups, needs, weight, bonus) in enumerate(INTENTS):
-        hits = reduce(lambda a, b: a & b, [_says(words, low, g) for g in groups])
+    for i, ((name, groups, needs, weight, bonus), need) in enumerate(zip(INTENTS, _NEEDED)):
         score = F.lit(len(groups) * weight)
         if needs:
             score = score + F.when(n >= needs, ENOUGH_SYMBOLS).otherwise(TOO_FEW_SYMBOLS)
         if bonus:
             score = score + F.when(only_index, bonus).otherwise(0.0)
-        options.append(F.when(hits & (score > 0), F.struct(
+        options.append(F.when((said.bitwiseAND(F.lit(need)) == need) & (score > 0), F.struct(
             score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("intent"))))
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(_KEYWORDS), F.lit(1)))
+    masks = F.aggregate(found, F.lit(0), lambda m, k: m.bitwiseOR(F.coalesce(_lookup(_MASKS, k), F.lit(0))))
     bare = F.when((n > 0) & (low != ""), "company_detail").otherwise("")
     return (tagged.withColumn("_low", F.lower(F.trim("text")))
-            .withColumn("_keywords", F.filter(words_of(low), lambda w: w.isin(every)))
-            .withColumn("_best", F.array_max(F.array(*options)))
+            .withColumn("_said", masks).withColumn("_best", F.array_max(F.array(*options)))
             .select(*tagged.columns, F.coalesce("_best.intent", bare).alias("intent"),
                     F.coalesce("_best.score", F.lit(0.0)).alias("score")))
 
