@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickwright.functions import guards as G
+from tickwright.functions import places as P
 from tickwright.operators import ranges as R
 from tickwright.operators import rollups as U
 from tickwright.operators import series as S
@@ -92,3 +93,40 @@ def test_table_query_pages_and_keeps_nulls_last(spark):
     assert (first, second) == (["c", "d", "a"], ["b"])
     hits = R.table_query(df, term=" B ", search_cols=("symbol",)).collect()
     assert [r[0] for r in hits] == ["b"]
+
+
+def test_places_over_keys_with_nulls_and_ties(spark, tmp_path):
+    import random
+    pick = random.Random(3)
+    rows = [(pick.choice([None, 1.0, 2.0, 2.5]), pick.choice([None, "a", "b"]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "v double, s string, i int").repartition(7)
+    order = {"v": False, "s": True, "i": False}
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is None, r[1] or "", -r[2]))
+    got = [tuple(r)[:3] for r in P.with_place(df, order).orderBy("place").collect()]
+    assert got == want and [r["place"] for r in P.with_place(df, order).orderBy("place").collect()] == list(range(1, 401))
+    twins = spark.createDataFrame([(1, "x")] * 5 + [(0, "y")], "a int, b string")
+    assert sorted(r["place"] for r in P.with_place(twins, {"a": True}).collect()) == [1, 2, 3, 4, 5, 6]
+    path = str(tmp_path / "ordered")
+    P.store_ordered(df, order, path)
+    assert [tuple(r)[:3] for r in P.read_page(spark, path, 3, 30).collect()] == want[60:90]
+    assert "GreaterThan(place,60)" in P.read_page(spark, path, 3, 30)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        P.with_place(df, {})
+
+
+def test_a_page_is_reached_by_number_and_by_the_row_before_it(spark):
+    import random
+    pick = random.Random(4)
+    df = spark.createDataFrame([(f"s{i:03d}", pick.choice([None, 1.0, 2.0, 3.0])) for i in range(60)], "symbol string, v double")
+    for up in (True, False):
+        last, seen = None, []
+        for page in range(1, 8):
+            by_number = [tuple(r) for r in R.table_query(df, sort="v", ascending=up, page=page, per_page=9).collect()]
+            if last is not None:
+                rows = R.table_query(df, sort="v", ascending=up, per_page=9, after={"v": last[1], "symbol": last[0]}).collect()
+                assert [tuple(r) for r in rows] == by_number
+            seen += by_number
+            last = by_number[-1]
+        assert seen == sorted(map(tuple, df.collect()), key=lambda r: (r[1] is None, (r[1] or 0) * (1 if up else -1), r[0]))
+    with pytest.raises(ValueError):
+        R.table_query(df, sort="nope", tie=())

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import guards as G
+from ..functions.places import with_place
 from . import series as S
 from .market import one_row
 
@@ -167,6 +168,6 @@ def panel_row(panel: DataFrame, symbol: str) -> DataFrame:
 
 
 def universe_by_size(panel: DataFrame) -> DataFrame:
-    return (panel.select("symbol", "name", "sector", "exchange", "last_close", "market_cap",
-                         "dollar_volume", "vol_1y", "last_date")
-            .orderBy(F.desc_nulls_last("market_cap"), "symbol"))
+    """Companies with their place by size, the largest first; those without a size come last."""
+    return with_place(panel.select("symbol", "name", "sector", "exchange", "last_close", "market_cap",
+                                   "dollar_volume", "vol_1y", "last_date"), {"market_cap": False, "symbol": True})

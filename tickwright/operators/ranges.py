@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import guards as G
+from ..functions.places import after_row, sort_keys, with_place
 from . import series as S
 
 
@@ -164,11 +165,12 @@ def distinct_sectors(symbols):
 
 
 def table_query(df, term=None, search_cols=(), filters=None, sort=None, ascending=True,
-                page: int = 1, per_page: int = 25, tie=("symbol",)):
-    """Search, filter, sort and page a frame.
+                page: int = 1, per_page: int = 25, tie=("symbol",), after: dict | None = None):
+    """Search, filter, sort and page a frame; one of the sort keys must be a column of it.
 
-    The page is a limit inside an ordered prefix: Spark keeps only the top
-    page * per_page rows of each partition, so no full sort is made.
+    Each page costs as the first one, the best per_page rows of each partition, when the
+    keys of the row before it are handed in as `after`. A page by number alone is read from
+    the places of all rows (functions.places); to turn many pages store the order once.
     """
     view = df
     if term and term.strip():
@@ -183,11 +185,13 @@ def table_query(df, term=None, search_cols=(), filters=None, sort=None, ascendin
     for column, allowed in (filters or {}).items():
         if allowed:
             view = view.filter(F.col(column).cast("string").isin(list(allowed)))
-    keys = []
-    if sort is not None and sort in df.columns:
-        keys.append(F.asc_nulls_last(sort) if ascending else F.desc_nulls_last(sort))
-    keys += [F.asc_nulls_last(t) for t in tie if t in df.columns and t != sort]
-    if keys:
-        view = view.orderBy(*keys)
+    order = {sort: ascending} if sort is not None and sort in df.columns else {}
+    order |= {t: True for t in tie if t in df.columns and t != sort}
+    keys = sort_keys(order)
+    if after is not None:
+        return view.filter(after_row(order, after)).orderBy(*keys).limit(per_page)
+    if page <= 1:
+        return view.orderBy(*keys).limit(per_page)
     first = (page - 1) * per_page
-    return view.offset(first).limit(per_page) if first else view.limit(per_page)
+    placed = with_place(view, order, "_place").filter(F.col("_place").between(first + 1, first + per_page))
+    return placed.orderBy("_place").select(*df.columns)

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.places import with_place
 from ..functions.ranks import grouped_percentile
 
 
@@ -223,6 +224,11 @@ def rankings(panel, horizon="Medium-Term", objective="Balanced", with_analyst=Fa
     return board.limit(limit) if limit >= 0 else board
 
 
+def placed_rankings(panel, **choices) -> DataFrame:
+    """The whole board with each company's place; equal scores go by symbol."""
+    return with_place(rankings(panel, limit=-1, **choices), {"overall_score": False, "symbol": True})
+
+
 def top_picks(panel, limit=5, with_analyst=False):
     return rankings(panel, limit=limit, with_analyst=with_analyst).select(
         "symbol", "name", "sector", "overall_score", "coverage")

@@ -236,9 +236,9 @@ CHECKS = [
           "SELECT * FROM v_panel WHERE symbol = 'NATION_6'"),
     Check("universe_by_size", "symbol name sector exchange last_close~6 market_cap~2 dollar_volume~2 "
           "vol_1y~8 last_date@", lambda f: M.universe_by_size(f.panel), "SELECT * FROM v_panel"),
-    Check("nulls_last_sort", "symbol market_cap~2",
-          lambda f: M.universe_by_size(f.panel).select("symbol", "market_cap"),
-          "SELECT symbol, market_cap FROM v_panel"),
+    Check("nulls_last_sort", "symbol market_cap~2 place#",
+          lambda f: M.universe_by_size(f.panel).select("symbol", "market_cap", "place"),
+          "SELECT symbol, market_cap, ROW_NUMBER() OVER (ORDER BY market_cap DESC NULLS LAST, symbol) AS place FROM v_panel"),
     Check("intel_status", "n_symbols# n_priced# n_fundamentals# n_analyst# last_date@ fundamentals_asof@",
           lambda f: M.coverage_status(f.universe, f.stocks, f.fundamentals, f.analyst),
           """SELECT (SELECT COUNT(*) FROM fx_universe) AS n_symbols,
@@ -266,9 +266,10 @@ CHECKS = [
           lambda f: K.rankings(f.panel, "Long-Term", "Value", sectors=("ASIA", "AFRICA"),
                                min_price=900.0, limit=6),
           f"SELECT * FROM ({_VALUE}) WHERE coverage >= 0.6 ORDER BY overall_score DESC NULLS LAST, symbol LIMIT 6"),
-    Check("board_tiebreak", "symbol overall_score~1",
-          lambda f: K.rankings(f.panel, limit=-1),
-          f"SELECT * FROM ({_MEDIUM}) WHERE coverage >= 0.6"),
+    Check("board_tiebreak", "symbol overall_score~1 place#",
+          lambda f: K.placed_rankings(f.panel),
+          f"""SELECT *, ROW_NUMBER() OVER (ORDER BY overall_score DESC NULLS LAST, symbol) AS place
+              FROM ({_MEDIUM}) WHERE coverage >= 0.6"""),
     Check("top_picks", "symbol name sector overall_score~1 coverage~8",
           lambda f: K.top_picks(f.panel, 5),
           f"SELECT * FROM ({_MEDIUM}) WHERE coverage >= 0.6 ORDER BY overall_score DESC NULLS LAST, symbol LIMIT 5"),

@@ -3,6 +3,8 @@
 from ..operators import ranges as R
 from ..operators import rollups as U
 from ..operators import series as S
+from ..functions.places import read_page, store_ordered
+from ..session import scratch_path
 from .checks import Check
 
 START, END = "1997-01-01", "2000-12-31"
@@ -10,6 +12,13 @@ PICKS = ["NATION_3", "NATION_0", "NATION_7", "MARKET"]
 _PICKS_SQL = ", ".join(f"'{p}'" for p in PICKS)
 _WIN = f"date BETWEEN DATE '{START}' AND DATE '{END}'"
 
+def _order_page(f):
+    """Page 6 of all orders by price, read from a stored order."""
+    path = scratch_path(f.spark, "orders-by-price")
+    store_ordered(f.table("orders").select("o_orderkey", "o_totalprice"), {"o_totalprice": False, "o_orderkey": True}, path)
+    return read_page(f.spark, path, 6, 100)
+
+
 CHECKS = [
     Check("scan_bars", "symbol date@ open~6 high~6 low~6 close~6 adj_close~6 volume#",
           lambda f: f.bars, "SELECT * FROM fx_bars"),
@@ -123,6 +132,9 @@ CHECKS = [
              WHERE (LOWER(symbol) LIKE '%inc%' OR LOWER(name) LIKE '%inc%')
                AND sector IN ('ASIA', 'EUROPE', 'AFRICA')
              ORDER BY cagr DESC NULLS LAST, symbol LIMIT 5 OFFSET 5"""),
+    Check("page_of_orders", "o_orderkey# o_totalprice~2 place#", _order_page,
+          """SELECT * FROM (SELECT o_orderkey, o_totalprice, ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place
+             FROM orders) WHERE place > 500 AND place <= 600"""),
     Check("agg_bounds", "symbol first_date@ last_date@ trading_days#",
           lambda f: U.agg_bounds(f.bars),
           "SELECT symbol, MIN(date) AS first_date, MAX(date) AS last_date, COUNT(*) AS trading_days "
