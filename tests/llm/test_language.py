@@ -26,6 +26,7 @@ def corpus(spark, n=80):
 def test_learned_and_odd_texts(spark):
     model = language.fit(corpus(spark))
     assert model.languages == sorted(model.languages) and set(model.languages) == {"aa", "zz"}
+    assert all(model.languages.count(x) <= language.CENTROIDS for x in "az")
     texts = [*ODD, "gada bada", "TOKU kuto", "\u8a9e", "###"]
     rows = {r.doc_id: r for r in language.identify(crowded(documents(spark, texts)), model).collect()}
     assert len(rows) == len(texts) and rows[0].n == "odd"
@@ -58,13 +59,17 @@ def test_nothing_to_learn_from(spark):
     assert language.identify(documents(spark, []), model).count() == 0
 
 
-def test_small_clusters_of_wrong_labels_are_dropped():
-    rng = np.random.default_rng(0)
-    most = np.abs(rng.normal([1, 0.1, 0], 0.05, (95, 3)))
-    few = np.abs(rng.normal([0, 0.1, 1], 0.05, (5, 3)))
-    rows = np.concatenate((most, few))
-    centres = language.clusters(rows / np.linalg.norm(rows, axis=1, keepdims=True), 3)
-    assert (centres[:, 0] > 0.9).all()
+def test_clusters_of_wrong_labels_are_dropped():
+    rng = np.random.default_rng(1)
+
+    def rows(*around):
+        made = np.concatenate([np.abs(rng.normal(centre, 0.05, (n, 3))) for centre, n in around])
+        return made / np.linalg.norm(made, axis=1, keepdims=True)
+    a, held_a = language.clusters(rows(([1, 0.1, 0], 80), ([0.7, 0.7, 0], 15), ([0, 0.1, 1], 8)), 3)
+    b, held_b = language.clusters(rows(([0, 0, 1], 90)), 1)
+    assert held_a.tolist() == [80, 15, 8] and held_b.tolist() == [90]
+    keep = language.own_centres(["a"] * 3 + ["b"], np.concatenate((a, b)))
+    assert keep.tolist() == [True, True, False, True]
 
 
 def unlearned():
@@ -114,3 +119,49 @@ def test_held_out_accuracy(spark, sf):
     truth = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang")
     got = QUERIES["op8_language_id"](spark, path).join(truth, "doc_id").filter("held_out").collect()
     assert len(got) > 200 and np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+
+
+def test_two_varieties_of_a_language_give_two_centroids(spark):
+    texts, langs = [], []
+    for i in range(120):
+        lang, kind = ("aa", ["bada", "gada", "daba"]) if i % 2 else ("zz", ["kuto", "tuko", "toku"])
+        if lang == "aa" and i % 20 == 1:                  # a twentieth of its rows, in another script
+            kind = ["\u0430\u0431\u0432", "\u0432\u0430\u0431\u0430", "\u0431\u0430\u0432\u0430"]
+        texts.append(" ".join(kind[(i + j) % 3] for j in range(5 + i % 7)))
+        langs.append(lang)
+    texts += ["kuto tuko toku kuto"] * 8                  # rows with a wrong label: no centroid of aa
+    langs += ["aa"] * 8
+    docs = documents(spark, texts, langs=langs)
+    model = language.fit(docs)
+    assert model.languages.count("aa") >= 2
+    found = language.identify(documents(spark, ["\u0432\u0430\u0431\u0430 \u0430\u0431\u0432", "gada bada daba", "tuko kuto toku"]), model)
+    assert [r.lang_pred for r in found.orderBy("doc_id").collect()] == ["aa", "aa", "zz"]
+
+
+def test_several_centroids_survive_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    assert len(model.languages) > len(set(model.languages)) == 4
+
+
+def test_scores_of_the_query_against_every_centroid(spark):
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in QUERIES["op8_language_id"](spark, path).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in list(texts.items())[::9]:
+        if not text or not language.has_letter(text):
+            assert got[i].lang_pred == "und"
+            continue
+        counts = np.zeros(language.SIZE)
+        raw = b" " + text.lower().encode().translate(language.BYTES) + b"  "
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            if not (a == b == 32 or b == c == 32):
+                counts[((a << 16 | b << 8 | c) * 2654435761 % (1 << 32)) >> 20] += 1
+        weights = np.log1p(counts) * model.idf
+        cosines = model.centres @ (weights / max(np.linalg.norm(weights), 1e-30))
+        assert abs(got[i].score - min(max(cosines.max(), 0), 1)) < 1e-4
+        near = {model.languages[k] for k in np.flatnonzero(cosines > cosines.max() - 1e-5)}
+        assert got[i].lang_pred in near

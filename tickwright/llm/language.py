@@ -1,7 +1,10 @@
 """Language identification by nearest centroid.
 
 A text's letters give hashed n-grams of three bytes, weighted by TF-IDF and scaled
-to length 1. Each language has several centroids, clustered by spherical k-means.
+to length 1. Each language has several centroids, clustered by spherical k-means that
+starts from one cluster and splits the widest one along its main direction. A centroid
+that lies nearer to the largest cluster of another language than to that of its own is
+dropped: rows with a wrong label flock together.
 A text gets the language of the centroid with the highest cosine, which is also its
 score; it is rejected when it has no letter or its distance (1 - cosine) to every
 centroid is over a limit.
@@ -20,7 +23,8 @@ Defined results: a null text, or one without a letter, is `und` with score 0 and
 rejected; a text of unknown n-grams takes the first language by name with score 0;
 rows without an id or a language are not learned from; a language is learned from
 any one row; without rows to learn from every text is `und`; repeated rows are
-judged alike; whole texts are read, at any length.
+judged alike; whole texts are read, at any length; of equally near centroids the first
+counts, in order of the language's name and then of the size of its cluster.
 """
 
 import numpy as np
@@ -35,7 +39,7 @@ from .tasks import flat_map
 SIZE = 4096
 SAMPLE = 400
 CENTROIDS = 3
-MIN_SHARE = 0.1     # a smaller cluster is dropped: rows with a wrong label flock together
+LEAST_ROWS = 5      # of either side of a split cluster
 MAX_DISTANCE = 0.99     # the limit of any text, also where nothing was learned
 LOWEST, MARGIN = 0.01, 0.6
 ENOUGH, DOUBT = 100, 20
@@ -68,8 +72,9 @@ def gram_counts(texts):
 
 
 def _counts(held):
-    data = np.frombuffer(b" ".join(held) + b"   ", dtype=np.uint8).astype(np.uint32)
-    lengths = np.array([len(r) + 1 for r in held])
+    # a blank on both sides, so that no n-gram of a text reaches into its neighbour
+    data = np.frombuffer(b"".join([b" " + r + b" " for r in held]) + b"  ", dtype=np.uint8).astype(np.uint32)
+    lengths = np.array([len(r) + 2 for r in held])
     owner = np.repeat(np.arange(len(held), dtype=np.int64), lengths)
     a, b, c = data[:-2], data[1:-1], data[2:]
     n = owner.size
@@ -105,25 +110,60 @@ def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
     return int(found[SIZE]), found[:SIZE]
 
 
-def clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; starts from the mean direction's farthest points, so it is repeatable."""
-    start = [int(np.argmax(vectors @ vectors.mean(axis=0)))]
-    near = vectors @ vectors[start[0]]
-    for _ in range(min(k, len(vectors)) - 1):
-        start.append(int(np.argmin(near)))
-        near = np.maximum(near, vectors @ vectors[start[-1]])
-    centres = vectors[start]
-    for _ in range(rounds):
+def clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, rows of each), the largest first, by spherical k-means that splits the widest cluster."""
+    def scaled(m):
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(length > 0, length, 1)
+
+    centres = scaled(vectors.sum(axis=0, keepdims=True))
+    while True:
+        for _ in range(rounds):
+            own = (vectors @ centres.T).argmax(axis=1)
+            moved = scaled(np.stack([vectors[own == j].sum(axis=0) if (own == j).any() else centres[j]
+                                     for j in range(len(centres))]))
+            if np.allclose(moved, centres, atol=1e-6):
+                break
+            centres = moved
         own = (vectors @ centres.T).argmax(axis=1)
-        moved = np.stack([vectors[own == j].sum(axis=0) if (own == j).any() else centres[j]
-                          for j in range(len(centres))])
-        length = np.linalg.norm(moved, axis=1, keepdims=True)
-        moved = moved / np.where(length > 0, length, 1)
-        if np.allclose(moved, centres, atol=1e-6):
+        held = np.bincount(own, minlength=len(centres))
+        if len(centres) >= k:
             break
-        centres = moved
-    held = np.bincount((vectors @ centres.T).argmax(axis=1), minlength=len(centres))
-    return centres[(held >= MIN_SHARE * len(vectors)) | (held == held.max())]
+        width = [(1 - vectors[own == j] @ centres[j]).sum() if held[j] >= 2 * LEAST_ROWS else 0.0 for j in range(len(centres))]
+        halves = None
+        for j in np.argsort(-np.array(width), kind="stable"):
+            if width[j] > 1e-6 and (halves := _halves(vectors[own == j])) is not None:
+                centres = np.concatenate((np.delete(centres, j, axis=0), scaled(halves)))
+                break
+        if halves is None:
+            break
+    order = np.argsort(-held, kind="stable")
+    return centres[order][held[order] > 0], held[order][held[order] > 0]
+
+
+def _halves(vectors: np.ndarray):
+    """Sums of the two sides of the main direction, or None if one has too few rows."""
+    off = vectors - vectors.mean(axis=0)
+    way = off[np.argmax((off * off).sum(axis=1))]
+    for _ in range(20):
+        way = off.T @ (off @ way)
+        way = way / max(float(np.linalg.norm(way)), 1e-12)
+    side = off @ way > 0
+    if min(side.sum(), (~side).sum()) < LEAST_ROWS:
+        return None
+    return np.stack([vectors[side].sum(axis=0), vectors[~side].sum(axis=0)])
+
+
+def own_centres(languages: list, centres: np.ndarray) -> np.ndarray:
+    """Which centres to keep: rows are in order of language, the largest cluster of each first."""
+    names = np.array(languages)
+    first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    near = centres @ centres[first].T
+    own = np.searchsorted(first, np.arange(len(names)), side="right") - 1
+    best = near.argmax(axis=1)
+    keep = near[np.arange(len(names)), own] >= near[np.arange(len(names)), best]
+    keep[first] = True
+    return keep
 
 
 class Model:
@@ -207,15 +247,15 @@ def _fit(docs: DataFrame, sample: int, centroids: int) -> Model:
             yield index, [list(weighted(counts, idf))]
 
     def centres(group: pd.DataFrame) -> pd.DataFrame:
-        found = clusters(np.stack(group.sort_values("doc_id")["vector"].to_list()), centroids)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": list(found.astype(np.float32))})
+        found, held = clusters(np.stack(group.sort_values("doc_id")["vector"].to_list()), centroids)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "held": held, "centre": list(found.astype(np.float32))})
 
     made = (flat_map(texts, ["text"], ["doc_id", "lang"], "vector array<float>", vectors)
-            .groupBy("lang").applyInPandas(centres, "lang string, centre array<float>").toPandas())
-    made = made.sort_values("lang", kind="stable")
-    model = Model(made["lang"].to_list(),
-                  np.stack(made["centre"].to_list()).astype(np.float32) if len(made) else np.zeros((0, SIZE), np.float32),
-                  idf)
+            .groupBy("lang").applyInPandas(centres, "lang string, held long, centre array<float>").toPandas())
+    made = made.sort_values(["lang", "held"], ascending=[True, False], kind="stable")
+    found = np.stack(made["centre"].to_list()).astype(np.float32) if len(made) else np.zeros((0, SIZE), np.float32)
+    keep = own_centres(made["lang"].to_list(), found) if len(made) else np.zeros(0, dtype=bool)
+    model = Model([name for name, k in zip(made["lang"], keep) if k], found[keep], idf)
     model.limits = learn_limits(rows, model)
     return model
 

@@ -7,6 +7,9 @@ that meet a word the heaviest counts, unless the word lies in an exception phras
 The weights' sum, divided by the number of words, is the rate; the score is
 rate / (rate + scale).
 
+Exception phrases are learned too: two neighbouring words, one of them an entry, that
+EXCUSED rows or more labelled 0 hold and no row labelled 1.
+
 The lexicon is learned: an entry's weight is the log of the ratio of its frequencies
 in toxic and other texts, counted once for each pair of neighbouring words, so that
 copies of a text count once. It is fitted on at most SAMPLE rows of each label (the
@@ -14,7 +17,9 @@ bound of the sample); scoring covers every whole text.
 
 Defined results: a null or empty text, or one without words, scores 0; rows without
 an id or a label are not learned from; without toxic rows to learn from the lexicon
-is empty and all score 0; repeated rows are judged alike.
+is empty and all score 0; repeated rows are judged alike; entries of equal weight at one
+word count once, and any of them is the heaviest; very long texts are scored whole, as a
+rate of their words; other columns are ignored.
 """
 
 import re
@@ -32,15 +37,15 @@ SAMPLE = {1: 3000, 0: 12_000}     # labelled rows learned from: toxic, other
 STEMS = (3, 4, 5, 6)              # lengths of beginnings that may be entries
 MIN_CONTEXTS = 5
 MIN_WEIGHT = 3.0
-MAX_ENTRIES = 20_000
+EXCUSED = 5                       # rows labelled 0 that make two neighbouring words an exception
 PRIOR_WORDS = 20                  # added to a text's length
 THRESHOLD = 0.3
 
 #: Letters that look like a Latin letter, and signs that stand for one inside a word.
 HOMOGLYPHS = str.maketrans("абвгеёзіїјкмнорстухѕԁɡαβεικνορτυχ", "abbreesiijkmhopctyxsdgabeikvoptux")
 SIGNS = str.maketrans("013456789@$!", "oieasgtbqasi")
-TOKEN = re.compile(r"[^\W_]+(?:[@$!]+[^\W_]+)*")
-EXCEPTIONS = ("trash can", "trash bin", "circus clown", "clown fish")
+#: A word; a lone @ or $ at either end stands for a letter too.
+TOKEN = re.compile(r"(?:(?<![@$!\w])[@$])?[^\W_]+(?:[@$!]+[^\W_]+)*(?:[@$](?![@$!\w]))?")
 
 
 def fold_words(text: str) -> list[str]:
@@ -66,7 +71,7 @@ def entries_of(word: str):
 class Lexicon:
     """Weights by entry, exception phrases and the scale of the score."""
 
-    def __init__(self, weights: dict, exceptions=EXCEPTIONS, scale: float = 1.0):
+    def __init__(self, weights: dict, exceptions=(), scale: float = 1.0):
         self.weights, self.exceptions, self.scale = weights, exceptions, scale
 
     def scorer(self):
@@ -128,9 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict = SAMPLE) -> Lexicon:
     weight = (F.log((F.col("bad") + 0.5) / float(total[1]))
               - F.log((F.col("good") + 0.5) / float(total.get(0, 1))))
     kept = (spread.filter(F.col("bad") >= MIN_CONTEXTS).withColumn("weight", weight)
-            .filter(F.col("weight") >= MIN_WEIGHT)
-            .orderBy(F.desc("bad"), "entry").limit(MAX_ENTRIES).collect())
-    lexicon = Lexicon({r.entry: float(r.weight) for r in kept})
+            .filter(F.col("weight") >= MIN_WEIGHT).collect())     # no more than the sample has words and beginnings
+    weights = {r.entry: float(r.weight) for r in kept}
+    lexicon = Lexicon(weights, learned_exceptions(rows, weights))
     rated = rates(rows, lexicon, ["toxic"]).select("toxic", "rate").toPandas()     # the bounded sample
     bad, good = (np.sort(rated[rated["toxic"] == y]["rate"].to_numpy()) for y in (1, 0))
     if len(bad):
@@ -138,6 +143,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict = SAMPLE) -> Lexicon:
     return lexicon
 
 
+def learned_exceptions(rows: DataFrame, weights: dict) -> tuple:
+    """Phrases of two words with an entry in them that only rows labelled 0 hold, in order."""
+    def phrases(texts):
+        for i, text in enumerate(texts):
+            found = fold_words(text or "")
+            hit = [any(e in weights for e in entries_of(w)) for w in found]
+            own = {f"{a} {b}" for a, b, x, y in zip(found, found[1:], hit, hit[1:]) if x or y}
+            if own:
+                yield [i] * len(own), [sorted(own)]
+
+    counted = (flat_map(rows, ["text"], ["toxic"], "phrase string", phrases).groupBy("phrase")
+               .agg(F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("good"), F.max("toxic").alias("toxic")))
+    return tuple(sorted(r.phrase for r in counted.filter((F.col("toxic") == 0) & (F.col("good") >= EXCUSED)).collect()))
+
+
 def best_cut(bad: np.ndarray, good: np.ndarray) -> float:
     """The rate that parts two sorted samples with the fewest mistakes, in the middle of its gap."""
     edges = np.unique(np.concatenate((bad, good, [0.0])))
