@@ -10,6 +10,7 @@ from tickwright import schemas
 from tickwright.operators import history as H
 from tickwright.operators import market as M
 from tickwright.operators import metrics as P
+from tickwright.operators import portfolio as W
 from tickwright.operators import rollups as U
 from tickwright.operators import series as S
 from tickwright.operators.asof import asof_join
@@ -280,6 +281,17 @@ def test_a_record_is_read_in_one_or_two_scans_whatever_the_limit(table, small, s
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_answers_that_reduce_the_bars_twice_read_them_once(table, small):
+    def scans(df):
+        return plan(df).count("FileScan parquet spark_catalog.default.bars_by_symbol")
+    dates = "1995-01-01", "2001-12-31"
+    for df in (M.sector_performance(table, small.symbols, *dates), M.market_breadth(table, small.symbols, *dates),
+               M.peer_pick(table, small.symbols, *dates),
+               W.portfolio_contribution(table, W.normalize_weights(small.portfolios), small.symbols, *dates)):
+        assert scans(df) == 0                 # the one scan went into the written table
+    assert scans(W.portfolio_vs_index(table, W.normalize_weights(small.portfolios), *dates, INDEX)) == 1
+
+
 def test_written_states_answer_like_the_bars(small, spark):
     from tickwright.session import persist_table
     bars, cutoffs = small.bars, small.cutoffs

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import guards as G
 from ..functions.ranks import grouped_median
+from ..session import persist_table
 from . import series as S
 from .ranges import _within
 
@@ -38,6 +39,11 @@ def _movers(bars, symbols, start, end):
     return companies.join(period_returns(bars, start, end), "symbol")
 
 
+def _stored_movers(bars, symbols, start, end, *columns):
+    """One written row a symbol, for answers that read it more than once: the bars are read once."""
+    return persist_table(_movers(bars, symbols, start, end).select(*columns), "movers")
+
+
 def _order(column, ascending, nulls_last=True):
     if nulls_last:
         return F.asc_nulls_last(column) if ascending else F.desc_nulls_last(column)
@@ -78,7 +84,7 @@ def leaderboard_ranked(stats, sort="cagr", ascending=False, sector="", limit=-1)
 
 def sector_performance(bars, symbols, start, end):
     """Two-level: a return per symbol, then the spread of returns per sector."""
-    per_symbol = _movers(bars, symbols, start, end).select("sector", "period_return")
+    per_symbol = _stored_movers(bars, symbols, start, end, "sector", "period_return")
     spread = per_symbol.groupBy("sector").agg(
         F.count("*").alias("n_symbols"), F.avg("period_return").alias("avg_return"),
         F.min("period_return").alias("worst_return"),
@@ -99,8 +105,7 @@ def one_row(*parts: DataFrame) -> DataFrame:
 
 def market_breadth(bars, symbols, start, end):
     """One row: how many names rose, the median move, and the two ends."""
-    moves = (_movers(bars, symbols, start, end)
-             .select(F.lit("all").alias("scope"), "symbol", "period_return"))
+    moves = _stored_movers(bars, symbols, start, end, F.lit("all").alias("scope"), "symbol", "period_return")
     r = F.col("period_return")
     named = F.when(r.isNotNull(), F.struct(r, "symbol"))      # equal moves are told apart by name
     ends = moves.groupBy("scope").agg(
@@ -201,7 +206,7 @@ def peer_pick(bars, symbols, start, end, peers: int = 2):
     every partition before the shuffle); a company then meets those few rows and
     drops itself, so no pair of companies is ever formed.
     """
-    rows = _movers(bars, symbols, start, end).select("symbol", "sector", "avg_dollar_volume")
+    rows = _stored_movers(bars, symbols, start, end, "symbol", "sector", "avg_dollar_volume")
     by_volume = Window.partitionBy("sector").orderBy(F.desc_nulls_last("avg_dollar_volume"), "symbol")
     leaders = (rows.withColumn("rn", F.row_number().over(by_volume)).filter(F.col("rn") <= peers + 1)
                .select("sector", F.col("symbol").alias("peer"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import guards as G
+from ..session import persist_table
 from . import series as S
 from .asof import bracket
 from .ranges import _within
@@ -33,21 +34,22 @@ def _holding_returns(bars, portfolios, start, end):
             .select("portfolio_id", "symbol", "weight", "date", "close", "daily_return"))
 
 
-def joint_sessions(bars, portfolios, start, end) -> DataFrame:
-    """Sessions on which every holding of a portfolio has a price."""
+def joint_sessions(bars, portfolios, start, end, held: DataFrame | None = None) -> DataFrame:
+    """Sessions on which every holding of a portfolio has a price; held may hand in _holding_returns."""
     sizes = portfolios.groupBy("portfolio_id").agg(F.count_distinct("symbol").alias("holdings"))
     r = F.col("daily_return")
     priced, returned = (F.when(c.isNotNull(), F.col("symbol")) for c in (F.col("close"), r))
-    days = _holding_returns(bars, portfolios, start, end).groupBy("portfolio_id", "date").agg(
+    held = _holding_returns(bars, portfolios, start, end) if held is None else held
+    days = held.groupBy("portfolio_id", "date").agg(
         F.count_distinct(priced).alias("priced"), F.count_distinct(returned).alias("returned"),
         F.sum(r * F.col("weight")).alias("port_return"))
     return days.join(sizes, "portfolio_id").filter("priced = holdings")
 
 
-def basket_returns(bars, portfolios, start, end) -> DataFrame:
+def basket_returns(bars, portfolios, start, end, held: DataFrame | None = None) -> DataFrame:
     """The daily weighted return after the investment date d0."""
     per = Window.partitionBy("portfolio_id")
-    return (joint_sessions(bars, portfolios, start, end)
+    return (joint_sessions(bars, portfolios, start, end, held)
             .withColumn("d0", F.min("date").over(per))
             .filter("date > d0 and returned = holdings")
             .select("portfolio_id", "date", "d0", "port_return"))
@@ -85,15 +87,17 @@ def portfolio_contribution(bars, portfolios, symbols, start, end) -> DataFrame:
     """What each holding added. The terms of a basket sum to its total return.
 
     A holding's weighted return counts in proportion to the basket's wealth going
-    into that session, so the compounding telescopes.
+    into that session, so the compounding telescopes. The holdings' returns are
+    written once, as the basket's wealth and the terms both come from them.
     """
+    held = persist_table(_holding_returns(bars, portfolios, start, end), "holdings")
     before = _per_portfolio().rowsBetween(Window.unboundedPreceding, -1)
     opening = G.exp_or_null(F.coalesce(
         F.sum(G.log_growth(F.col("port_return"))).over(before), F.lit(0.0)))
-    days = (basket_returns(bars, portfolios, start, end)
+    days = (basket_returns(bars, portfolios, start, end, held)
             .select("portfolio_id", "date", opening.alias("w_begin")))
     r = F.col("daily_return")
-    terms = (_holding_returns(bars, portfolios, start, end).filter(r.isNotNull())
+    terms = (held.filter(r.isNotNull())
              .join(days, ["portfolio_id", "date"])
              .groupBy("portfolio_id", "symbol", "weight").agg(
                  F.sum(r * F.col("weight") * F.col("w_begin")).alias("contribution"),
@@ -111,8 +115,8 @@ def portfolio_vs_index(bars, portfolios, start, end, index_symbol) -> DataFrame:
     the log growth before that date, found by an as-of look-up of the few
     distinct first dates.
     """
-    basket = (portfolio_series(bars, portfolios, start, end).groupBy("portfolio_id").agg(
-        F.min("date").alias("date"), F.max_by("cumulative_return", "date").alias("basket_return")))
+    basket = persist_table(portfolio_series(bars, portfolios, start, end).groupBy("portfolio_id").agg(
+        F.min("date").alias("date"), F.max_by("cumulative_return", "date").alias("basket_return")), "baskets")
     index = (_within(S.daily_returns(bars.filter(F.col("symbol") == index_symbol)), start, end)
              .filter(F.col("daily_return").isNotNull()))
     log = G.log_growth(F.col("daily_return"))
