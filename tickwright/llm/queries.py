@@ -79,12 +79,15 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WH
 def crawl_records(pages):
     """Each page as three captures: a full response, then two not-modified revisits.
 
-    The first revisit carries the response's validator unless the page's number is a
-    multiple of 7; the second one was made before the response when it is one of 5.
+    Pages whose urls differ in their digits alone are captures of one url, so that a url
+    has several responses. The first revisit carries the response's validator unless the
+    page's number is a multiple of 7; the second one was made before the response when it
+    is one of 5.
     """
     at = F.col("page_id") * 600
     step = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    rows = pages.select("page_id", "url", at.alias("seen"), F.md5("html").alias("tag"),
+    url = F.regexp_replace("url", "[0-9]+", "0")
+    rows = pages.select("page_id", url.alias("url"), at.alias("seen"), F.md5("html").alias("tag"),
                         F.octet_length("html").cast("string").alias("length"), step.alias("step"))
     early = (F.col("step") == 2) & (F.col("page_id") % 5 == 0)
     tag = F.when((F.col("step") == 1) & (F.col("page_id") % 7 == 0), F.lit("other")).otherwise(F.col("tag"))
@@ -110,13 +113,14 @@ WITH r AS (
   SELECT page_id * 3 + step AS record_id,
     CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
       lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' ||
-      regexp_replace(lower(regexp_extract(url, '^[^:]*://(?:[^/?#@]*@)?([^/?#]*)', 1)), ':(80|443)?$', '') ||
+      regexp_replace(lower(regexp_extract(url, '^[^:]*://(?:[^/?#@]*@)?([^/?#]*)', 1)),
+        CASE WHEN starts_with(lower(url), 'http:') THEN ':(80)?$' WHEN starts_with(lower(url), 'https:') THEN ':(443)?$' ELSE ':$' END, '') ||
       CASE WHEN starts_with(regexp_extract(url, '^[^:]*://[^/?#]*([^#]*)', 1), '/') THEN '' ELSE '/' END ||
       regexp_extract(url, '^[^:]*://[^/?#]*([^#]*)', 1) ELSE url END AS url_key,
     page_id * 600 + CASE WHEN step = 2 AND page_id % 5 = 0 THEN -1 ELSE step * 90000 END AS at,
     step, CASE WHEN step = 1 AND page_id % 7 = 0 THEN 'other' ELSE md5(html) END AS etag,
     CASE WHEN step = 0 THEN CAST(strlen(html) AS VARCHAR) ELSE '0' END AS content_length
-  FROM pages, (VALUES (0), (1), (2)) s(step)),
+  FROM (SELECT * REPLACE (regexp_replace(url, '[0-9]+', '0', 'g') AS url) FROM pages), (VALUES (0), (1), (2)) s(step)),
 b AS (
   SELECT v.record_id, f.record_id AS base, f.etag AS base_etag, f.content_length AS base_length,
     row_number() OVER (PARTITION BY v.record_id ORDER BY f.at DESC, f.record_id DESC) AS place

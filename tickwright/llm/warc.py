@@ -5,33 +5,37 @@ response of the same canonical URL; validators of both are compared, and the
 revisit's headers replace those of the response but for headers that describe the
 body or the connection.
 
-Times are ordered in two levels: within a span of time of one URL by a window, and
-between spans by the last response of each span, so a URL that holds a third of all
-records is not gathered in one task. Bodies take no part in it; the answer names
-the record that has the body.
+Records are laid out in order of URL, time and id by ranges, and written. Inside a range
+a window finds the last response; between ranges of one URL the last response of each
+is carried on. So a URL that holds a third of all records, or a million at one second, is
+spread over many tasks. Bodies take no part in it; the answer names the record that has
+the body.
 
 Defined results: a null url forms no group and a revisit of it has no base; a null
 time is before all others; records of the same time are ordered by id; the same
 record twice is resolved twice; a revisit without a validator is accepted, one whose validator differs is
-`changed`, one without an earlier response is `missing`; an empty table gives an
-empty result.
+`changed`, one without an earlier response is `missing`; a very long url is compared
+whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: Headers of a stored response that a not-modified answer leaves alone.
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type",
                 "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer",
                 "transfer-encoding", "upgrade")
-SPAN_SECONDS = 86_400
 
 
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, no fragment, user or default port, "/" for no path."""
     scheme = F.lower(F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(url, r"(?s)^[^:]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
-    host = F.regexp_replace(host, ":(80|443)?$", "")
+    host = F.regexp_replace(host, ":$", "")
+    host = (F.when(scheme == "http", F.regexp_replace(host, ":80$", ""))
+            .when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host))
     rest = F.regexp_extract(url, r"(?s)^[^:]*://[^/?#]*([^#]*)", 1)
     rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
     return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, rest)).otherwise(url)
@@ -41,19 +45,20 @@ def _header(headers: Column, name: str) -> Column:
     return F.element_at(headers, name)
 
 
-def resolve_revisits(records: DataFrame, span_seconds: int = SPAN_SECONDS) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """Per row: record_id, url_key, base_id, outcome, headers.
 
     records: record_id, url, at (epoch seconds), kind (response or revisit), headers
     (lower-case names). outcome is response, resolved, changed or missing; base_id
     and merged headers are set for resolved, else headers are the record's own.
     """
-    state = F.struct("record_id", "headers")
     rows = records.select(
         "record_id", canonical_url(F.col("url")).alias("url_key"),
-        F.coalesce("at", F.lit(-(1 << 40))).alias("at"), "kind", "headers",
-        F.when((F.col("kind") == "response") & F.col("url").isNotNull(), state).alias("full"))
-    rows = rows.withColumn("span", F.expr(f"at div {span_seconds}"))
+        F.coalesce(F.col("at").cast("long"), F.lit(-(1 << 40))).alias("at"), "kind", "headers")
+    rows = written(rows.repartitionByRange("url_key", "at", "record_id")
+                   .withColumn("span", F.spark_partition_id()), "crawl-records")
+    rows = rows.withColumn("full", F.when((F.col("kind") == "response") & F.col("url_key").isNotNull(),
+                                          F.struct("record_id", "headers")))
     order = F.struct("at", "record_id")
     last = (rows.filter("full IS NOT NULL").groupBy("url_key", "span")
             .agg(F.max_by("full", order).alias("last_full")))
