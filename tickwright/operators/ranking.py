@@ -243,14 +243,17 @@ def score_band(board: DataFrame) -> DataFrame:
 
 
 def strengths_risks(board: DataFrame, with_analyst: bool = False, limit: int = 4) -> DataFrame:
-    """Per company, the metrics in its top and bottom quartile, most decisive first."""
+    """Per company, the metrics in its top and bottom quartile, most decisive first.
+
+    Percentiles equal to twelve digits tie, as one of them may be a difference from 1.
+    """
     cells = F.array(*[F.struct(
         F.lit(i).alias("place"), F.lit(m.key).alias("metric"), F.lit(m.category).alias("category"),
         F.col(f"pr_{m.key}").alias("percentile"), F.col(m.key).cast("double").alias("value"))
         for i, m in enumerate(active_metrics(with_analyst))])
     pr = F.col("percentile")
     side = F.when(pr >= STRENGTH_AT, "strength").when(pr <= RISK_AT, "risk")
-    decisive = F.when(pr >= STRENGTH_AT, -pr).otherwise(pr)
+    decisive = F.round(F.when(pr >= STRENGTH_AT, -pr).otherwise(pr), 12)
     order = Window.partitionBy("symbol", "side").orderBy("decisive", "place")
     return (board.select("symbol", F.inline(cells)).withColumn("side", side)
             .filter(F.col("side").isNotNull()).withColumn("decisive", decisive)

@@ -216,15 +216,16 @@ CHECKS = [
           .agg(F.count("*").alias("n")), "SELECT COUNT(*) AS n FROM fx_bars WHERE symbol <> 'MARKET'"),
     Check("scan_symbols", "symbol name sector industry is_index#", 
           lambda f: D.read_symbols(f.spark, _written(f, f.symbols)), "SELECT * FROM fx_symbols"),
-    Check("scan_universe", "symbol cik# name sector exchange", lambda f: D.shape_universe(_raw_universe(f)),
+    Check("scan_universe", "symbol cik# name sector exchange", lambda f: D.read_universe(f.spark, _written(f, _raw_universe(f))),
           """SELECT c_name AS symbol, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS cik, c_name AS name,
                     CASE WHEN c_custkey % 3 = 0 THEN 'Unclassified' ELSE c_mktsegment END AS sector,
                     CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'NYSE' END AS exchange FROM customer"""),
     Check("scan_fundamentals", "c_custkey# figure~2", lambda f: D.clean_numeric(_dirty_numbers(f), ["figure"]),
           "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN c_acctbal END AS figure FROM customer"),
-    Check("scan_analyst", "symbol analyst_score~4",
-          lambda f: f.universe.join(D.read_analyst(f.spark, scratch_path(f.spark, "absent")), "symbol", "left"),
-          "SELECT symbol, CAST(NULL AS DOUBLE) AS analyst_score FROM fx_universe"),
+    Check("scan_analyst", "symbol analyst_score~8 target_upside~8 eps_revision~8 n_analysts#",
+          lambda f: f.universe.select("symbol").join(f.analyst.unionByName(
+              D.read_analyst(f.spark, scratch_path(f.spark, "absent"))), "symbol", "left"),
+          "SELECT u.symbol, a.* EXCLUDE (symbol) FROM fx_universe u LEFT JOIN fx_analyst a ON a.symbol = u.symbol"),
     Check("scan_company_events", "symbol date@ title description category source", _loaded_events,
           "SELECT * FROM fx_company_events"),
     Check("scan_market_events", "symbol date@ title category", _anniversaries,
@@ -318,7 +319,7 @@ SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM
 """
 VIEWS["v_version"] = """
 SELECT CONCAT_WS('|', (SELECT CONCAT_WS('|', MAX(date), COUNT(*)) FROM fx_bars WHERE symbol <> 'MARKET'),
-       (SELECT CONCAT_WS('|', MAX(asof), COUNT(*)) FROM fx_fundamentals), '0',
+       (SELECT CONCAT_WS('|', MAX(asof), COUNT(*)) FROM fx_fundamentals), (SELECT CAST(COUNT(*) AS VARCHAR) FROM fx_analyst),
        (SELECT CONCAT_WS('|', MAX(date), COUNT(*)) FROM fx_bars)) AS data_version
 """
 

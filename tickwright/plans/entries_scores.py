@@ -78,9 +78,19 @@ _PRICE = ("ret_1m~8 ret_3m~8 mom_12_1~8 ret_5y~8 ma50_pos~8 ma200_pos~8 pct_52w_
 _RATIO = " ".join(f"{k}~8" for k in _OVER)
 
 
-def _ranked_sql(horizon, where="TRUE"):
+#: The panel of parts: a cross-section that grows with the tables.
+VIEWS["v_wide"] = f"""
+SELECT 'P' || k AS symbol, p_name AS name, CASE WHEN k % 40 > 0 THEN p_brand END AS sector, '' AS exchange,
+       p_retailprice AS last_close, b8 * 1000000.0 AS market_cap,
+       {', '.join(f"CASE WHEN k % {i + 7} <> 3 THEN CAST(b{i % 9} AS DOUBLE) / CAST(b{(5 * i + 2) % 9} + 1 AS DOUBLE) END AS {m.key}"
+                  for i, m in enumerate(K.METRICS))}
+FROM fx_parts
+"""
+
+
+def _ranked_sql(horizon, where="TRUE", with_analyst=False):
     """Ranks over non-null values only, then the same registry as plain SQL."""
-    metrics = K.active_metrics(False)
+    metrics = K.active_metrics(with_analyst)
 
     def rank(m):
         part = f"PARTITION BY {m.key} IS NULL" + (", sector" if m.within_sector else "")
@@ -89,7 +99,7 @@ def _ranked_sql(horizon, where="TRUE"):
         value = pct if m.higher_is_better else f"1 - {pct}"
         return f"CASE WHEN {m.key} IS NOT NULL AND {n} > 1 THEN {value} END AS pr_{m.key}"
 
-    return f"SELECT *, {', '.join(rank(m) for m in metrics)} FROM v_panel WHERE {where}"
+    return f"SELECT *, {', '.join(rank(m) for m in metrics)} FROM v_wide WHERE {where}"
 
 
 def _mean_sql(terms):
@@ -98,22 +108,23 @@ def _mean_sql(terms):
     return f"({up}) / NULLIF({down}, 0)", f"({down})"
 
 
-def _board_sql(horizon, objective, where="TRUE"):
-    weights = K.category_weights(horizon, objective, False)
+def _board_sql(horizon, objective, where="TRUE", with_analyst=False):
+    weights = K.category_weights(horizon, objective, with_analyst)
     cats = []
     for c in K.CATEGORIES:
-        terms = [(f"pr_{m.key}", K.metric_weight(horizon, m)) for m in K.active_metrics(False)
+        terms = [(f"pr_{m.key}", K.metric_weight(horizon, m)) for m in K.active_metrics(with_analyst)
                  if m.category == c and K.metric_weight(horizon, m) > 0]
         if terms and weights[c] > 0:
             cats.append((c, f"{_mean_sql(terms)[0]} AS {K.category_column(c)}"))
     mean, coverage = _mean_sql([(K.category_column(c), weights[c]) for c, _ in cats])
     return (f"SELECT *, {coverage} AS coverage, ROUND(100 * {mean}, 1) AS overall_score FROM "
-            f"(SELECT *, {', '.join(x for _, x in cats)} FROM ({_ranked_sql(horizon, where)}))")
+            f"(SELECT *, {', '.join(x for _, x in cats)} FROM ({_ranked_sql(horizon, where, with_analyst)}))")
 
 
 _PR = " ".join(f"pr_{m.key}~8" for m in K.active_metrics(False))
 _MEDIUM = _board_sql("Medium-Term", "Balanced")
-_VALUE = _board_sql("Long-Term", "Value", "sector IN ('ASIA', 'AFRICA') AND last_close >= 900")
+_VALUE = _board_sql("Long-Term", "Value", "sector IN ('Brand#2', 'Brand#17') AND last_close >= 901")
+_WITH_ANALYST = _board_sql("Short-Term", "Growth", with_analyst=True)
 _BOARD = ("symbol name sector " + _PR
           + " cat_momentum~8 cat_valuation~8 cat_growth~8 coverage~8 overall_score~1")
 
@@ -230,8 +241,8 @@ CHECKS = [
     Check("metric_panel", "symbol name sector exchange last_date@ last_close~6 sessions# market_cap~2 "
           "fundamentals_asof@ " + _PRICE + " " + _RATIO, lambda f: f.panel, "SELECT * FROM v_panel"),
     Check("join_fan_in", "symbol sessions# vol_1y~8 pe~8 roe~8", lambda f: f.panel, "SELECT * FROM v_panel"),
-    Check("join_left_optional", "symbol pe~8 analyst_score~8", lambda f: f.panel,
-          "SELECT symbol, pe, CAST(NULL AS DOUBLE) AS analyst_score FROM v_panel"),
+    Check("join_left_optional", "symbol pe~8 analyst_score~8 target_upside~8", lambda f: f.panel,
+          "SELECT p.symbol, p.pe, a.analyst_score, a.target_upside FROM v_panel p LEFT JOIN fx_analyst a USING (symbol)"),
     Check("panel_row", "symbol name sector pe~8 vol_1y~8", lambda f: M.panel_row(f.panel, "NATION_6"),
           "SELECT * FROM v_panel WHERE symbol = 'NATION_6'"),
     Check("universe_by_size", "symbol name sector exchange last_close~6 market_cap~2 dollar_volume~2 "
@@ -243,7 +254,7 @@ CHECKS = [
           lambda f: M.coverage_status(f.universe, f.stocks, f.fundamentals, f.analyst),
           """SELECT (SELECT COUNT(*) FROM fx_universe) AS n_symbols,
                     (SELECT COUNT(DISTINCT symbol) FROM fx_bars WHERE symbol <> 'MARKET') AS n_priced,
-                    (SELECT COUNT(asof) FROM fx_fundamentals) AS n_fundamentals, 0 AS n_analyst,
+                    (SELECT COUNT(asof) FROM fx_fundamentals) AS n_fundamentals, (SELECT COUNT(*) FROM fx_analyst) AS n_analyst,
                     (SELECT MAX(date) FROM fx_bars WHERE symbol <> 'MARKET') AS last_date,
                     (SELECT MAX(asof) FROM fx_fundamentals) AS fundamentals_asof"""),
     Check("sector_coverage", "sector n#", lambda f: M.sector_coverage(f.panel),
@@ -254,33 +265,33 @@ CHECKS = [
           "SELECT * FROM v_panel WHERE sector IN ('ASIA', 'AFRICA', 'EUROPE') "
           "AND last_close >= 940 AND market_cap >= 0 AND market_cap < 2e9"),
     Check("percentile_rank_nullsafe", "symbol metric pr~8",
-          lambda f: K.percentile_ranks(f.panel, [K.BY_KEY[k] for k in ("pe", "vol_1y", "rsi_14", "ret_5y")]),
+          lambda f: K.percentile_ranks(f.part_panel, [K.BY_KEY[k] for k in ("pe", "vol_1y", "rsi_14", "ret_5y")]),
           " UNION ALL ".join(
               f"SELECT symbol, '{k}' AS metric, pr_{k} AS pr FROM ({_ranked_sql('Medium-Term')}) WHERE {k} IS NOT NULL"
               for k in ("pe", "vol_1y", "rsi_14", "ret_5y"))),
-    Check("rank_layer", "symbol " + _PR, lambda f: K.rank_layer(f.panel), _ranked_sql("Medium-Term")),
+    Check("rank_layer", "symbol " + _PR, lambda f: K.rank_layer(f.part_panel), _ranked_sql("Medium-Term")),
     Check("category_score", "symbol cat_momentum~8 cat_technical~8 cat_risk~8 cat_growth~8",
-          lambda f: K.category_score(K.rank_layer(f.panel), "Medium-Term"), _MEDIUM),
-    Check("score_board", _BOARD, lambda f: K.score_board(f.panel, "Medium-Term"), _MEDIUM),
+          lambda f: K.category_score(K.rank_layer(f.part_panel), "Medium-Term"), _MEDIUM),
+    Check("score_board", _BOARD, lambda f: K.score_board(f.part_panel, "Medium-Term"), _MEDIUM),
     Check("rankings", "symbol name sector coverage~8 overall_score~1",
-          lambda f: K.rankings(f.panel, "Long-Term", "Value", sectors=("ASIA", "AFRICA"),
-                               min_price=900.0, limit=6),
+          lambda f: K.rankings(f.part_panel, "Long-Term", "Value", sectors=("Brand#2", "Brand#17"),
+                               min_price=901.0, limit=6),
           f"SELECT * FROM ({_VALUE}) WHERE coverage >= 0.6 ORDER BY overall_score DESC NULLS LAST, symbol LIMIT 6"),
     Check("board_tiebreak", "symbol overall_score~1 place#",
-          lambda f: K.placed_rankings(f.panel),
+          lambda f: K.placed_rankings(f.part_panel),
           f"""SELECT *, ROW_NUMBER() OVER (ORDER BY overall_score DESC NULLS LAST, symbol) AS place
               FROM ({_MEDIUM}) WHERE coverage >= 0.6"""),
     Check("top_picks", "symbol name sector overall_score~1 coverage~8",
-          lambda f: K.top_picks(f.panel, 5),
+          lambda f: K.top_picks(f.part_panel, 5),
           f"SELECT * FROM ({_MEDIUM}) WHERE coverage >= 0.6 ORDER BY overall_score DESC NULLS LAST, symbol LIMIT 5"),
     Check("score_band", "symbol overall_score~1 band",
-          lambda f: K.score_band(K.score_board(f.panel, "Medium-Term")),
+          lambda f: K.score_band(K.score_board(f.part_panel, "Medium-Term")),
           f"""SELECT symbol, overall_score, CASE WHEN overall_score >= 75 THEN 'strong'
                 WHEN overall_score >= 55 THEN 'solid' WHEN overall_score >= 40 THEN 'mixed'
                 WHEN overall_score IS NOT NULL THEN 'weak' END AS band FROM ({_MEDIUM})"""),
     Check("strengths_risks", "symbol side rank# metric category percentile~8 value~6",
-          lambda f: K.strengths_risks(K.rank_layer(f.panel)),
-          "SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol, side ORDER BY ABS(percentile - 0.5) DESC, place) AS rank FROM ("
+          lambda f: K.strengths_risks(K.rank_layer(f.part_panel)),
+          "SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol, side ORDER BY ROUND(CASE side WHEN 'risk' THEN percentile ELSE -percentile END, 12), place) AS rank FROM ("
           + " UNION ALL ".join(
               f"SELECT symbol, {i} AS place, '{m.key}' AS metric, '{m.category}' AS category, "
               f"pr_{m.key} AS percentile, CAST({m.key} AS DOUBLE) AS value, "
@@ -288,12 +299,14 @@ CHECKS = [
               f"FROM v_all_ranks" for i, m in enumerate(K.active_metrics(False)))
           + ") WHERE side IS NOT NULL QUALIFY rank <= 4"),
     Check("category_breakdown", "symbol category score~1 weight~8",
-          lambda f: K.category_breakdown(K.score_board(f.panel, "Medium-Term"), "Medium-Term",
+          lambda f: K.category_breakdown(K.score_board(f.part_panel, "Medium-Term"), "Medium-Term",
                                          with_analyst=False),
           " UNION ALL ".join(
               f"SELECT symbol, '{c}' AS category, ROUND(100 * {K.category_column(c)}, 1) AS score, "
               f"{w!r} AS weight FROM v_medium WHERE {K.category_column(c)} IS NOT NULL"
               for c, w in K.category_weights("Medium-Term", "Balanced", False).items() if w > 0)),
+    Check("analyst_board", "symbol sector coverage~8 overall_score~1 cat_analyst~8",
+          lambda f: K.score_board(f.part_panel, "Short-Term", "Growth", with_analyst=True), _WITH_ANALYST),
     Check("flatten_facts", "cik# taxonomy tag unit start@ end_@ val~2 filed@",
           lambda f: _facts_round_trip(f), "SELECT * FROM fx_facts"),
     Check("tag_priority", "cik# concept tag unit prio#",

@@ -175,8 +175,50 @@ class Fixtures:
 
     @cached_property
     def analyst(self):
-        from ..sources.dimensions import empty
-        return empty(self.spark, schemas.ANALYST)
+        """Consensus figures of most nations, counted from their customers, through a file and its reader."""
+        from pyspark.sql import functions as F
+
+        from ..session import scratch_path
+        from ..sources.dimensions import read_analyst
+        c, n = self.table("customer"), self.table("nation")
+        rich = F.sum((F.col("c_acctbal") > 5000).cast("int"))
+        building = F.sum((F.col("c_mktsegment") == "BUILDING").cast("int"))
+        rows = (c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_nationkey", F.col("n_name").alias("symbol"))
+                .agg(F.count("*").alias("n"), rich.alias("rich"), building.alias("building"))
+                .filter("n_nationkey % 9 <> 4").select(
+                    "symbol", (F.col("rich") / F.col("n")).alias("analyst_score"),
+                    F.when(F.col("n_nationkey") % 5 > 0, F.col("building") / F.col("n")).alias("target_upside"),
+                    ((F.col("rich") - F.col("building")) / F.col("n")).alias("eps_revision"),
+                    F.col("n").cast("double").alias("n_analysts"), F.lit("2001-08-01").alias("fetched")))
+        path = scratch_path(self.spark, "analyst-csv")
+        rows.write.option("header", True).csv(path)
+        return read_analyst(self.spark, path)
+
+    @cached_property
+    def part_panel(self):
+        """Every part as a company of its brand, each metric a ratio of two figures of its sales.
+
+        The panel of nations has 25 rows at every scale; this one grows with the parts.
+        """
+        from pyspark.sql import functions as F
+
+        from ..operators.ranking import METRICS
+        from ..session import persist_table
+        sold = self.table("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+            F.count("*").alias("b0"), F.sum(F.col("l_quantity").cast("long")).alias("b1"),
+            F.max(F.col("l_quantity").cast("long")).alias("b2"), F.min(F.col("l_quantity").cast("long")).alias("b3"),
+            F.sum((F.col("l_returnflag") == "R").cast("long")).alias("b4"), F.sum((F.col("l_returnflag") == "A").cast("long")).alias("b5"),
+            F.sum((F.col("l_shipdate") < "1998-01-01").cast("long")).alias("b6"))
+        parts = self.table("part").join(sold, "p_partkey", "left").withColumns(
+            {f"b{i}": F.coalesce(f"b{i}", F.lit(0).cast("long")) for i in range(7)}
+            | {"b7": F.col("p_size").cast("long"), "b8": F.round(F.col("p_retailprice") * 100).cast("long")})
+        key = F.col("p_partkey")
+        metrics = [F.when(key % (i + 7) != 3, F.col(f"b{i % 9}").cast("double") / (F.col(f"b{(5 * i + 2) % 9}") + 1)).alias(m.key)
+                   for i, m in enumerate(METRICS)]
+        return persist_table(parts.select(
+            F.concat(F.lit("P"), key.cast("string")).alias("symbol"), F.col("p_name").alias("name"),
+            F.when(key % 40 > 0, F.col("p_brand")).alias("sector"), F.lit("").alias("exchange"), F.lit(0).alias("is_index"),
+            F.col("p_retailprice").alias("last_close"), (F.col("b8") * 1000000.0).alias("market_cap"), *metrics), "part-panel")
 
     @cached_property
     def facts(self):

@@ -90,6 +90,25 @@ SELECT symbol, CAST(nk AS BIGINT) AS cik, DATE '2001-08-01' AS asof,
   CAST(1000 * (nk + 1) AS DOUBLE) AS shares_outstanding, CAST(NULL AS DOUBLE) AS earnings_stability
 FROM fx_rev WHERE nk % 8 <> 7
 """
+VIEWS["fx_analyst"] = """
+SELECT symbol, 1.0 * rich / n AS analyst_score, CASE WHEN nk % 5 > 0 THEN 1.0 * building / n END AS target_upside,
+       1.0 * (rich - building) / n AS eps_revision, CAST(n AS DOUBLE) AS n_analysts
+FROM (SELECT n_nationkey AS nk, n_name AS symbol, CAST(COUNT(*) AS DOUBLE) AS n,
+             CAST(COUNT(*) FILTER (WHERE c_acctbal > 5000) AS DOUBLE) AS rich,
+             CAST(COUNT(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS DOUBLE) AS building
+      FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+WHERE nk % 9 <> 4
+"""
+VIEWS["fx_parts"] = """
+SELECT p.p_partkey AS k, p_name, p_brand, p_retailprice, COALESCE(b0, 0) AS b0, COALESCE(b1, 0) AS b1, COALESCE(b2, 0) AS b2,
+       COALESCE(b3, 0) AS b3, COALESCE(b4, 0) AS b4, COALESCE(b5, 0) AS b5, COALESCE(b6, 0) AS b6,
+       CAST(p_size AS BIGINT) AS b7, CAST(ROUND(p_retailprice * 100) AS BIGINT) AS b8
+FROM part p LEFT JOIN (
+  SELECT l_partkey, COUNT(*) AS b0, SUM(CAST(l_quantity AS BIGINT)) AS b1, MAX(CAST(l_quantity AS BIGINT)) AS b2,
+         MIN(CAST(l_quantity AS BIGINT)) AS b3, COUNT(*) FILTER (WHERE l_returnflag = 'R') AS b4,
+         COUNT(*) FILTER (WHERE l_returnflag = 'A') AS b5, COUNT(*) FILTER (WHERE l_shipdate < DATE '1998-01-01') AS b6
+  FROM lineitem GROUP BY 1) ON l_partkey = p.p_partkey
+"""
 VIEWS["fx_quarters"] = """
 SELECT nk, CAST(date_trunc('quarter', d) AS DATE) AS q, ROUND(SUM(v), 2) AS val
 FROM fx_orders_n GROUP BY 1, 2
