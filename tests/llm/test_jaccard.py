@@ -67,3 +67,12 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op7_jaccard_join"](spark, path).collect()}
     assert got == jaccard_components(rows)
+
+
+def test_query_against_sql(spark):
+    from tickwright.llm.queries import ORACLE_SQL
+
+    from .run_queries import differences, views
+    path = "/root/testdata/sf0.001"
+    rows, problem = differences(QUERIES["op7_jaccard_join"](spark, path), views(path), ORACLE_SQL["op7_jaccard_join"])
+    assert rows and problem is None

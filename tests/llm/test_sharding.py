@@ -3,6 +3,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from tickwright.llm import sharding
+from tickwright.llm.queries import QUERIES
 
 from .cases import ODD, crowded, documents, jump
 
@@ -44,3 +45,18 @@ def test_written_shards(spark, tmp_path):
     out = f"{tmp_path}/shards"
     sharding.write_shards(sharding.shard_documents(docs, 4), out, files_per_shard=2)
     assert spark.read.parquet(out).count() == 200
+
+
+def test_query(spark):
+    path = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    rows = QUERIES["op9_sharding"](spark, path).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        at, after = jump(r.doc_id, 40)
+        assert (r.size, r.text_crc32, r.law, r.shard) == (len(raw) + 16, zlib.crc32(raw), "key", at)
+        assert r.grown_shard == (after if after <= 40 else at)
+    for shard in range(40):
+        own = sorted(r.slot for r in rows if r.shard == shard)
+        assert own == list(range(len(own)))

@@ -61,3 +61,12 @@ def test_query(spark, sf):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
            for r in QUERIES["op1_suffix_dedup"](spark, path).collect()}
     assert got == want
+
+
+def test_query_against_sql(spark):
+    from tickwright.llm.queries import ORACLE_SQL
+
+    from .run_queries import differences, views
+    path = "/root/testdata/sf0.001"
+    rows, problem = differences(QUERIES["op1_suffix_dedup"](spark, path), views(path), ORACLE_SQL["op1_suffix_dedup"])
+    assert rows and problem is None

@@ -62,3 +62,12 @@ def test_query(spark):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
            for r in QUERIES["op10_decontamination"](spark, path).collect()}
     assert got == want and any(v[4] for v in want.values())
+
+
+def test_query_against_sql(spark):
+    from tickwright.llm.queries import ORACLE_SQL
+
+    from .run_queries import differences, views
+    path = "/root/testdata/sf0.001"
+    rows, problem = differences(QUERIES["op10_decontamination"](spark, path), views(path), ORACLE_SQL["op10_decontamination"])
+    assert rows and problem is None
