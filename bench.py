@@ -87,14 +87,15 @@ def main():
     query("one_symbol_series", lambda: R.moving_averages_in_range(
         bars.filter("symbol = 'NATION_7'"), START, END))
     query("all_symbol_history", lambda: S.symbol_history(bars, START, END))
-    index = C.write_index(C.dedupe_catalog(symbols, dims["universe"]), scratch_path(spark, "search-index"))
+    found = C.write_index(C.dedupe_catalog(symbols, dims["universe"]), scratch_path(spark, "search-index"))
     query("local_company_search", lambda: C.search_index(
-        index, spark.createDataFrame([("nation_1",)], "term string"), 8))
+        found, spark.createDataFrame([("nation_1",)], "term string"), 8))
     query("window_stats", lambda: M.window_stats(bars, START, END))
     query("sector_performance", lambda: M.sector_performance(bars, symbols, START, END))
     query("period_movers", lambda: M.period_movers(bars, symbols, START, END))
     query("rolling_summary", lambda: M.rolling_return_summary(M.rolling_returns(bars, (63, 252, 504))))
     query("correlation_matrix", lambda: K.correlation_pairs(returns, START, END, n_symbols=26))
+    query("nearest_partners", lambda: K.nearest_partners(returns, START, END, 5, n_symbols=26))
     query("portfolio_contribution", lambda: B.portfolio_contribution(bars, f.portfolios, symbols, START, END))
     query("drawdown_episodes", lambda: H.drawdown_episodes(bars, f.cutoffs, -0.02))
     query("streaks", lambda: H.streaks(bars, f.cutoffs))
