@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import persist_table
 
-BATCH_ROWS = 2000
-BATCH_BYTES = 4 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 2 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
