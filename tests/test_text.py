@@ -135,3 +135,27 @@ def test_an_update_replaces_a_company_in_the_stored_index(spark, tmp_path):
     terms = spark.createDataFrame([("old",), ("title",), ("oth",), ("name",)], "term string")
     assert {(r["term"], r["symbol"]) for r in C.search_index(index, terms).collect()} == {
         ("old", "C"), ("title", "A"), ("oth", "B")}
+
+
+def test_words_meet_names_without_a_shuffle_of_words(spark):
+    directory = spark.createDataFrame([("AA", "Alpha Inc"), ("BB", "Beta Corp")], "symbol string, name string")
+    asked = spark.createDataFrame([(0, "beta, then alpha; Beta again and bb"), (1, "no name"), (2, None), (None, "aa"), (3, "")],
+                                  "question_id int, text string")
+    found = Q.symbol_mentions(asked, directory)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(question_id") == 1
+    assert sorted((r.question_id, r.symbol, r.pos) for r in found.filter("question_id IS NOT NULL").collect()) == [
+        (0, "AA", 2), (0, "BB", 0)]
+    assert {r.question_id: r.symbols for r in Q.tag_symbols(asked, directory).collect()} == {
+        0: ["BB", "AA"], 1: [], 2: [], None: [], 3: []}
+
+
+def test_numbers_are_read_from_parts_taken_once(spark):
+    asked = spark.createDataFrame([(0, "top twentyfive over the past 007 days"), (1, "Five\tBEST last year"), (2, "last 0 weeks"),
+                                   (3, "in 1999"), (4, None), (5, "12 first, top 9")], "question_id int, text string")
+    counts, back, years = Q.tag_count(asked), Q.tag_lookback(asked), Q.tag_year(asked)
+    assert [r[1] for r in counts.orderBy("question_id").collect()] == [25, 5, 0, 0, 0, 12]
+    assert [r[1] for r in back.orderBy("question_id").collect()] == [7, 365, 7, 0, None, 0]
+    assert [r[1] for r in years.orderBy("question_id").collect()] == [0, 0, 0, 1999, 0, 0]
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("AS _times") == 1 and plan.count("regexp_extract(_back") == 2

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import persist_table
+
 # Number words, day counts of time units, and superlatives.
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7,
                 "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "fifteen": 15,
@@ -64,6 +66,8 @@ _NUMBER = r"\d{1,3}|" + "|".join(NUMBER_WORDS)
 _BEST = "|".join(SUPERLATIVES)
 _COUNT = (rf"(?=[a-z0-9])(?U:\b)(?:(?:{_BEST})(?U:\s)+(?:{_NUMBER})"
           rf"|(?:{_NUMBER})(?U:\s)+(?:{_BEST}))(?U:\b)")
+_COUNT_PART = rf"^(?:(?:{_BEST})[^a-z0-9]+)?([a-z0-9]+)"
+_LONG_NUMBER = r"(?U)\d{4}"
 _LONG_COUNT = rf"(?U)\b(?:(?:{_BEST})\s+\d{{4,}}|\d{{4,}}\s+(?:{_BEST}))\b"
 _LOOKBACK = (r"(?=[lptoiwd])(?U:\b)(?:last|past|previous|trailing|over|in|within|during)(?U:\s)+"
              r"(?:the(?U:\s)+)?(?:last(?U:\s)+|past(?U:\s)+|previous(?U:\s)+)?"
@@ -75,12 +79,16 @@ _YEAR = r"(?=[12])(?U:\b)(?:19|20)\d{2}(?U:\b)"
 def scanned(questions: DataFrame) -> DataFrame:
     """Questions plus what the patterns found, each text scanned once per pattern.
 
-    The later steps read these short matches, never the text again.
+    The later steps read the parts of these short matches, which are columns so that
+    none is taken apart twice, and never the text again.
     """
     return (questions.withColumn("_low", F.lower("text"))
             .withColumns({"_count": F.regexp_extract("_low", _COUNT, 0),
                           "_back": F.regexp_extract("_low", _LOOKBACK, 0),
-                          "_year": F.regexp_extract("_low", _YEAR, 0)}))
+                          "_year": F.regexp_extract("_low", _YEAR, 0)})
+            .withColumns({"_count": F.regexp_extract("_count", _COUNT_PART, 1),
+                          "_times": F.regexp_extract("_back", _LOOKBACK_PARTS, 1),
+                          "_unit": F.regexp_extract("_back", _LOOKBACK_PARTS, 2)}))
 
 
 def _lookup(table, key: Column) -> Column:
@@ -89,28 +97,24 @@ def _lookup(table, key: Column) -> Column:
 
 
 def _number(token: Column) -> Column:
-    return F.coalesce(token.try_cast("int"), _lookup(NUMBER_WORDS, token), F.lit(0))
+    """A number word or digits; only digits are cast, as a cast that fails costs far more than one that does not."""
+    return F.coalesce(_lookup(NUMBER_WORDS, token), F.when(token != "", token.try_cast("int")), F.lit(0))
 
 
 def stated_year() -> Column:
     """The first year of the 1900s or 2000s in the text, 0 when there is none."""
-    return F.coalesce(F.col("_year").try_cast("int"), F.lit(0))
+    return F.coalesce(F.when(F.col("_year") != "", F.col("_year").try_cast("int")), F.lit(0))
 
 
 def stated_count() -> Column:
     """"top 5" or "five best" as a number, 0 when no count is stated."""
-    words = F.split("_count", r"(?U)\s+")
-    first, last = F.get(words, 0), F.element_at(words, -1)
-    return F.when(F.col("_count") == "", 0).when(first.isin(list(SUPERLATIVES)), _number(last)) \
-        .otherwise(_number(first))
+    return _number(F.col("_count"))
 
 
 def stated_lookback() -> Column:
     """"past 3 years" in days; a bare "last year" is one of them; 0 when not stated."""
-    times = _number(F.regexp_extract("_back", _LOOKBACK_PARTS, 1))
-    unit = F.regexp_extract("_back", _LOOKBACK_PARTS, 2)
-    return F.when(F.col("_back") == "", 0).otherwise(
-        F.when(times == 0, 1).otherwise(times) * _lookup(UNIT_DAYS, unit))
+    times = F.greatest(_number(F.col("_times")), F.lit(1))
+    return F.when(F.col("_back") == "", 0).otherwise(times * _lookup(UNIT_DAYS, F.col("_unit")))
 
 
 def _first_of(conditions_and_values) -> Column:
@@ -144,12 +148,15 @@ def match_sector(value: Column, sectors) -> Column:
 
 
 def stated_sector(sectors) -> Column:
-    """The sector a text names, by its full name or by an alias."""
+    """The sector a text names, by its full name or by an alias.
+
+    What a name stands for among the known ones is settled when the query is planned.
+    """
     low = F.coalesce("_low", F.lit(""))
     names = sorted(sectors, key=lambda s: (-len(s), list(sectors).index(s)))
     rules = [(F.contains(low, F.lit(n.lower())), n) for n in names]
     rules += [(low.contains(alias) & low.rlike(rf"(?U)\b{alias}"), n) for alias, n in SECTOR_ALIASES if n in sectors]
-    return match_sector(_first_of(rules), sectors)
+    return _first_of((hit, match_sector(F.lit(n), sectors)) for hit, n in rules)
 
 
 def tag_year(questions):
@@ -191,22 +198,28 @@ def symbol_mentions(questions, directory) -> DataFrame:
     name reaches from there; the text itself goes no further. Words that begin no
     name are left out, and a word that a question repeats is one row, before the join
     on the word. A name of several words must follow letter by letter.
+
+    The names are written once, so that Spark knows their size before it plans: while
+    they are few, words meet them where they are and only those that begin a name are
+    shuffled, once, by question.
     """
-    phrases = _phrases(directory)
-    reach = phrases.agg(F.coalesce(F.max("words"), F.lit(1)).alias("n")).scalar()
+    phrases = persist_table(_phrases(directory), "phrases")
+    reach = phrases.agg(F.coalesce(F.max("words"), F.lit(1))).first()[0]
     low = F.lower("text")
-    chunks = F.when(reach > 1, F.regexp_extract_all(low, F.lit(r"(?U)(\w+\W*)"), F.lit(1)))
-    firsts = phrases.select("word").distinct()
-    spoken = (questions.select("question_id", chunks.alias("chunks"), reach.alias("reach"), words_of(low).alias("words"))
-              .select("question_id", F.posexplode(F.transform("words", lambda w, i: F.struct(
-                  w.alias("word"),
-                  F.when(F.col("reach") > 1, F.array_join(F.slice("chunks", i + 1, F.col("reach")), ""))
-                  .otherwise("").alias("from_here")))).alias("i", "at"))
-              .select("question_id", "i", "at.word", "at.from_here")
-              .join(firsts, "word", "left_semi")
-              .groupBy("question_id", "word", "from_here").agg(F.min("i").alias("pos")))
+    if reach > 1:
+        chunks = F.regexp_extract_all(low, F.lit(r"(?U)(\w+\W*)"), F.lit(1))
+        spoken = (questions.select("question_id", chunks.alias("chunks"), words_of(low).alias("words"))
+                  .select("question_id", F.posexplode(F.transform("words", lambda w, i: F.struct(
+                      w.alias("word"), F.array_join(F.slice("chunks", i + 1, F.lit(reach)), "").alias("from_here"))))
+                      .alias("i", "at"))
+                  .select("question_id", "i", "at.word", "at.from_here"))
+    else:
+        spoken = (questions.select("question_id", F.posexplode(words_of(low)).alias("i", "word"))
+                  .withColumn("from_here", F.lit("")))
+    named = (spoken.join(phrases.select("word").distinct(), "word", "left_semi").repartition("question_id")
+             .groupBy("question_id", "word", "from_here").agg(F.min("i").alias("pos")))
     follows = F.regexp("from_here", F.concat(F.lit(r"(?U)^\Q"), F.col("phrase"), F.lit(r"\E\b")))
-    return (spoken.join(phrases, "word").filter((F.col("phrase") == F.col("word")) | follows)
+    return (named.join(phrases, "word").filter((F.col("phrase") == F.col("word")) | follows)
             .groupBy("question_id", "symbol").agg(F.min("pos").alias("pos")))
 
 
@@ -299,7 +312,7 @@ def resolve_params(tagged: DataFrame, start, end, data_min, data_max, sectors,
         *plain, F.coalesce(F.when(asked("limit", "int") > 0, asked("limit", "int")), stated_count()).alias("stated"),
         stated_lookback().alias("lookback"), stated_year().alias("year"),
         F.coalesce(F.nullif(match_sector(asked("sector"), sectors), F.lit("")), stated_sector(sectors)).alias("sector"),
-        F.col("_low").rlike(_LONG_COUNT).alias("long_count"), since.alias("since"), until.alias("until"),
+        (F.col("_low").rlike(_LONG_NUMBER) & F.col("_low").rlike(_LONG_COUNT)).alias("long_count"), since.alias("since"), until.alias("until"),
         F.coalesce(F.lower(F.trim(asked("metric"))), F.lit("")).alias("metric"),
         F.when(ordering.isin("asc", "desc"), ordering).otherwise("").alias("ordering"))
     back, year, stated = F.col("lookback"), F.col("year"), F.col("stated")
