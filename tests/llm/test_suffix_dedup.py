@@ -70,3 +70,22 @@ def test_query_against_sql(spark):
     path = "/root/testdata/sf0.001"
     rows, problem = differences(QUERIES["op1_suffix_dedup"](spark, path), views(path), ORACLE_SQL["op1_suffix_dedup"])
     assert rows and problem is None
+
+
+def test_marks_of_many_texts_are_merged_as_arrays():
+    offsets = np.array([0, 100, 100, 160, 400])
+    owner, at = np.array([3, 0, 3, 2, 0, 3, 3]), np.array([120, 60, 0, 0, 30, 120, 55])
+    n = np.array([1, 500, 1, 11, 1, 3, 1])
+    text, begin, end = suffix_dedup.runs(offsets, owner, at, n, 50)
+    assert list(zip(text.tolist(), begin.tolist(), end.tolist())) == [
+        (0, 30, 100), (2, 100, 160), (3, 160, 210), (3, 215, 265), (3, 280, 332)]
+    none = np.empty(0, dtype=np.int64)
+    assert [x.size for x in suffix_dedup.runs(offsets, none, none, none, 50)] == [0, 0, 0]
+
+
+def test_texts_are_cut_in_slices(spark, monkeypatch):
+    passage = prose(7, 60)
+    texts = [passage, None, f"é{passage}ü", "", passage[:80], passage + passage, None, "short", f"{passage[5:]}x"]
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 100)
+    assert [list(s) for s in suffix_dedup.slices(np.array([60, 60, 0, 300, 1]))] == [[0, 2], [2, 4], [4, 5]]
+    assert answers(documents(spark, texts)) == kept_bytes(list(enumerate(texts)))

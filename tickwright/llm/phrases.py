@@ -12,7 +12,7 @@ import numpy as np
 
 from .words import BYTE_VALUES, mixed, powers
 
-PIECE = 1 << 19
+PIECE = 1 << 17    # bytes of text parsed at a time: its arrays stay in a core's cache
 
 
 @dataclass
