@@ -107,6 +107,35 @@ def test_chunks_do_not_change_links(monkeypatch):
     assert dict(zip(*map(list, whole))) == want
 
 
+def test_small_tables_are_few_files_and_rows_join_only_what_is_left(spark, monkeypatch):
+    texts = [prose(k, 200) for k in range(12)]
+    docs = documents(spark, texts).coalesce(2)
+    files, write = {}, alignment.written
+
+    def counted(df, label):
+        done = write(df, label)
+        files[label] = len(done.inputFiles())
+        return done
+
+    def shuffles(rows):
+        return "Exchange" in rows._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(alignment, "written", counted)
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        whole, _ = alignment.align(docs)
+        assert files["pair-counts"] <= files["aligned"] == 2
+        some, _ = alignment.align(docs, top=8)
+        assert shuffles(some) and not shuffles(whole)
+        assert answers(whole) == answers(some) == plain(list(enumerate(texts)))[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_query(spark):
     path = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]

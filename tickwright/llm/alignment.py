@@ -10,8 +10,8 @@ count is the number of rows of the corpus that hold its id pair.
  2. pairs are counted over all rows: combined inside tasks, then by a shuffle of at most
     the distinct pairs of each task.
  3. counts go back to the rows. The most frequent pairs, at most `top` of them, are sent
-    to tasks as arrays; pairs below that count are joined as rows. None of those is a hot
-    key, as every pair above the limit is in the arrays.
+    to tasks as arrays; pairs below that count, if there are any, are joined as rows. None
+    of those is a hot key, as every pair above the limit is in the arrays.
 
 Both tokenizers travel as bytes with the job, so workers need no copy of the files.
 
@@ -283,14 +283,15 @@ def pair_counts(held: DataFrame, wide: np.dtype, width: int) -> DataFrame:
             yield out()
 
     counts = held.select("pairs").mapInArrow(totals, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    counts = written(counts.withColumn("a", F.expr(f"pair div {width}")), "pair-counts")
+    parts = max(1, len(held.inputFiles()))       # as many as tasks that encoded: each passes on one share of the counts
+    counts = written(counts.withColumn("a", F.expr(f"pair div {width}")).coalesce(parts), "pair-counts")
     most = F.broadcast(counts.groupBy("a").agg(F.max("n").alias("most")))     # one row an A id of the vocabulary
     return written(counts.join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best")),
                    "pair-best")
 
 
 def frequent(counts: DataFrame, top: int):
-    """The pairs of at least some power of two rows, at most `top`: sorted pairs, counts, best."""
+    """The pairs of at least some power of two rows, at most `top`: sorted pairs, counts, best; whether that is all pairs."""
     sizes = dict(counts.groupBy(F.length(F.bin("n")).alias("bits")).count().collect())     # at most 64 rows
     least, n = 64, 0
     while least > 0 and n + sizes.get(least, 0) <= top:
@@ -300,7 +301,8 @@ def frequent(counts: DataFrame, top: int):
         got = counts.filter(F.length(F.bin("n")) > least).toArrow()
     pairs = got.column("pair").to_numpy()
     order = np.argsort(pairs)
-    return pairs[order], got.column("n").to_numpy()[order], got.column("best").to_numpy()[order]
+    arrays = pairs[order], got.column("n").to_numpy()[order], got.column("best").to_numpy()[order]
+    return arrays, least == 0
 
 
 def align(docs: DataFrame, path_a: str = f"{FOLDER}/{BYTE_BPE}", path_b: str = f"{FOLDER}/{PIECES}",
@@ -314,7 +316,8 @@ def align(docs: DataFrame, path_a: str = f"{FOLDER}/{BYTE_BPE}", path_b: str = f
     width = len(Pieces(spec_b).spelled)
     held, wide = encoded(docs, spec_a, spec_b, width)
     counts = pair_counts(held, wide, width)
-    known = docs.sparkSession.sparkContext.broadcast(frequent(counts, top))
+    arrays, all_known = frequent(counts, top)
+    known = docs.sparkSession.sparkContext.broadcast(arrays)
 
     def looked_up(pairs, times):
         keys, n, best = known.value
@@ -337,6 +340,9 @@ def align(docs: DataFrame, path_a: str = f"{FOLDER}/{BYTE_BPE}", path_b: str = f
 
     looked = written(flat_map(held, ["pairs", "times"], ["row", *FIGURES], "near_best long, near_sum long, "
                               "rest array<long>, rest_times array<long>", looked_up), "aligned-figures")
+    pairs = counts.select(F.expr(f"pair div {width}").alias("a"), F.expr(f"pair % {width}").alias("b"), "n", "best")
+    if all_known:
+        return looked.select(*FIGURES, F.col("near_best").alias("n_best"), F.col("near_sum").alias("count_sum")), pairs
     rest = (looked.select("row", F.explode(F.arrays_zip("rest", "rest_times")).alias("p"))
             .select("row", F.col("p.rest").alias("pair"), F.col("p.rest_times").alias("times"))
             .join(counts, "pair").groupBy("row")
@@ -345,4 +351,4 @@ def align(docs: DataFrame, path_a: str = f"{FOLDER}/{BYTE_BPE}", path_b: str = f
     rows = looked.join(rest, "row", "left").select(
         *FIGURES, (F.col("near_best") + F.coalesce("far_best", F.lit(0))).alias("n_best"),
         (F.col("near_sum") + F.coalesce("far_sum", F.lit(0))).alias("count_sum"))
-    return rows, counts.select(F.expr(f"pair div {width}").alias("a"), F.expr(f"pair % {width}").alias("b"), "n", "best")
+    return rows, pairs
