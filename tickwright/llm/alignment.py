@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over one corpus, by the byte ends their tokens share.
 
-Each text is encoded by both. A dictionary from end to index is made of the cumulative
-byte ends of either side; the ends in both key sets, in order, slice the two id lists
-into groups, and the links of a group are all pairs of its A and B tokens. A link's
-count is the number of rows of the corpus that hold its id pair.
+Each text is encoded by both. A dictionary from end to index, an array with a place for
+each byte, is made of the cumulative byte ends of either side; the ends in both, in
+order, slice the two id lists into groups, and the links of a group are all pairs of its
+A and B tokens. A link's count is the number of rows of the corpus that hold its id pair.
 
  1. texts are encoded in tasks and written as one row each: figures, and the distinct
     pairs with how often they occur. Nothing is encoded twice.
@@ -133,11 +133,12 @@ def batches(texts):
 
 def slices(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the groups end in two id lists, as exclusive indices, by the byte ends of their tokens."""
-    index_a = dict(zip(ends_a.tolist(), range(1, ends_a.size + 1)))
-    index_b = dict(zip(ends_b.tolist(), range(1, ends_b.size + 1)))
-    common = sorted(index_a.keys() & index_b.keys())
-    return (np.array(list(map(index_a.__getitem__, common)), dtype=np.int64),
-            np.array(list(map(index_b.__getitem__, common)), dtype=np.int64))
+    size = 1 + max(ends_a.max(initial=0), ends_b.max(initial=0))
+    index_a, index_b = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)     # 0: no token ends here
+    index_a[ends_a] = np.arange(1, ends_a.size + 1)
+    index_b[ends_b] = np.arange(1, ends_b.size + 1)
+    common = np.flatnonzero((index_a > 0) & (index_b > 0))
+    return index_a[common], index_b[common]
 
 
 def folded(keys: np.ndarray, times: np.ndarray):
